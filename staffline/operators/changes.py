@@ -41,8 +41,7 @@ def flag_changes(
     for c in present:
         one = rules[c](F.col(c), previous[c], first, null_safe)
         changed = one if changed is None else changed | one
-    flagged = earlier.with_column(name, changed)
-    return flagged.with_column("_previous", F.lit(None))
+    return earlier.with_column(name, changed)
 
 
 def flag_pay_steps(history: OrderedHistory, name: str) -> OrderedHistory:
