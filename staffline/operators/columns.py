@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from staffline.functions import clean_text, column, parse_integer, parse_timestamp, yes_no
 from staffline.functions.flags import NO, YES, normalised
+from staffline.operators.history import ORDINAL
 
 UNKNOWN = "DESCONOCIDA"
 
@@ -84,11 +85,11 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ColumnProfile:
-    """``null_ratio`` is None for a table without rows."""
+    """``null_ratio`` is None for a table without rows; ``flag`` unless asked for."""
 
     null_ratio: float | None
     constant: bool
-    flag: bool
+    flag: bool | None = None
 
 
 def is_missing(df: DataFrame, name: str) -> Column:
@@ -98,24 +99,29 @@ def is_missing(df: DataFrame, name: str) -> Column:
     return missing
 
 
-def profile(df: DataFrame) -> dict[str, ColumnProfile]:
-    """Null ratio, constancy and yes/no-ness of every column in one aggregate: four
-    small states per column, no distinct counts and no row shuffle."""
+def profile(df: DataFrame, flags: bool = False) -> dict[str, ColumnProfile]:
+    """Null ratio and constancy of every column (and whether it holds nothing but
+    yes/no spellings) in one aggregate: a few small states per column, no distinct
+    counts and no row shuffle. The reading order column is left out."""
+    names = [n for n in df.columns if n != ORDINAL]
     aggregates = []
-    for i, name in enumerate(df.columns):
+    for i, name in enumerate(names):
         missing = is_missing(df, name)
         present = F.when(~missing, column(name))
+        low, high = F.min(present), F.max(present)
         aggregates += [
             F.avg(missing.cast("double")).alias(f"nulls_{i}"),
-            (F.min(present).isNull() | (F.min(present) == F.max(present))).alias(f"const_{i}"),
-            F.coalesce(
-                F.bool_and(normalised(present).isin(*YES, *NO)), F.lit(False)
-            ).alias(f"flag_{i}"),
+            (low.isNull() | (low == high)).alias(f"constant_{i}"),
         ]
-    row = df.agg(*aggregates).first() if aggregates else None
+        if flags:
+            spelled = F.bool_and(normalised(present).isin(*YES, *NO))
+            aggregates.append(F.coalesce(spelled, F.lit(False)).alias(f"flag_{i}"))
+    if not aggregates:
+        return {}
+    row = df.agg(*aggregates).first().asDict()
     return {
-        name: ColumnProfile(row[f"nulls_{i}"], row[f"const_{i}"], row[f"flag_{i}"])
-        for i, name in enumerate(df.columns)
+        name: ColumnProfile(row[f"nulls_{i}"], row[f"constant_{i}"], row.get(f"flag_{i}"))
+        for i, name in enumerate(names)
     }
 
 
@@ -133,7 +139,7 @@ def constant_columns(
 
 
 def flag_columns(df: DataFrame) -> list[str]:
-    return [n for n, p in profile(df).items() if p.flag]
+    return [n for n, p in profile(df, flags=True).items() if p.flag]
 
 
 def drop_sparse(df: DataFrame, threshold: float = 0.99) -> DataFrame:

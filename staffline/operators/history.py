@@ -22,6 +22,9 @@ from staffline.session import shared_dir
 HOT_ROWS = 1_000_000
 BROADCAST_ROWS = 1_000_000
 
+# A row's place in the file it was read from, when the source kept it.
+ORDINAL = "_ORDINAL"
+
 _CHUNK = "_chunk"
 _TIE = "_tie"
 

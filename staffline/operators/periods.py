@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from staffline.functions import days_between, effective_end, month_cut_continues, ntz
 from staffline.operators.history import (
     HOT_ROWS,
+    ORDINAL,
     OrderedHistory,
     ordered_histories,
     union_all,
@@ -35,7 +36,6 @@ CONTRACT = "IDCONTRATOLABORAL"
 START = "FECHAINICIOCONTRATO"
 PLANNED_END = "FECHAFINCONTRATO"
 DISMISSAL = "FECHADESVINCULACION"
-ORDINAL = "_ORDINAL"
 
 # A period with more contracts than this has its list as rows, see contract_periods.
 LISTED_CONTRACTS = 1_000_000

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -30,3 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext.getCheckpointDir()
     return configured or current
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a table once to the shared folder and go on from there: later steps
+    read only the columns they need instead of repeating the work behind it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from staffline.functions import column, null_if_token
-from staffline.operators.periods import ORDINAL
+from staffline.operators.history import ORDINAL
 
 UTF8, CP1252, LATIN1 = "utf-8", "cp1252", "latin-1"
 

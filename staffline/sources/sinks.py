@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from staffline.functions import column
-from staffline.operators.periods import ORDINAL
+from staffline.operators.history import ORDINAL
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
