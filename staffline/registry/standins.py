@@ -284,7 +284,7 @@ RAW: dict[str, tuple[str, tuple[Cell, ...]]] = {
         Cell("IDPERSONA.1", "concat('other', k)", gone=True),
         Cell("IDIDIOMA.1", "concat('other', k)", gone=True),
         stamp("FECHASUBIDAARCHIVO", 1), flag("LENGUANATIVA", 1), text("NIVELLECTURA", "t2"),
-        mostly_null("NIVELMCER", 1, gone=True), unused("ULTIMO_CAMBIO"), unused("REFARCHIVO"),
+        Cell("NIVELMCER", "CASE WHEN k % 97 = 1 THEN concat('B', k % 2) END", gone=True), unused("ULTIMO_CAMBIO"), unused("REFARCHIVO"),
     )),
     "mencion_honor": (CUSTOMERS, (
         whole("IDMENCIONHONOR", 1), whole("IDPERSONA", 2), stamp("FECHA", 1),
