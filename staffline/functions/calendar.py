@@ -23,13 +23,24 @@ def ntz(moment: str | date | datetime | Column) -> Column:
     return moment.cast("timestamp_ntz")
 
 
-def parse_timestamp(value: Column) -> Column:
-    """Plain ISO dates and DB2 stamps; anything else is null."""
-    plain = F.regexp_replace(value.cast("string"), DB2_STAMP, "$1 $2:$3:$4.$5")
-    moment = plain.try_cast("timestamp_ntz")
+def read_moment(value: Column) -> Column:
+    """A plain ISO date or a DB2 stamp as a timestamp; anything else is null. Only
+    texts with a dash after the date can be DB2 stamps."""
+    text = value.cast("string")
+    plain = F.regexp_replace(text, DB2_STAMP, "$1 $2:$3:$4.$5")
+    maybe_stamp = F.substring(text, 11, 1) == "-"
+    return F.when(maybe_stamp, plain).otherwise(text).try_cast("timestamp_ntz")
+
+
+def within_range(moment: Column) -> Column:
     return F.when(moment.between(ntz(EARLIEST), ntz(LATEST)), moment)
 
 
+def parse_timestamp(value: Column) -> Column:
+    """Plain ISO dates and DB2 stamps; anything else, or out of range, is null."""
+    return within_range(read_moment(value))
+
+
 def _time_of_day(moment: Column) -> Column:
     return moment - moment.cast("date").cast("timestamp_ntz")
 

@@ -28,15 +28,22 @@ def null_if_token(value: Column) -> Column:
 
 
 def strip(value: Column) -> Column:
-    """Trim all Unicode whitespace; Spark's plain trim only knows the space."""
-    return F.trim(value, F.lit(WHITESPACE))
+    """Trim all Unicode whitespace; Spark's plain trim only knows the space. Most
+    texts begin and end in printable ASCII and are told so by their outer bytes."""
+    last = F.right(value, F.lit(1))
+    past_ascii = chr(0x80)
+    odd_ends = (value < "!") | (value >= past_ascii) | (last < "!") | (last >= past_ascii)
+    return F.when(odd_ends, F.trim(value, F.lit(WHITESPACE))).otherwise(value)
 
 
-def clean_text(value: Column) -> Column:
-    trimmed = strip(value)
+def blank_to_null(trimmed: Column) -> Column:
     return F.when(~trimmed.isin(*BLANK_AFTER_TRIM), trimmed)
 
 
+def clean_text(value: Column) -> Column:
+    return blank_to_null(strip(value))
+
+
 def repair_soft_hyphen(value: Column) -> Column:
     """Undo a known export fault: U+FFFD followed by a soft hyphen stood for an i."""
     return F.replace(value, F.lit("\ufffd\u00ad"), F.lit("i"))

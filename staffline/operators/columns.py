@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from staffline.functions import clean_text, column, parse_integer, parse_timestamp, yes_no
-from staffline.functions.flags import NO, YES, normalised
+from staffline.functions import column, strip
+from staffline.functions.calendar import read_moment, within_range
+from staffline.functions.flags import NO, YES, flag_from, normalised
+from staffline.functions.numbers import integer_from, number_from
+from staffline.functions.text import blank_to_null
 from staffline.operators.history import ORDINAL
 
 UNKNOWN = "DESCONOCIDA"
@@ -33,10 +36,24 @@ def replace_columns(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     return df.select(*(values.get(n, column(n)).alias(n) for n in df.columns))
 
 
+def apply_steps(
+    df: DataFrame, names: Iterable[str], *steps: Callable[[Column], Column]
+) -> DataFrame:
+    """Run the named columns through steps, one projection each: a step may refer to
+    its input often without the steps before it being evaluated again."""
+    names = list(names)
+    for step in steps:
+        df = replace_columns(df, {n: step(column(n)) for n in names})
+    return df
+
+
+def _strip(value: Column) -> Column:
+    return strip(value.cast("string"))
+
+
 def clean_strings(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
     """Trim text columns (all by default) and null out blank cells."""
-    chosen = text_columns(df) if names is None else list(names)
-    return replace_columns(df, {n: clean_text(column(n).cast("string")) for n in chosen})
+    return apply_steps(df, text_columns(df) if names is None else names, _strip, blank_to_null)
 
 
 def fill_text(df: DataFrame, names: Iterable[str], value: str = UNKNOWN) -> DataFrame:
@@ -44,16 +61,23 @@ def fill_text(df: DataFrame, names: Iterable[str], value: str = UNKNOWN) -> Data
 
 
 def cast_timestamps(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    return replace_columns(df, {n: parse_timestamp(column(n)) for n in existing(df, names)})
+    return apply_steps(df, existing(df, names), read_moment, within_range)
 
 
 def cast_integers(df: DataFrame, names: Iterable[str], on_fraction: str = "error") -> DataFrame:
-    def whole(name: str) -> Column:
-        if isinstance(df.schema[name].dataType, T.IntegralType):
-            return column(name).cast("bigint")
-        return parse_integer(column(name), on_fraction)
+    chosen = existing(df, names)
+    whole = [n for n in chosen if isinstance(df.schema[n].dataType, T.IntegralType)]
+    spelled = [n for n in chosen if n not in whole]
+    df = apply_steps(df, whole, lambda c: c.cast("bigint"))
+    return apply_steps(df, spelled, _strip, lambda c: integer_from(c, on_fraction))
 
-    return replace_columns(df, {n: whole(n) for n in existing(df, names)})
+
+def cast_numbers(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    chosen = existing(df, names)
+    numeric = [n for n in chosen if isinstance(df.schema[n].dataType, T.NumericType)]
+    spelled = [n for n in chosen if n not in numeric]
+    df = apply_steps(df, numeric, lambda c: c.cast("double"))
+    return apply_steps(df, spelled, _strip, number_from)
 
 
 def cast_flags(
@@ -64,7 +88,7 @@ def cast_flags(
     if names is None:
         names = flag_columns(df)
     chosen = existing(df, names)
-    return replace_columns(df, {n: yes_no(column(n), null_as_zero) for n in chosen})
+    return apply_steps(df, chosen, normalised, lambda c: flag_from(c, null_as_zero))
 
 
 def drop_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -107,7 +131,8 @@ def profile(df: DataFrame, flags: bool = False) -> dict[str, ColumnProfile]:
     aggregates = []
     for i, name in enumerate(names):
         missing = is_missing(df, name)
-        present = F.when(~missing, column(name))
+        fractional = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+        present = F.when(~missing, column(name)) if fractional else column(name)
         low, high = F.min(present), F.max(present)
         aggregates += [
             F.avg(missing.cast("double")).alias(f"nulls_{i}"),

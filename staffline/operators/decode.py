@@ -6,7 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from staffline.functions import column, parse_integer
+from staffline.functions import column
+from staffline.operators.columns import cast_integers
 
 # Code dictionaries of the sources.
 EXPERIENCE_CATEGORY = {
@@ -71,8 +72,10 @@ def describe_contracts(df: DataFrame) -> DataFrame:
     if "TIPOEMPLEADO" in df.columns:
         df = df.withColumn("TIPOEMPLEADO_DESC", lookup(F.col("TIPOEMPLEADO"), EMPLOYEE_TYPE))
     if "IDREGIMENLABORAL" in df.columns:
-        code = parse_integer(F.col("IDREGIMENLABORAL"), on_fraction="null").cast("int")
-        df = df.withColumn("IDREGIMENLABORAL_DESC", lookup(code, LABOUR_REGIME))
+        code = "IDREGIMENLABORAL_DESC"
+        df = df.withColumn(code, F.col("IDREGIMENLABORAL"))
+        df = cast_integers(df, [code], on_fraction="null")
+        df = df.withColumn(code, lookup(F.col(code).cast("int"), LABOUR_REGIME))
     return df
 
 

@@ -7,19 +7,17 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staffline.functions import column, parse_number
 from staffline.operators.columns import (
     cast_flags,
     cast_integers,
+    cast_numbers,
     cast_timestamps,
     clean_strings,
     collapse_repeated,
     drop_columns,
     drop_duplicate_rows,
     drop_uninformative,
-    existing,
     fill_text,
-    replace_columns,
 )
 from staffline.operators.features import person_features
 from staffline.operators.history import HOT_ROWS
@@ -56,8 +54,7 @@ def clean_source(raw: DataFrame, source: Source) -> DataFrame:
     df = cast_timestamps(df, source.timestamps)
     df = cast_integers(df, source.integers)
     df = cast_flags(df, source.flags)
-    numbers = existing(df, source.numbers)
-    df = replace_columns(df, {n: parse_number(column(n)) for n in numbers})
+    df = cast_numbers(df, source.numbers)
     return source.derive(df) if source.derive else df
 
 

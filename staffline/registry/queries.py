@@ -33,7 +33,7 @@ from staffline.registry.standins import (
     table,
     work_history,
 )
-from staffline.session import shared_dir
+from staffline.session import shared_dir, staged
 from staffline.sources.csv import read_csv
 from staffline.sources.sinks import write_table
 
@@ -471,7 +471,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("*", quoted.alias("note"))
     write_table(customers, path, "csv")
     df = columns.cast_integers(read_csv(spark, path), ["c_custkey", "c_nationkey"])
-    return columns.replace_columns(df, {"c_acctbal": parse_number(F.col("c_acctbal"))})
+    return columns.cast_numbers(df, ["c_acctbal"])
 
 
 def _source_query(output: str) -> Query:
@@ -485,6 +485,8 @@ def _source_query(output: str) -> Query:
 def _history_query(output: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         cleaned = clean_source(raw_history(spark, sf_dir), BY_OUTPUT[HISTORY_OUTPUT])
+        if output != HISTORY_OUTPUT:
+            cleaned = staged(cleaned)
         return history_tables(cleaned, AS_OF)[output]
 
     query.__name__ = f"source_{output}"

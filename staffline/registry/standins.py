@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from staffline.functions import null_if_token
+from staffline.operators.columns import apply_steps
 
 AS_OF = "2002-01-01"
 
@@ -340,4 +341,8 @@ def raw_extract(spark: SparkSession, sf_dir: str, output: str) -> DataFrame:
     base, cells = RAW[output]
     name = base.rsplit(" ", 1)[1]
     rows = spark.sql(base.replace(f"FROM {name}", "FROM {source}"), source=table(spark, sf_dir, name))
-    return rows.select(*(null_if_token(F.expr(c.sql)).alias(c.name) for c in cells))
+    return apply_steps(
+        rows.select(*(F.expr(c.sql).alias(c.name) for c in cells)),
+        [c.name for c in cells],
+        null_if_token,
+    )

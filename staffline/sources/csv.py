@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from staffline.functions import column, null_if_token
+from staffline.operators.columns import apply_steps
 from staffline.operators.history import ORDINAL
 
 UTF8, CP1252, LATIN1 = "utf-8", "cp1252", "latin-1"
@@ -187,11 +188,7 @@ def read_csv(
     else:
         df = _read_split(spark, path, traits, whole=traits.breaks_in_cells)
 
-    def cell(name: str) -> Column:
-        value = column(name)
-        if traits.encoding == CP1252:
-            value = F.translate(value, _AS_LATIN1, _AS_CP1252)
-        return null_if_token(value).alias(name)
-
-    ordinal = [F.col(ORDINAL)] if with_ordinal else []
-    return df.select(*(cell(n) for n in traits.header), *ordinal)
+    if traits.encoding == CP1252:
+        df = apply_steps(df, traits.header, lambda c: F.translate(c, _AS_LATIN1, _AS_CP1252))
+    df = apply_steps(df, traits.header, null_if_token)
+    return df if with_ordinal else df.drop(ORDINAL)
