@@ -42,7 +42,7 @@ def apply_steps(
     """Run the named columns through steps, one projection each: a step may refer to
     its input often without the steps before it being evaluated again."""
     names = list(names)
-    for step in steps:
+    for step in steps if names else ():
         df = replace_columns(df, {n: step(column(n)) for n in names})
     return df
 

@@ -112,8 +112,8 @@ def contract_periods(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFram
 
 def _id_text(history: OrderedHistory) -> Column:
     """Contract ids of a group in order, comma separated."""
-    entries = F.array_sort(F.collect_list(F.struct(*history.order, "_contract")))
-    return F.array_join(F.transform(entries, lambda e: e["_contract"].cast("string")), ",")
+    entries = F.sort_array(F.collect_list(F.struct(*history.order, "_contract")))
+    return F.array_join(entries["_contract"].cast("array<string>"), ",")
 
 
 def _group_periods(history: OrderedHistory, listed: int, with_ids: bool) -> DataFrame:
@@ -141,7 +141,7 @@ def _group_periods(history: OrderedHistory, listed: int, with_ids: bool) -> Data
             F.min("_from").alias("_from"),
             F.max("_last").alias("_last"),
             F.sum("N_CONTRATOS").alias("N_CONTRATOS"),
-            F.array_sort(F.collect_list("_kept")).alias("_kept"),
+            F.sort_array(F.collect_list("_kept")).alias("_kept"),
         )
         .withColumn(
             CONTRACT,

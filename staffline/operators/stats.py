@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
@@ -12,7 +13,7 @@ from staffline.functions.numbers import parse_number
 from staffline.operators.columns import is_missing
 
 # A sorted column up to this many rows is small enough for one task.
-TASK_ROWS = 1_000_000
+TASK_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -76,38 +77,96 @@ def rows_per_key(df: DataFrame, key: str) -> DataFrame:
     return df.where(column(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
 
 
-def _rank_value(values: DataFrame, rank: int, total: int, task_rows: int) -> float:
-    """The value at a 0-based rank among ``total`` sorted values ``x``. A sketch
-    brackets the rank; counting around the bracket tells exactly where the rank
-    lies, and only the rows inside an open bracket are looked at again. The data is
+@dataclass(frozen=True)
+class _Span:
+    """Where a rank is known to lie: between two values, both excluded, as the
+    ``rank``-th of ``size`` rows."""
+
+    rank: int
+    size: int
+    low: float | None = None
+    high: float | None = None
+
+    def rows(self) -> Column:
+        x = F.col("x")
+        inside = F.lit(True)
+        if self.low is not None:
+            inside &= x > self.low
+        if self.high is not None:
+            inside &= x < self.high
+        return inside
+
+    def edges(self) -> tuple[float, float]:
+        # On the sketch's own grid, so that neighbouring ranks share a bracket.
+        middle = round((self.rank + 0.5) / self.size * SKETCH_ACCURACY) / SKETCH_ACCURACY
+        reach = 2.0 / SKETCH_ACCURACY
+        return max(0.0, middle - reach), min(1.0, middle + reach)
+
+
+def _aggregate(rows: DataFrame, wanted: dict[tuple, Column]) -> dict[tuple, object]:
+    """Named aggregates in one pass."""
+    row = rows.agg(*(c.alias(str(i)) for i, c in enumerate(wanted.values()))).first()
+    return dict(zip(wanted, row))
+
+
+def _rank_values(
+    values: DataFrame, ranks: Sequence[int], total: int, task_rows: int
+) -> dict[int, float]:
+    """The values at 0-based ranks among ``total`` sorted values ``x``. A sketch
+    brackets each rank; counting around the brackets tells exactly where the ranks
+    lie, and only rows inside an open bracket are looked at again. The data is
     scanned a few times but never sorted or shuffled as a whole."""
     x = F.col("x")
-    inside, size = values, total
-    while size > task_rows:
-        middle, reach = (rank + 0.5) / size, 2.0 / SKETCH_ACCURACY
-        edges = [max(0.0, middle - reach), min(1.0, middle + reach)]
-        low, high = inside.agg(F.percentile_approx("x", edges, SKETCH_ACCURACY)).first()[0]
-        below, at_low, between, at_high = inside.agg(
-            F.count_if(x < low),
-            F.count_if(x == low),
-            F.count_if((x > low) & (x < high)),
-            F.count_if((x == high) & (x > low)),
-        ).first()
-        if rank < below:
-            inside, size = inside.where(x < low), below
-        elif rank < below + at_low:
-            return low
-        elif rank < below + at_low + between:
-            inside, size = inside.where((x > low) & (x < high)), between
-            rank -= below + at_low
-        elif rank < below + at_low + between + at_high:
-            return high
-        else:
-            passed = below + at_low + between + at_high
-            inside, size, rank = inside.where(x > high), size - passed, rank - passed
+    found: dict[int, float] = {}
+    spans = {rank: _Span(rank, total) for rank in ranks}
+    while wide := {r: s for r, s in spans.items() if s.size > task_rows}:
+        sketches = {
+            (s.low, s.high, *s.edges()): F.percentile_approx(
+                F.when(s.rows(), x), list(s.edges()), SKETCH_ACCURACY
+            )
+            for s in wide.values()
+        }
+        brackets = _aggregate(values, sketches)
+        counts: dict[tuple, Column] = {}
+        for s in wide.values():
+            low, high = brackets[s.low, s.high, *s.edges()]
+            where = (s.low, s.high, low, high)
+            counts[*where, "below"] = F.count_if(s.rows() & (x < low))
+            counts[*where, "at low"] = F.count_if(x == low)
+            counts[*where, "between"] = F.count_if((x > low) & (x < high))
+            counts[*where, "at high"] = F.count_if((x == high) & (x > low))
+        counted = _aggregate(values, counts)
+        for rank, s in wide.items():
+            low, high = brackets[s.low, s.high, *s.edges()]
+            where = (s.low, s.high, low, high)
+            below = counted[*where, "below"]
+            inner = below + counted[*where, "at low"]
+            upper = inner + counted[*where, "between"]
+            above = upper + counted[*where, "at high"]
+            if s.rank < below:
+                spans[rank] = _Span(s.rank, below, s.low, low)
+            elif s.rank < inner:
+                found[rank] = low
+            elif s.rank < upper:
+                spans[rank] = _Span(s.rank - inner, upper - inner, low, high)
+            elif s.rank < above:
+                found[rank] = high
+            else:
+                spans[rank] = _Span(s.rank - above, s.size - above, high, s.high)
+            if rank in found:
+                del spans[rank]
+
+    shared: dict[tuple, list[int]] = {}
+    for rank, s in spans.items():
+        shared.setdefault((s.low, s.high), []).append(rank)
     so_far = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = inside.groupBy("x").count().withColumn("reached", F.sum("count").over(so_far))
-    return counts.where(F.col("reached") > rank).agg(F.min("x")).first()[0]
+    for own in shared.values():
+        inside = values.where(spans[own[0]].rows()).groupBy("x").count()
+        reached = inside.withColumn("reached", F.sum("count").over(so_far))
+        found |= _aggregate(
+            reached, {r: F.min(F.when(F.col("reached") > spans[r].rank, x)) for r in own}
+        )
+    return found
 
 
 def _numbers(df: DataFrame, value: Column) -> DataFrame:
@@ -131,21 +190,13 @@ def quantiles(
     if total <= task_rows:
         return list(values.agg(F.percentile("x", list(probabilities))).first()[0])
 
-    found: dict[int, float] = {}
-
-    def at(rank: int) -> float:
-        if rank not in found:
-            found[rank] = _rank_value(values, rank, total, task_rows)
-        return found[rank]
-
-    out = []
-    for p in probabilities:
-        place = (total - 1) * p
-        lower = int(place)
-        upper = min(lower + 1, total - 1) if place > lower else lower
-        share = place - lower
-        out.append(at(lower) * (1 - share) + at(upper) * share)
-    return out
+    places = [(total - 1) * p for p in probabilities]
+    pairs = [(int(place), min(int(place) + 1, total - 1)) for place in places]
+    found = _rank_values(values, sorted({r for pair in pairs for r in pair}), total, task_rows)
+    return [
+        found[lower] * (1 - (place - lower)) + found[upper] * (place - lower)
+        for place, (lower, upper) in zip(places, pairs)
+    ]
 
 
 def describe(df: DataFrame, name: str, task_rows: int = TASK_ROWS) -> DataFrame:

@@ -12,7 +12,6 @@ from staffline.functions import (
     age_in_years,
     column,
     elapsed_years,
-    parse_number,
     ratio,
     term_flags,
 )
@@ -132,7 +131,7 @@ def experience_years() -> Column:
 
 
 def participation() -> Column:
-    return ratio(parse_number(F.col("EVALUADOS")), parse_number(F.col("REGISTRADOS")))
+    return ratio(F.col("EVALUADOS"), F.col("REGISTRADOS"))
 
 
 # File, column and output names, thresholds and chart sizes of the

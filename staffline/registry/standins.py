@@ -278,6 +278,8 @@ RAW: dict[str, tuple[str, tuple[Cell, ...]]] = {
     "heteroevaluacion_disponible": (ORDERS, (
         Cell("IDCURSO", "concat('', k % 40)", "int"), Cell("IDPERSONA", "concat(k % 9, '.0')", "int"),
         Cell("PROMEDIO", "concat('', k % 10)", "number"), Cell("ANIO", "concat('', 2010 + k % 5)"),
+        Cell("EVALUADOS", "concat('', k % 5)", "number"),
+        Cell("REGISTRADOS", "concat('', 10 * (k % 3))", "number"),
         Cell("ANIO.1", "concat('', 2010 + k % 5)"), text("UNIDAD", "t2"), constant("TERMINO"),
     )),
     "idiomas_personas": (TURNS, (

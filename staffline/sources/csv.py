@@ -155,13 +155,13 @@ def _read_joined(spark: SparkSession, path: str, traits: CsvTraits) -> DataFrame
     )
     here = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     record = F.coalesce(F.last(opened, ignorenulls=True).over(here), F.col("earlier"))
-    parts = F.array_sort(F.collect_list(F.struct("block", "row", "value")))
+    parts = F.sort_array(F.collect_list(F.struct("block", "row", "value")))
     records = (
         placed.join(tails, block)
         .withColumn("record", record)
         .groupBy("file", "record")
         .agg(
-            F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("text"),
+            F.array_join(parts["value"], "\n").alias("text"),
             F.bool_or("header").alias("header"),
         )
         .withColumn("text", F.regexp_replace("text", "\r$", ""))
