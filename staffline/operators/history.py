@@ -107,10 +107,6 @@ class OrderedHistory:
         return self.rows.join(carry, self._group, "left")
 
 
-def _hot_keys(rows: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    return rows.groupBy(key).count().where(F.col("count") > hot_rows)
-
-
 def ordered_histories(
     rows: DataFrame,
     key: str,
@@ -120,26 +116,29 @@ def ordered_histories(
     """Split rows into ordered histories: one for the entities a task can hold and,
     only when there are any, one for the hot ones. Keys must not be null.
 
-    The row count is looked at first (Parquet answers it from its footers): while
-    the whole input is within ``hot_rows`` no entity can exceed it. ``None`` skips
-    the check, for callers who know that no entity is hot."""
+    While the whole input is within ``hot_rows`` no entity can exceed it, and a plain
+    count settles that. Beyond, one pass counts rows per key, summed up before they
+    are shuffled. ``None`` skips both, for callers who know that no entity is hot."""
     plain = OrderedHistory(rows, key, tuple(order))
     if hot_rows is None or rows.count() <= hot_rows:
         return [plain]
-
-    shared_dir(rows.sparkSession)
-    hot = _hot_keys(rows, key, hot_rows).checkpoint()
-    entities, hot_total = hot.agg(F.count("*"), F.sum("count")).first()
+    counts = rows.groupBy(key).count()
+    hot_count = F.when(F.col("count") > hot_rows, F.col("count"))
+    entities, hot_total = counts.agg(F.count(hot_count), F.sum(hot_count)).first()
     if not entities:
         return [plain]
 
+    shared_dir(rows.sparkSession)
+    hot = counts.where(F.col("count") > hot_rows).checkpoint()
     keys = hot.select(key)
     if entities <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     spread = int(hot_total // hot_rows) + 1
     chunked_order = (*order, _TIE)
+    # Numbered from a written copy: a task run again must number its rows alike.
     chunks = (
         rows.join(keys, key, "left_semi")
+        .checkpoint()
         .withColumn(_TIE, F.monotonically_increasing_id())
         .repartitionByRange(spread, key, *chunked_order)
         .withColumn(_CHUNK, F.spark_partition_id())

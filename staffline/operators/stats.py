@@ -270,7 +270,7 @@ def histogram(
         .otherwise(guess)
     )
     counts = data.groupBy(placed.alias("bin")).agg(F.count("*").alias("n"))
-    slots = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+    slots = spark.range(0, bins, 1, 1).select(F.col("id").cast("int").alias("bin"))
     return (
         slots.join(counts, "bin", "left")
         .select(
