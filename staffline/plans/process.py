@@ -58,12 +58,16 @@ def clean_source(raw: DataFrame, source: Source) -> DataFrame:
     return source.derive(df) if source.derive else df
 
 
+def history_contracts(cleaned: DataFrame) -> DataFrame:
+    return drop_columns(cleaned, HISTORY_UNUSED)
+
+
 def history_tables(
     cleaned: DataFrame, as_of: str | date, hot_rows: int | None = HOT_ROWS
 ) -> dict[str, DataFrame]:
     """The work history's three tables: contracts without unused columns, continuous
     periods, and person features, which still see every column."""
-    contracts = drop_columns(cleaned, HISTORY_UNUSED)
+    contracts = history_contracts(cleaned)
     periods = continuous_periods(contracts, as_of, hot_rows=hot_rows)
     features = person_features(cleaned, periods, as_of, hot_rows=hot_rows)
     return {HISTORY_OUTPUT: contracts, PERIODS_OUTPUT: periods, FEATURES_OUTPUT: features}

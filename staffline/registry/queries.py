@@ -22,7 +22,7 @@ from staffline.functions import (
     yes_no,
 )
 from staffline.operators import columns, decode, features, periods, stats
-from staffline.plans.process import clean_source, history_tables
+from staffline.plans.process import clean_source, history_contracts, history_tables
 from staffline.plans.sources import BY_OUTPUT, FEATURES_OUTPUT, HISTORY_OUTPUT, PERIODS_OUTPUT
 from staffline.registry.standins import (
     AS_OF,
@@ -485,9 +485,9 @@ def _source_query(output: str) -> Query:
 def _history_query(output: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         cleaned = clean_source(raw_history(spark, sf_dir), BY_OUTPUT[HISTORY_OUTPUT])
-        if output != HISTORY_OUTPUT:
-            cleaned = staged(cleaned)
-        return history_tables(cleaned, AS_OF)[output]
+        if output == HISTORY_OUTPUT:
+            return history_contracts(cleaned)
+        return history_tables(staged(cleaned), AS_OF)[output]
 
     query.__name__ = f"source_{output}"
     return query
