@@ -72,11 +72,12 @@ def _handed_down(nodes: DataFrame, parent: list[str], weight: Column) -> DataFra
     n = n.withColumn("open_w", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
     # The first node that stays open fixes the level for all from it on.
     stays = (F.col("grant") - F.col("full")) < F.col("level") * F.col("open_w")
-    x = F.min(F.when(stays, (F.col("grant") - F.col("full")) / F.col("open_w"))).over(by_parent)
-    n = n.withColumn("x", x)
+    n = n.withColumn("nth", F.row_number().over(order))
+    at = F.struct(F.col("nth"), ((F.col("grant") - F.col("full")) / F.col("open_w")).alias("x"))
+    n = n.withColumn("x", F.min(F.when(stays, at)).over(by_parent).getField("x"))
     n = n.withColumn("share", F.when(F.col("x").isNull(), F.col("capacity").cast("double")).otherwise(
         F.least(F.col("capacity").cast("double"), F.greatest(F.lit(0.0), F.col("w") * F.col("x")))))
-    return n.drop("w", "level", "full", "open_w", "x")
+    return n.drop("w", "level", "full", "open_w", "nth", "x")
 
 
 def leaf_budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str | None, float]], max_epochs: int) -> DataFrame:
@@ -145,16 +146,17 @@ def mixed(docs: DataFrame, domain: Column, budget_share: float, weights: dict[st
     domains, languages and sources by name, under "domain", "lang", "source"; 1 if absent.
     ``epoch_column`` names a column for the epoch, from 0; without it copies are equal."""
     cuts = staged(cut_points(docs, domain, budget_share, weights or {}, max_epochs, seed, key, lang, source, text))
-    of = [f"of{k}" for k in LEVELS]
-    leaf = dict(zip(of, (domain, F.col(lang), F.col(source)), strict=True))
-    joined = docs.join(cuts, [value.cast("string").eqNullSafe(F.col(name)) for name, value in leaf.items()])
+    cuts = cuts.select([F.col(c).alias(f"_mix_{c}") for c in cuts.columns])
+    leaf = zip(LEVELS, (domain, F.col(lang), F.col(source)), strict=True)
+    joined = docs.join(cuts, [value.cast("string").eqNullSafe(F.col(f"_mix_of{level}")) for level, value in leaf])
+    epochs = F.col("_mix_epochs")
     place = F.lit(0).cast("long")
     for epoch in range(max_epochs):
-        place = F.when(F.col("epochs") == epoch, digest(F.col(key), epoch, seed)).otherwise(place)
-    times = F.col("epochs") + F.coalesce((place <= F.col("upto")).cast("int"), F.lit(0))
-    taken = joined.withColumn("_times", times).where("_times > 0")
+        place = F.when(epochs == epoch, digest(F.col(key), epoch, seed)).otherwise(place)
+    times = epochs + F.coalesce((place <= F.col("_mix_upto")).cast("int"), F.lit(0))
+    taken = joined.withColumn("_mix_times", times).where("_mix_times > 0")
     columns = [F.col(c) for c in docs.columns]
     if max_epochs == 1 and epoch_column is None:
         return taken.select(*columns)
-    out = taken.select(*columns, F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("_epoch"))
-    return out.withColumnRenamed("_epoch", epoch_column) if epoch_column else out.drop("_epoch")
+    out = taken.select(*columns, F.explode(F.sequence(F.lit(0), F.col("_mix_times") - 1)).alias("_mix_epoch"))
+    return out.withColumnRenamed("_mix_epoch", epoch_column) if epoch_column else out.drop("_mix_epoch")

@@ -157,18 +157,18 @@ def redacted(docs: DataFrame, ledger: str | None = None) -> DataFrame:
 
     Spans of several rules that overlap or touch are replaced as one."""
     spans = findings(docs, ledger).where(F.size("found") > 0)
-    by_doc = spans.groupBy(F.col("doc_id").alias("_id"), "blob").agg(F.first("found").alias("_found"))
+    by_doc = spans.groupBy(F.col("doc_id").alias("_scan_id"), F.col("blob").alias("_scan_blob")).agg(F.first("found").alias("_scan_found"))
     names = docs.columns
     keyed = with_blob(docs).join(
-        by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_blob") == F.col("blob")), "left")
+        by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_scan_id")) & (F.col("_blob") == F.col("_scan_blob")), "left")
     merged = F.aggregate(
-        "_found",
+        "_scan_found",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, s: F.when(
             s.start >= acc["at"],
             F.struct(F.concat(acc["out"], F.substring("text", acc["at"] + 1, s.start - acc["at"]), F.lit(REPLACEMENT)).alias("out"), s.end.alias("at")),
         ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s.end).alias("at"))),
     )
-    clean = F.when(F.col("_found").isNull(), F.col("text")).otherwise(
+    clean = F.when(F.col("_scan_found").isNull(), F.col("text")).otherwise(
         F.concat(merged["out"], F.substring("text", merged["at"] + 1, F.length("text"))))
     return keyed.select(*[clean.alias("text") if c == "text" else F.col(c) for c in names])

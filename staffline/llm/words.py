@@ -114,12 +114,12 @@ class Words:
         return np.bincount(at, weights, self.n_docs).astype(np.int64)
 
 
-def buffers(texts: list[bytes], lower: bool = False) -> Iterator[tuple[slice, Words]]:
+def buffers(texts: list[bytes], lower: bool = False, most: int = BUFFER_BYTES) -> Iterator[tuple[slice, Words]]:
     """The texts in order, a buffer at a time: which of them, and their words."""
     at = 0
     while at < len(texts):
         until, size = at, 0
-        while until < len(texts) and (until == at or size + len(texts[until]) < BUFFER_BYTES):
+        while until < len(texts) and (until == at or size + len(texts[until]) < most):
             size += len(texts[until]) + 1
             until += 1
         part = texts[at:until]
