@@ -14,11 +14,14 @@ corrected for these collisions, estimates the similarity R; candidates estimated
 are confirmed on their full sets, which are made anew for just these documents.
 
 Pairs are never formed within a whole group. First every member of a bucket is compared
-with the bucket's smallest member. This links nearly all there is to link. A bucket whose
-members then still lie in several components is compared exhaustively, but only its
-members outside its largest component, with all the others, in blocks of at most
-``BLOCK`` by ``BLOCK`` signatures, and only pairs from different components that pass the
-estimate leave a block. Links inside a component change nothing and are not looked for.
+with the bucket's smallest member. This links nearly all there is to link. Where the
+members of a bucket then still lie in several components, these are compared by estimate
+in blocks of at most ``BLOCK`` by ``BLOCK`` signatures: members outside the largest
+component with all others. A block returns only which components are near each other, at
+most one pair for each component. Components brought together so form a cluster, and its
+members are compared once more in the same way on their full sets, in blocks of
+``EXACT_BLOCK``; again only links that join components leave a block. Links inside a
+component change nothing and are not looked for.
 
 Nulls and repeats: a text that is null or has no words has an empty set and is linked
 with nothing. A null doc_id is never linked, its component is null and it is kept. Rows
@@ -46,7 +49,7 @@ MINIMA = 192
 FIELD_BITS = 2
 WORDS = MINIMA // 64
 MARGIN = 0.18
-BLOCK = 1024
+BLOCK, EXACT_BLOCK = 1024, 256
 #: Minima are taken over this many set members at a time.
 TILE = 256
 
@@ -172,11 +175,15 @@ def _estimated(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     return near.where(_unequal("x", "y") <= most_unequal(percent)).select("a", "b")
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs that are similar by their full sets."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = staged(full_sets(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), size))
+    sets = staged(full_sets(_texts(docs, wanted), size))
     x = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("of_a"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -184,45 +191,90 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return pairs.join(y, "b").join(x, "a").where(100 * both >= percent * either).select("a", "b")
 
 
-def _within_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one bucket that lie in different components and pass the
-    estimate. ``rows``: key, doc_id, root and the packed minima."""
+def _spanning(block: pd.DataFrame, allowed: int, percent: int | None) -> pd.DataFrame:
+    """Links between the components of a block, no more than needed to join them: by
+    estimate alone, given as pairs of roots, or, with ``percent``, by the full sets, given
+    as pairs of documents. Each probe row is compared with all others."""
+    probe = block["probe"].to_numpy()
+    bits = block[PLANES].to_numpy(np.int64).view(np.uint64)
+    ids = block["doc_id"].to_numpy()
+    roots, root = np.unique(block["root"].to_numpy(), return_inverse=True)
+    group = np.arange(len(roots))
+    others = np.flatnonzero(~probe)
+    if percent is not None:
+        sizes = block["members"].map(len).to_numpy()
+        begin = np.cumsum(sizes) - sizes
+        _, member = np.unique(np.concatenate(block["members"].to_list()), return_inverse=True)
+        marked = np.zeros(member.max(initial=0) + 1, bool)
+    found: list[tuple[int, int]] = []
+    for at in np.flatnonzero(probe):
+        near = others[group[root[others]] != group[root[at]]]
+        unequal = np.zeros(len(near), np.int64)
+        for word in range(WORDS):
+            differs = np.zeros(len(near), np.uint64)
+            for column in range(word, len(PLANES), WORDS):
+                differs |= bits[near, column] ^ bits[at, column]
+            unequal += np.bitwise_count(differs)
+        near = near[unequal <= allowed]
+        if percent is not None and len(near):
+            own = member[begin[at] : begin[at] + sizes[at]]
+            marked[own] = True
+            n = sizes[near]
+            until = np.cumsum(n)
+            places = np.repeat(begin[near] - until + n, n) + np.arange(until[-1])
+            both = np.add.reduceat(marked[member[places]].astype(np.int64), until - n)
+            marked[own] = False
+            near = near[100 * both >= percent * (sizes[at] + n - both)]
+        for other in near:
+            mine, theirs = group[root[at]], group[root[other]]
+            if mine != theirs:
+                group[group == theirs] = mine
+                pair = (ids[at], ids[other]) if percent is not None else (roots[root[at]], roots[root[other]])
+                found.append((min(pair), max(pair)))
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def _between_components(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """``_spanning`` over all members of each key, in blocks. ``rows``: key, doc_id, root,
+    the packed minima and, if exact, the sets. Every member outside a key's largest
+    component meets every other member in some block."""
+    size = EXACT_BLOCK if exact else BLOCK
+    carried = ["key", "doc_id", "root", *PLANES, *(["members"] if exact else [])]
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"))
-    parts = lambda n: F.ceil(n / BLOCK).cast("int")
-    marked = rows.join(main, "key").select(
-        "key", "doc_id", "root", *PLANES, (F.col("root") != F.col("main")).alias("minor"),
+    parts = lambda n: F.ceil(n / size).cast("int")
+    marked = rows.join(main.where("most < total"), "key").select(
+        *carried, (F.col("root") != F.col("main")).alias("minor"),
         parts(F.col("total")).alias("n_all"), parts(F.col("total") - F.col("most")).alias("n_minor"),
     )
     spot = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), n).cast("int")
-    every = marked.select("key", "doc_id", "root", *PLANES, spot(F.col("n_all"), 1).alias("j"),
-                          F.explode(F.sequence(F.lit(0), F.col("n_minor") - 1)).alias("i"), F.lit(False).alias("probe"))
-    probes = marked.where("minor").select("key", "doc_id", "root", *PLANES, F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"),
-                                          spot(F.col("n_minor"), 2).alias("i"), F.lit(True).alias("probe"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    all_rows = marked.select(*carried, spot(F.col("n_all"), 1).alias("j"), every(F.col("n_minor")).alias("i"), F.lit(False).alias("probe"))
+    probes = marked.where("minor").select(
+        *carried, every(F.col("n_all")).alias("j"), spot(F.col("n_minor"), 2).alias("i"), F.lit(True).alias("probe"))
     allowed = most_unequal(percent)
+    blocks = all_rows.unionByName(probes).groupBy("key", "i", "j")
+    return blocks.applyInPandas(lambda block: _spanning(block, allowed, percent if exact else None), "a bigint, b bigint").distinct()
 
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        probe = block["probe"].to_numpy()
-        bits = block[PLANES].to_numpy(np.int64).view(np.uint64)
-        ids, roots = block["doc_id"].to_numpy(), block["root"].to_numpy()
-        x, y = np.flatnonzero(probe), np.flatnonzero(~probe)
-        found = [np.zeros((0, 2), np.int64)]
-        for at in x:
-            unequal = np.zeros(len(y), np.int64)
-            for word in range(WORDS):
-                differs = np.zeros(len(y), np.uint64)
-                for bit in range(FIELD_BITS):
-                    column = bit * WORDS + word
-                    differs |= bits[y, column] ^ bits[at, column]
-                unequal += np.bitwise_count(differs)
-            hit = y[(unequal <= allowed) & (roots[y] != roots[at])]
-            found.append(np.column_stack([np.minimum(ids[hit], ids[at]), np.maximum(ids[hit], ids[at])]))
-        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
-
-    columns = ["key", "i", "j", "probe", "doc_id", "root", *PLANES]
-    blocks = every.select(columns).unionAll(probes.select(columns)).groupBy("key", "i", "j")
-    return blocks.applyInPandas(compare, "a bigint, b bigint").distinct()
+
+def _rest(buckets: DataFrame, roots: DataFrame, signs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links that comparing with each bucket's smallest member has missed."""
+    labelled = buckets.join(roots, F.col("doc_id") == F.col("node"), "left").select(
+        "key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    split = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"))
+    # A pair in a bucket of two has been compared.
+    split = split.where("r0 < r1 and n > 2").select("key")
+    rows = staged(labelled.join(split, "key", "left_semi").join(signs, "doc_id"))
+    # Components that the estimate brings together form a cluster; a cluster's members
+    # are then compared once, whatever the number of buckets they share.
+    clusters = components(_between_components(rows, percent, exact=False))
+    labels = clusters.select("node", F.col("root").alias("key")).unionAll(
+        clusters.select(F.col("root").alias("node"), F.col("root").alias("key"))).distinct()
+    members = rows.drop("key").dropDuplicates(["doc_id"]).join(labels, F.col("root") == F.col("node")).drop("node")
+    members = staged(members)
+    sets = full_sets(_texts(docs, members.select("doc_id")), size).dropDuplicates(["doc_id"])
+    return _between_components(members.join(sets, "doc_id"), percent, exact=True)
 
 
 def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -244,14 +296,7 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     links = staged(_confirmed(stars, docs, size, percent).unionAll(same))
     roots = components(links)
 
-    labelled = buckets.join(roots, F.col("doc_id") == F.col("node"), "left").select(
-        "key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    split = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"))
-    # A pair in a bucket of two has been compared.
-    split = split.where("r0 < r1 and n > 2").select("key")
-    rest = staged(labelled.join(split, "key", "left_semi").join(signs, "doc_id"))
-    more = staged(_within_blocks(rest, percent).join(stars, ["a", "b"], "left_anti"))
-    late = staged(_confirmed(more, docs, size, percent))
+    late = staged(_rest(buckets, roots, signs, docs, size, percent))
     if late.take(1):
         roots = components(links.unionAll(late))
 
