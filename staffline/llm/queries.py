@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffline.llm import mixing, near_copies, packing, quality_rules, secret_scan
+from staffline.llm import html_text, mixing, near_copies, packing, pivot_search, quality_ranker, quality_rules, secret_scan, token_files, toxicity
+from staffline.llm.oracles import ORACLES  # noqa: F401
+from staffline.session import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +29,40 @@ MIX = {
 }
 
 
+def in_fold(n: int, fold: int) -> Column:
+    """Whether the CRC-32 of the doc_id as text leaves this remainder by n."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == fold, F.lit(False))
+
+
+def predicted(scored: DataFrame, held_out: Column) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold(5, 0)
+    ranker = quality_ranker.train(docs, table(spark, sf_dir, "labels"), "quality", ~held_out)
+    return predicted(quality_ranker.scored(docs, ranker), held_out)
+
+
 def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path)
+    read = token_files.read_token_files(spark, path)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     counted = quality_rules.with_counts(docs).drop("text")
@@ -57,11 +87,25 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("doc_id", "lang", "source", "epoch")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold(4, 2)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out)
+    return predicted(toxicity.scored(docs, model), held_out)
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_near_copies": op2_near_copies,
+    "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
+    "op5_top_k": op5_top_k,
     "op6_quality_rules": op6_quality_rules,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
+    "op9_html_text": op9_html_text,
+    "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
