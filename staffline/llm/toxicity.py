@@ -1,9 +1,11 @@
 """Toxicity from a lexicon, its misspellings, and their context.
 
 The lexicon is learnt: words of labelled texts that occur in toxic ones far more often than
-chance allows, given the number of words looked at, besides a few fixed ones. Words of a
-text are matched with it up to a number of edits that depends on the term's length. For
-this the lexicon is a trie, and a Levenshtein automaton runs over it: a state is the set of
+chance allows, given the number of words looked at, besides a few fixed ones. A beginning
+of words that tells as much is a term, too, a stem (written with ``*``), and stands for all
+words that begin with it. Words of a text are matched with whole terms up to a number of
+edits that depends on the term's length; the first letter must be right, and a word that
+clean texts of the sample hold more than once is no misspelling. For this the lexicon is a trie, and a Levenshtein automaton runs over it: a state is the set of
 trie nodes that the letters read so far can reach, each with the edits used. States are
 made when first needed and kept, so that a word costs a look-up for each letter, and a
 word unlike all terms is left at its third or fourth letter.
@@ -14,8 +16,11 @@ matches nearby make it abuse. Counts of matches by number of edits and by contex
 features of a logistic model.
 
 Lexicon and model are learnt from a sample of at most ``SAMPLE`` labelled documents, those
-with the smallest hashes of their ids; word counts of the sample are made by Spark, and
-only the lexicon (``TERMS`` at most) and the sample's features reach the driver. Scoring
+with the smallest hashes of their ids, without copies of one another (documents that share
+one of three minimum hashes of their word windows count once), because words of a text that
+is there many times would all seem telling. Word counts of the sample are made by Spark, and
+only the lexicon (``TERMS`` at most, and as many exceptions) and the sample's features
+reach the driver. Scoring
 runs over all documents in one pass without a shuffle and uses the text alone.
 
 Nulls: null, empty and blank texts have all features zero and get the score of a text
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staffline.llm.words import Words, as_bytes, buffers
+from staffline.llm.words import Words, as_bytes, buffers, mix
 from staffline.session import staged
 
 SAMPLE = 20_000
@@ -44,11 +49,15 @@ WINDOW = 8
 #: Edits allowed from this length of a term on.
 EDITS = ((9, 2), (5, 1), (0, 0))
 LEAST_LETTERS = 4
+#: Letters of a stem, and the share of toxic texts among those that hold it.
+STEMS, STEM_SHARE, TERM_SHARE = (4, 5, 6), 0.9, 0.5
 #: A word is taken if fewer than this many would be expected by chance among all.
 CHANCE = 0.05
+#: Words of the windows that tell copies of a document.
+COPY_WINDOW = 4
 #: States of the automaton kept; beyond, they are made anew.
 STATES = 200_000
-RIDGE = 1e-2
+RIDGE = 1e-3
 NEWTON_STEPS = 30
 
 #: Fixed values.
@@ -66,14 +75,17 @@ def edits_for(term: str) -> int:
 class FuzzyLexicon:
     """Terms of a trie within their numbers of edits of a word."""
 
-    def __init__(self, terms: Iterable[str]) -> None:
+    def __init__(self, terms: Iterable[str], exceptions: Iterable[str] = ()) -> None:
+        self.exceptions = frozenset(exceptions)
         self.children: list[dict[str, int]] = [{}]
+        self.stems: set[int] = set()
         self.allowed = [-1]  # of the term that ends here
         self.below = [-1]  # the most that any term from here on allows
         for term in terms:
-            k, node = edits_for(term), 0
+            stem = term.endswith("*")
+            k, node = 0 if stem else edits_for(term), 0
             self.below[0] = max(self.below[0], k)
-            for letter in term:
+            for letter in term.removesuffix("*"):
                 if letter not in self.children[node]:
                     self.children[node][letter] = len(self.children)
                     self.children.append({})
@@ -81,7 +93,10 @@ class FuzzyLexicon:
                     self.below.append(-1)
                 node = self.children[node][letter]
                 self.below[node] = max(self.below[node], k)
-            self.allowed[node] = k
+            if stem:
+                self.stems.add(node)
+            else:
+                self.allowed[node] = k
         self._begin()
 
     def _begin(self) -> None:
@@ -89,6 +104,7 @@ class FuzzyLexicon:
         self.sets: list[tuple] = []
         self.steps: list[dict[str, int]] = []
         self.accepts: list[int] = []
+        self.stem_here: list[bool] = []
         self.dead = self._state({})
         self.start = self._state({0: 0})
 
@@ -100,12 +116,15 @@ class FuzzyLexicon:
             if whole.get(node, 99) <= e:
                 continue
             whole[node] = e
+            if not node:
+                continue  # no edits before the first letter
             todo += [(child, e + 1) for child in self.children[node].values() if e + 1 <= self.below[child]]
         key = tuple(sorted(whole.items()))
         if key not in self.numbers:
             self.numbers[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
+            self.stem_here.append(any(e == 0 and n in self.stems for n, e in key))
             self.accepts.append(min((e for n, e in key if e <= self.allowed[n]), default=-1))
         return self.numbers[key]
 
@@ -117,23 +136,32 @@ class FuzzyLexicon:
                 reached[node] = e
 
         for node, e in self.sets[state]:
-            reach(node, e + 1)  # the letter is one too many
+            if node:
+                reach(node, e + 1)  # the letter is one too many
             for own, child in self.children[node].items():
-                reach(child, e if own == letter else e + 1)
+                if node or own == letter:
+                    reach(child, e if own == letter else e + 1)
         after = self._state(reached)
         self.steps[state][letter] = after
         return after
 
     def edits(self, word: str) -> int:
-        """The fewest edits to a term that allows them; -1 if there is none."""
+        """The fewest edits to a term that allows them; -1 if there is none. A word that
+        begins with a stem needs none."""
+        found = self._edits(word)
+        return -1 if found >= 0 and word in self.exceptions else found
+
+    def _edits(self, word: str) -> int:
         if len(self.sets) > STATES:
             self._begin()
-        state, dead, steps = self.start, self.dead, self.steps
+        state, dead, steps, stem_here = self.start, self.dead, self.steps, self.stem_here
         for letter in word:
             after = steps[state].get(letter)
             state = self._step(state, letter) if after is None else after
             if state == dead:
                 return -1
+            if stem_here[state]:
+                return 0
         return self.accepts[state]
 
 
@@ -142,8 +170,9 @@ def bare(word: str) -> str:
 
 
 FEATURES = ("exact", "one_edit", "two_edits", "quoted", "addressed", "together", "share")
-#: Without labels to learn from.
-FIXED_WEIGHTS, FIXED_BIAS = np.array([3.0, 1.0, 0.5, -2.0, 0.5, 0.5, 0.5]), -2.0
+#: Without labels to learn from, and where the sample has no such match: fitting shrinks
+#: towards these.
+FIXED_WEIGHTS, FIXED_BIAS = np.array([3.0, 2.5, 1.5, -0.5, 0.5, 0.5, 1.0]), -3.0
 
 
 def features(words: Words, lexicon: FuzzyLexicon) -> np.ndarray:
@@ -180,6 +209,7 @@ def features(words: Words, lexicon: FuzzyLexicon) -> np.ndarray:
 @dataclass(frozen=True)
 class Model:
     terms: tuple[str, ...]
+    exceptions: tuple[str, ...] = ()
     weights: np.ndarray = field(default_factory=lambda: FIXED_WEIGHTS)
     bias: float = FIXED_BIAS
 
@@ -187,42 +217,44 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(rows @ self.weights + self.bias, -60, 60)))
 
 
-_lexicons: dict[tuple[str, ...], FuzzyLexicon] = {}
+_lexicons: dict[tuple, FuzzyLexicon] = {}
 
 
-def lexicon_of(terms: tuple[str, ...]) -> FuzzyLexicon:
+def lexicon_of(terms: tuple[str, ...], exceptions: tuple[str, ...] = ()) -> FuzzyLexicon:
     """Kept by each Python worker between tasks, one at a time."""
-    if terms not in _lexicons:
+    if (terms, exceptions) not in _lexicons:
         _lexicons.clear()
-        _lexicons[terms] = FuzzyLexicon(terms)
-    return _lexicons[terms]
+        _lexicons[terms, exceptions] = FuzzyLexicon(terms, exceptions)
+    return _lexicons[terms, exceptions]
 
 
-def fit(terms: tuple[str, ...], rows: np.ndarray, toxic: np.ndarray) -> Model:
+def fit(terms: tuple[str, ...], exceptions: tuple[str, ...], rows: np.ndarray, toxic: np.ndarray) -> Model:
     if not len(rows) or toxic.min() == toxic.max():
-        return Model(terms)
+        return Model(terms, exceptions)
     x = np.column_stack([rows, np.ones(len(rows))])
-    ridge = RIDGE * np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-4
-    w = np.zeros(x.shape[1])
+    ridge = np.append(np.full(rows.shape[1], RIDGE), 0)
+    prior = np.append(FIXED_WEIGHTS, FIXED_BIAS)
+    w = prior.copy()
     for _ in range(NEWTON_STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(x) + ridge / 10, x.T @ (toxic - p) / len(x) - ridge @ w / 10)
+        curve = (x * (p * (1 - p))[:, None]).T @ x / len(x) + np.diag(ridge + 1e-9)
+        step = np.linalg.solve(curve, x.T @ (toxic - p) / len(x) - ridge * (w - prior))
         w += step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-8:
             break
-    return Model(terms, w[:-1], float(w[-1]))
+    return Model(terms, exceptions, w[:-1], float(w[-1]))
 
 
 def _sample_words(sample: DataFrame) -> DataFrame:
-    """Each document's distinct words with its label."""
+    """Each document's distinct words and beginnings of words with its label."""
 
     def split(batches):
         for batch in batches:
             words, labels = [], []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = {bare(w) for w in (text or "").lower().split()}
-                own = {w for w in own if len(w) >= LEAST_LETTERS}
+                own = {w for w in own if len(w) >= LEAST_LETTERS and "*" not in w}
+                own |= {f"{w[:n]}*" for w in own for n in STEMS if len(w) > n}
                 words += own
                 labels += [label] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], names=["word", "toxic"])
@@ -230,21 +262,57 @@ def _sample_words(sample: DataFrame) -> DataFrame:
     return sample.select("text", "toxic").mapInArrow(split, "word string, toxic int")
 
 
-def learn_terms(sample: DataFrame) -> tuple[str, ...]:
+def without_copies(sample: DataFrame) -> DataFrame:
+    """``sample``: doc_id, text, toxic. One of the documents that share a minimum hash."""
+
+    def least(batches):
+        for batch in batches:
+            hashes = np.zeros((3, batch.num_rows), np.int64)
+            for part, words in buffers(as_bytes(batch.column(1)), lower=True):
+                keys, first = words.windows(COPY_WINDOW)
+                doc = words.doc[first]
+                for n in range(3):
+                    # Texts without a window are told apart by their place.
+                    own = np.arange(part.start, part.stop, dtype=np.uint64) + np.uint64(batch.num_rows * n)
+                    np.minimum.at(low := np.full(words.n_docs, 2**64 - 1, np.uint64), doc, mix(keys + np.uint64(n)))
+                    hashes[n, part] = np.where(low == 2**64 - 1, mix(own), low).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, hashes)], names=["doc_id", "text", "toxic", "h0", "h1", "h2"])
+
+    out = sample.select("doc_id", "text", "toxic").mapInArrow(least, "doc_id bigint, text string, toxic int, h0 bigint, h1 bigint, h2 bigint")
+    for n in range(3):
+        whole = F.min_by(F.struct("doc_id", "text", "toxic", "h0", "h1", "h2"), F.struct("doc_id", F.xxhash64("text")))
+        out = out.groupBy(F.col(f"h{n}").alias("h")).agg(whole.alias("d")).select("d.*")
+    return out.select("text", "toxic")
+
+
+def learn_terms(sample: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """Words for which the toxic share among the texts that hold them cannot be chance:
-    texts * divergence(share, overall share) bounds the logarithm of its probability."""
+    texts * divergence(share, overall share) bounds the logarithm of its probability. Also
+    words that these terms would match though clean texts hold them."""
     facts = sample.agg(F.avg("toxic").alias("rate")).first()
     rate = facts.rate
     if not rate or rate >= 1:
-        return tuple(sorted(SEEDS))
+        return tuple(sorted(SEEDS)), ()
     counts = _sample_words(sample).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
     counts = staged(counts)
     needed = log(max(counts.count(), 1) / CHANCE)
     share = F.col("bad") / F.col("n")
     good = 1 - share
     divergence = share * F.log(share / rate) + F.when(good > 0, good * F.log(good / (1 - rate))).otherwise(0.0)
-    strong = counts.where("bad > 0").withColumn("weight", F.col("n") * divergence).where((share > rate) & (share >= 0.5) & (F.col("weight") > needed))
-    return tuple(sorted({*SEEDS, *(r.word for r in strong.orderBy(F.desc("weight"), "word").limit(TERMS).collect())}))
+    least = F.when(F.col("word").endswith("*"), STEM_SHARE).otherwise(TERM_SHARE)
+    strong = counts.where("bad > 0").withColumn("weight", F.col("n") * divergence).where(
+        (share > rate) & (share >= least) & (F.col("weight") > needed))
+    terms = tuple(sorted({*SEEDS, *(r.word for r in strong.orderBy(F.desc("weight"), "word").limit(TERMS).collect())}))
+
+    def matched(batches):
+        lexicon = lexicon_of(terms)
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            yield batch.filter(pa.array([lexicon.edits(w) >= 0 for w in words], pa.bool_()))
+
+    clean = counts.where((F.col("n") - F.col("bad") > 1) & (share < TERM_SHARE) & ~F.col("word").endswith("*"))
+    clean = clean.select("word", "n").mapInArrow(matched, "word string, n bigint")
+    return terms, tuple(sorted(r.word for r in clean.orderBy(F.desc("n"), "word").limit(TERMS).collect()))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column) -> Model:
@@ -253,11 +321,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column) -> Mo
     known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     # SAMPLE rows at most.
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    sample = staged(sample.select("text", "toxic").limit(2 * SAMPLE))
-    terms = learn_terms(sample)
+    sample = staged(without_copies(sample.limit(2 * SAMPLE)))
+    terms, exceptions = learn_terms(sample)
 
     def measure(batches):
-        lexicon = lexicon_of(terms)
+        lexicon = lexicon_of(terms, exceptions)
         for batch in batches:
             x = np.zeros((batch.num_rows, len(FEATURES)))
             for part, words in buffers(as_bytes(batch.column(0)), lower=True):
@@ -265,14 +333,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column) -> Mo
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
 
     rows = sample.select("text", "toxic").mapInArrow(measure, "toxic int, x array<double>").toPandas()
-    return fit(terms, np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES)), rows["toxic"].to_numpy(float))
+    return fit(terms, exceptions, np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES)), rows["toxic"].to_numpy(float))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id and score."""
 
     def run(batches):
-        lexicon = lexicon_of(model.terms)
+        lexicon = lexicon_of(model.terms, model.exceptions)
         for batch in batches:
             score = np.zeros(batch.num_rows)
             for part, words in buffers(as_bytes(batch.column(1)), lower=True):

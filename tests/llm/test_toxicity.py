@@ -34,7 +34,7 @@ def test_the_automaton_is_the_edit_distance(monkeypatch, states):
                 at = rng.randrange(len(word) + 1)
                 word[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "g"])
             word = "".join(word)
-        want = [d for term in terms if (d := distance(word, term)) <= t.edits_for(term)]
+        want = [d for term in terms if word[:1] == term[0] and (d := distance(word[1:], term[1:])) <= t.edits_for(term)]
         assert lexicon.edits(word) == min(want, default=-1), word
 
 
@@ -46,8 +46,9 @@ def test_held_out_documents(spark):
     assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.3)).all()
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas()
     both = got[got.held_out].merge(labels, on="doc_id")
-    assert (both.predicted == both.toxic).mean() > 0.95
+    assert (both.predicted == both.toxic).mean() > 0.93
     assert both[both.toxic == 1].predicted.mean() > 0.6
+    assert both[both.toxic == 0].predicted.mean() < 0.02
 
 
 def test_held_out_labels_change_nothing(spark, sf_dir):
@@ -78,8 +79,14 @@ def test_words_that_only_toxic_texts_hold_are_learnt(spark):
         if i % 8 == 0:
             words.insert(5, "Grumfeld,")
         rows.append((" ".join(words), int(i % 8 == 0)))
-    terms = t.learn_terms(spark.createDataFrame(rows, "text string, toxic int"))
-    assert set(terms) - set(t.SEEDS) == {"grumfeld"}
+    rows += [("grumfend is a word of clean texts", 0)] * 2
+    terms, exceptions = t.learn_terms(spark.createDataFrame(rows, "text string, toxic int"))
+    assert exceptions == ("grumfend",)
+    assert set(terms) - set(t.SEEDS) == {"grumfeld", "grum*", "grumf*", "grumfe*"}
+    copies = spark.createDataFrame([(i, rows[i % 5][0] + f" end{i // 5 % 2}", 0) for i in range(50)] + [(60, "", 0), (61, None, 0)], "doc_id long, text string, toxic int")
+    assert 5 <= t.without_copies(copies).count() <= 9
+    lexicon = t.FuzzyLexicon(["grumf*", "worthless"])
+    assert [lexicon.edits(w) for w in ("grumfling", "grumf", "grunfling", "worthles", "grum")] == [0, 0, -1, 1, -1]
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 0), (2, 0)], [(1, 1), (6, 0), (None, 1), (5, None), (99, 0)]])
