@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffline.session import staged
+from staffline.session import released, staged
 
 
 def _rewired(edges: DataFrame, large: bool) -> DataFrame:
@@ -46,6 +46,7 @@ def components(links: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         turned = staged(_rewired(_rewired(edges, large=True), large=False))
+        released(edges)
         edges, last, mark = turned, mark, _mark(turned)
         if mark == last and mark[0] == mark[2]:
             break

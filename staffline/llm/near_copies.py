@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from staffline.llm.components import components
 from staffline.llm.words import as_bytes, buffers, mix, stream
-from staffline.session import staged
+from staffline.session import released, staged
 
 SHINGLE = 4
 PERCENT = 80
@@ -188,7 +188,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     y = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     either = F.size("of_a") + F.size("of_b") - both
-    return pairs.join(y, "b").join(x, "a").where(100 * both >= percent * either).select("a", "b")
+    found = staged(pairs.join(y, "b").join(x, "a").where(100 * both >= percent * either).select("a", "b"))
+    released(sets)
+    return found
 
 
 def _spanning(block: pd.DataFrame, allowed: int, percent: int | None) -> pd.DataFrame:
@@ -274,7 +276,9 @@ def _rest(buckets: DataFrame, roots: DataFrame, signs: DataFrame, docs: DataFram
     members = rows.drop("key").dropDuplicates(["doc_id"]).join(labels, F.col("root") == F.col("node")).drop("node")
     members = staged(members)
     sets = full_sets(_texts(docs, members.select("doc_id")), size).dropDuplicates(["doc_id"])
-    return _between_components(members.join(sets, "doc_id"), percent, exact=True)
+    found = staged(_between_components(members.join(sets, "doc_id"), percent, exact=True))
+    released(rows, members)
+    return found
 
 
 def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -293,12 +297,14 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     stars = staged(_estimated(
         buckets.where("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), signs, percent))
     same = member.where("first_id < doc_id").select(F.col("first_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = staged(_confirmed(stars, docs, size, percent).unionAll(same))
+    links = _confirmed(stars, docs, size, percent).unionAll(same)
+    released(stars)
     roots = components(links)
 
-    late = staged(_rest(buckets, roots, signs, docs, size, percent))
+    late = _rest(buckets, roots, signs, docs, size, percent)
     if late.take(1):
         roots = components(links.unionAll(late))
+    released(first, buckets)
 
     by_row = member.join(roots, F.col("first_id") == F.col("node"), "left")
     # A row repeated under one doc_id may hold several texts; its component is the least.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from staffline.llm import html_text, mixing, near_copies, packing, pivot_search, quality_ranker, quality_rules, secret_scan, token_files, toxicity
 from staffline.llm.oracles import ORACLES  # noqa: F401
-from staffline.session import shared_dir
+from staffline.session import shared_dir, staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    counted = quality_rules.with_counts(docs).drop("text")
+    counted = staged(quality_rules.with_counts(docs).drop("text"))
     judged = quality_rules.judged(counted, quality_rules.cutoffs(counted))
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 

@@ -55,8 +55,10 @@ STEMS, STEM_SHARE, TERM_SHARE = (4, 5, 6), 0.9, 0.5
 CHANCE = 0.05
 #: Words of the windows that tell copies of a document.
 COPY_WINDOW = 4
-#: States of the automaton kept; beyond, they are made anew.
+#: States of the automaton and words with their edits kept; beyond, they are made anew.
 STATES = 200_000
+KEPT_WORDS = 2_000_000
+BUFFER = 2 << 20
 RIDGE = 1e-3
 NEWTON_STEPS = 30
 
@@ -77,6 +79,7 @@ class FuzzyLexicon:
 
     def __init__(self, terms: Iterable[str], exceptions: Iterable[str] = ()) -> None:
         self.exceptions = frozenset(exceptions)
+        self.known, self.known_edits = np.zeros(0, np.uint64), np.zeros(0, np.int8)
         self.children: list[dict[str, int]] = [{}]
         self.stems: set[int] = set()
         self.allowed = [-1]  # of the term that ends here
@@ -99,6 +102,28 @@ class FuzzyLexicon:
                 self.allowed[node] = k
         self._begin()
 
+    def edits_of(self, words: Words) -> np.ndarray:
+        """The edits of each word. Words met before are looked up by their hashes."""
+        unique, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        if len(self.known) + len(unique) > KEPT_WORDS:
+            self.known, self.known_edits = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        at = np.searchsorted(self.known, unique)
+        there = np.zeros(len(unique), bool)
+        inside = at < len(self.known)
+        there[inside] = self.known[at[inside]] == unique[inside]
+        found = np.full(len(unique), -1, np.int8)
+        found[there] = self.known_edits[at[there]]
+        new = np.flatnonzero(~there)
+        if len(new):
+            whole = words.buffer.tobytes()
+            start, end = words.start[first[new]].tolist(), words.end[first[new]].tolist()
+            found[new] = [self.edits(bare(whole[a:b].decode().lower())) for a, b in zip(start, end, strict=True)]
+            # Two sorted runs: a stable sort merges them.
+            keys = np.concatenate([self.known, unique[new]])
+            order = np.argsort(keys, kind="stable")
+            self.known, self.known_edits = keys[order], np.concatenate([self.known_edits, found[new]])[order]
+        return found[which]
+
     def _begin(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.sets: list[tuple] = []
@@ -179,16 +204,11 @@ def features(words: Words, lexicon: FuzzyLexicon) -> np.ndarray:
     out = np.zeros((words.n_docs, len(FEATURES)))
     if not len(words.start):
         return out
-    _, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-    whole = words.buffer.tobytes()
-    text_of = lambda i: whole[words.start[i] : words.end[i]].decode().lower()
-    found = np.full(len(first), -1, np.int8)
-    for at, i in enumerate(first):
-        if words.end[i] - words.start[i] >= LEAST_LETTERS - 1:
-            found[at] = lexicon.edits(bare(text_of(i)))
-    edits = found[which]
+    edits = lexicon.edits_of(words)
     hits = np.flatnonzero(edits >= 0)
     bounds = np.searchsorted(words.doc, np.arange(words.n_docs + 1))
+    whole = words.buffer.tobytes() if len(hits) else b""
+    text_of = lambda i: whole[words.start[i] : words.end[i]].decode().lower()
     for hit in hits:
         doc = words.doc[hit]
         low, high = max(bounds[doc], hit - WINDOW), min(bounds[doc + 1], hit + WINDOW + 1)
@@ -328,7 +348,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column) -> Mo
         lexicon = lexicon_of(terms, exceptions)
         for batch in batches:
             x = np.zeros((batch.num_rows, len(FEATURES)))
-            for part, words in buffers(as_bytes(batch.column(0)), lower=True):
+            for part, words in buffers(as_bytes(batch.column(0)), lower=True, most=BUFFER):
                 x[part] = features(words, lexicon)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
 
@@ -343,7 +363,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         lexicon = lexicon_of(model.terms, model.exceptions)
         for batch in batches:
             score = np.zeros(batch.num_rows)
-            for part, words in buffers(as_bytes(batch.column(1)), lower=True):
+            for part, words in buffers(as_bytes(batch.column(1)), lower=True, most=BUFFER):
                 score[part] = model.scores(features(words, lexicon))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
