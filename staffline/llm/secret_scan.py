@@ -63,8 +63,8 @@ def find(rule: Rule, text: str) -> list[tuple[int, int]]:
 
 
 def with_blob(versions: DataFrame, text: str = "text") -> DataFrame:
-    """The content address of each row's text."""
-    return versions.withColumn("_blob", F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256))
+    """The content address of each row's text, 32 bytes."""
+    return versions.withColumn("_blob", F.unhex(F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256)))
 
 
 def _pairs(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
@@ -84,11 +84,11 @@ def scan(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
                     rows.append((blob, kind, by_kind[kind].version, spans))
             blobs, kinds, versions, spans = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(blobs, pa.string()), pa.array(kinds, pa.string()), pa.array(versions, pa.int32()),
+                [pa.array(blobs, pa.binary()), pa.array(kinds, pa.string()), pa.array(versions, pa.int32()),
                  pa.array(spans, pa.list_(pa.list_(pa.int32())))], names=["blob", "kind", "version", "spans"])
 
     return texts.select("_blob", "_text", "_kinds").mapInArrow(
-        run, "blob string, kind string, version int, spans array<array<int>>")
+        run, "blob binary, kind string, version int, spans array<array<int>>")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
@@ -119,11 +119,11 @@ def update_ledger(versions: DataFrame, ledger: str | None, rules: tuple[Rule, ..
     # Keys may repeat or be null, so the row to scan is one that has the blob itself.
     todo = todo.select(F.col("_blob").alias("_todo"), "_least", "_kinds").hint("shuffle_hash")
     texts = keyed.join(todo, F.col("_key").eqNullSafe(F.col("_least")) & (F.col("_blob") == F.col("_todo")))
-    fresh = scan(texts.select("_blob", F.coalesce("_text", F.lit("")).alias("_text"), "_kinds"), rules).dropDuplicates(["blob", "kind"])
+    fresh = scan(texts.select("_blob", F.coalesce("_text", F.lit("")).alias("_text"), "_kinds"), rules)
     if ledger is None:
         return staged(fresh)
     fresh.write.mode("append").parquet(ledger)
-    return spark.read.parquet(ledger).join(_pairs(spark, rules), ["kind", "version"], "left_semi").dropDuplicates(["blob", "kind"])
+    return spark.read.parquet(ledger).join(_pairs(spark, rules), ["kind", "version"], "left_semi")
 
 
 def findings(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES,
@@ -135,10 +135,12 @@ def findings(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     for at, rule in enumerate(rules):
         order = F.when(F.col("kind") == rule.kind, at).otherwise(order)
     spans = F.transform("spans", lambda s: F.struct(s[0].alias("start"), order.alias("rank"), F.col("kind"), s[1].alias("end")))
-    by_blob = rows.where(F.size("spans") > 0).groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(spans))).alias("found"))
+    # Few rows have findings; repeated rows of a text may be scanned twice.
+    once = rows.where(F.size("spans") > 0).groupBy("blob", "kind").agg(F.first("spans").alias("spans"))
+    by_blob = staged(once.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(spans))).alias("found")))
     paths = with_blob(versions.select(F.col(key), F.col(text).cast("string").alias("_text")), "_text").drop("_text")
     return paths.join(by_blob.withColumnRenamed("blob", "_of"), F.col("_blob") == F.col("_of"), "left").select(
-        F.col(key), F.col("_blob").alias("blob"),
+        F.col(key), F.lower(F.hex("_blob")).alias("blob"),
         F.coalesce("found", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")).alias("found"))
 
 
@@ -157,10 +159,10 @@ def redacted(docs: DataFrame, ledger: str | None = None) -> DataFrame:
 
     Spans of several rules that overlap or touch are replaced as one."""
     spans = findings(docs, ledger).where(F.size("found") > 0)
-    by_doc = spans.groupBy(F.col("doc_id").alias("_scan_id"), F.col("blob").alias("_scan_blob")).agg(F.first("found").alias("_scan_found"))
+    by_doc = spans.groupBy(F.col("doc_id").alias("_scan_id"), F.unhex("blob").alias("_scan_blob")).agg(F.first("found").alias("_scan_found"))
     names = docs.columns
     keyed = with_blob(docs).join(
-        by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_scan_id")) & (F.col("_blob") == F.col("_scan_blob")), "left")
+        staged(by_doc), F.col("doc_id").eqNullSafe(F.col("_scan_id")) & (F.col("_blob") == F.col("_scan_blob")), "left")
     merged = F.aggregate(
         "_scan_found",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
