@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from staffline.llm.tokens import encoder, tokenizer_path
 from staffline.llm.words import as_bytes
+from staffline.session import staged
 
 BLOCK = 256
 PERCENTILE = 95
@@ -217,5 +218,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     docs = table.select("file", "segment", "data").mapInArrow(
         read, "file int, segment int, doc_id bigint, in_segment bigint, n_tokens bigint, ids binary")
-    return docs.join(starts, ["file", "segment"]).select(
+    # Written first, so that Spark knows that it is small and leaves the ids where they are.
+    return docs.join(staged(starts), ["file", "segment"]).select(
         "doc_id", (F.col("segment_start") + F.col("in_segment")).alias("start"), "n_tokens", "ids")
