@@ -55,6 +55,8 @@ STEMS, STEM_SHARE, TERM_SHARE = (4, 5, 6), 0.9, 0.5
 CHANCE = 0.05
 #: Words of the windows that tell copies of a document.
 COPY_WINDOW = 4
+#: Texts whose words are counted at once, and tasks for the sample.
+AT_ONCE, TASKS = 100, 24
 #: States of the automaton and words with their edits kept; beyond, they are made anew.
 STATES = 200_000
 KEPT_WORDS = 2_000_000
@@ -266,20 +268,27 @@ def fit(terms: tuple[str, ...], exceptions: tuple[str, ...], rows: np.ndarray, t
 
 
 def _sample_words(sample: DataFrame) -> DataFrame:
-    """Each document's distinct words and beginnings of words with its label."""
+    """Per word or beginning of words how many texts hold it, and how many toxic ones, from
+    partial counts of ``AT_ONCE`` texts."""
 
-    def split(batches):
+    def count(batches):
         for batch in batches:
-            words, labels = [], []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {bare(w) for w in (text or "").lower().split()}
-                own = {w for w in own if len(w) >= LEAST_LETTERS and "*" not in w}
-                own |= {f"{w[:n]}*" for w in own for n in STEMS if len(w) > n}
-                words += own
-                labels += [label] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], names=["word", "toxic"])
-
-    return sample.select("text", "toxic").mapInArrow(split, "word string, toxic int")
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                seen: dict[str, list[int]] = {}
+                for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    own = {bare(w) for w in (text or "").lower().split()}
+                    own = {w for w in own if len(w) >= LEAST_LETTERS and "*" not in w}
+                    for w in own | {f"{w[:n]}*" for w in own for n in STEMS if len(w) > n}:
+                        n = seen.setdefault(w, [0, 0])
+                        n[0] += 1
+                        n[1] += label
+                n, bad = zip(*seen.values(), strict=True) if seen else ((), ())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(seen), pa.string()), pa.array(n, pa.int64()), pa.array(bad, pa.int64())], names=["word", "n", "bad"])
+
+    counts = sample.select("text", "toxic").mapInArrow(count, "word string, n bigint, bad bigint")
+    return counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
 def without_copies(sample: DataFrame) -> DataFrame:
@@ -313,8 +322,7 @@ def learn_terms(sample: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
     rate = facts.rate
     if not rate or rate >= 1:
         return tuple(sorted(SEEDS)), ()
-    counts = _sample_words(sample).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
-    counts = staged(counts)
+    counts = staged(_sample_words(sample))
     needed = log(max(counts.count(), 1) / CHANCE)
     share = F.col("bad") / F.col("n")
     good = 1 - share
@@ -341,7 +349,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column) -> Mo
     known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     # SAMPLE rows at most.
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    sample = staged(without_copies(sample.limit(2 * SAMPLE)))
+    sample = staged(without_copies(sample.limit(2 * SAMPLE)).repartition(TASKS))
     terms, exceptions = learn_terms(sample)
 
     def measure(batches):
