@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql import types as T
 
 from staffline.functions import column, strip
@@ -15,6 +15,7 @@ from staffline.functions.flags import NO, YES, flag_from, normalised
 from staffline.functions.numbers import integer_from, number_from
 from staffline.functions.text import blank_to_null
 from staffline.operators.history import ORDINAL
+from staffline.session import staged
 
 UNKNOWN = "DESCONOCIDA"
 
@@ -123,10 +124,8 @@ def is_missing(df: DataFrame, name: str) -> Column:
     return missing
 
 
-def profile(df: DataFrame, flags: bool = False) -> dict[str, ColumnProfile]:
-    """Null ratio and constancy of every column (and whether it holds nothing but
-    yes/no spellings) in one aggregate: a few small states per column, no distinct
-    counts and no row shuffle. The reading order column is left out."""
+def _profile_aggregates(df: DataFrame, flags: bool) -> tuple[list[str], list[Column]]:
+    """A few small states per column; the reading order column is left out."""
     names = [n for n in df.columns if n != ORDINAL]
     aggregates = []
     for i, name in enumerate(names):
@@ -141,15 +140,34 @@ def profile(df: DataFrame, flags: bool = False) -> dict[str, ColumnProfile]:
         if flags:
             spelled = F.bool_and(normalised(present).isin(*YES, *NO))
             aggregates.append(F.coalesce(spelled, F.lit(False)).alias(f"flag_{i}"))
-    if not aggregates:
-        return {}
-    row = df.agg(*aggregates).first().asDict()
+    return names, aggregates
+
+
+def _profiles(names: list[str], row: Mapping[str, object]) -> dict[str, ColumnProfile]:
     return {
         name: ColumnProfile(row[f"nulls_{i}"], row[f"constant_{i}"], row.get(f"flag_{i}"))
         for i, name in enumerate(names)
     }
 
 
+def profile(df: DataFrame, flags: bool = False) -> dict[str, ColumnProfile]:
+    """Null ratio and constancy of every column (and whether it holds nothing but
+    yes/no spellings) in one aggregate, without distinct counts or a row shuffle."""
+    names, aggregates = _profile_aggregates(df, flags)
+    return _profiles(names, df.agg(*aggregates).first().asDict()) if names else {}
+
+
+def staged_with_profile(df: DataFrame) -> tuple[DataFrame, dict[str, ColumnProfile]]:
+    """The table written once, see ``staged``, and its profile, taken while writing. What
+    is behind the table runs once; later steps read only the columns they keep."""
+    names, aggregates = _profile_aggregates(df, flags=False)
+    if not names:
+        return df, {}
+    seen = Observation()
+    out = staged(df.observe(seen, *aggregates))
+    return out, _profiles(names, seen.get)
+
+
 def sparse_columns(profiles: Mapping[str, ColumnProfile], threshold: float) -> list[str]:
     return [
         n for n, p in profiles.items() if p.null_ratio is not None and p.null_ratio >= threshold
@@ -175,11 +193,19 @@ def drop_constant(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     return drop_columns(df, constant_columns(profile(df), keep))
 
 
+def without_uninformative(
+    df: DataFrame,
+    profiles: Mapping[str, ColumnProfile],
+    threshold: float = 0.99,
+    keep: Iterable[str] = (),
+) -> DataFrame:
+    gone = {*sparse_columns(profiles, threshold), *constant_columns(profiles, keep)}
+    return drop_columns(df, gone)
+
+
 def drop_uninformative(
     df: DataFrame, threshold: float = 0.99, keep: Iterable[str] = ()
 ) -> DataFrame:
     """``drop_sparse`` then ``drop_constant``, for the price of one pass. ``keep``
     protects from the second only."""
-    profiles = profile(df)
-    gone = {*sparse_columns(profiles, threshold), *constant_columns(profiles, keep)}
-    return drop_columns(df, gone)
+    return without_uninformative(df, profile(df), threshold, keep)

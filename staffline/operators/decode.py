@@ -84,8 +84,16 @@ def override(key: Column, corrections: Mapping, value: Column) -> Column:
     return F.coalesce(lookup(key, corrections), value) if corrections else value
 
 
+def require_unique(table: DataFrame, key: str) -> None:
+    """A repeated key would multiply the rows it is joined to."""
+    repeated = table.where(column(key).isNotNull()).groupBy(key).count().where("count > 1")
+    if found := [r[0] for r in repeated.select(key).limit(5).collect()]:
+        raise ValueError(f"{key} is not unique, for example {found}")
+
+
 def override_from(df: DataFrame, corrections: DataFrame, key: str, value: str) -> DataFrame:
     """As ``override``, with the corrections in a table of (key, value)."""
+    require_unique(corrections, key)
     fixed = corrections.select(key, F.col(value).alias("_fixed"))
     joined = df.join(fixed, key, "left")
     return joined.withColumn(value, F.coalesce("_fixed", column(value))).select(*df.columns)
@@ -101,7 +109,7 @@ def unmapped_codes(df: DataFrame, name: str, known: Mapping | DataFrame) -> Data
 
 
 def require_mapped(df: DataFrame, name: str, known: Mapping | DataFrame) -> None:
-    stray = [r[0] for r in unmapped_codes(df, name, known).limit(20).collect()]
+    stray = sorted(r[0] for r in unmapped_codes(df, name, known).collect())
     if stray:
         raise AssertionError(f"codes without a description in {name}: {stray}")
 
@@ -109,6 +117,7 @@ def require_mapped(df: DataFrame, name: str, known: Mapping | DataFrame) -> None
 def decode_from(df: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
     """Left-join a catalogue's descriptions. Spark measures the catalogue and
     broadcasts it if small; a large one is joined by key, hot keys split."""
+    require_unique(catalogue, key)
     return df.join(catalogue, key, "left")
 
 

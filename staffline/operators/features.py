@@ -201,7 +201,11 @@ def _across_tasks(history: OrderedHistory, have: set[str], ordered: list[Column]
     if POST in have:
         several = F.bool_or((F.col("kind") == "year") & F.coalesce("several", F.lit(False)))
         out.append(several.alias("MULTIPLES_CARGOS_MISMO_ANIO"))
-    return features.join(values.groupBy(PERSON).agg(*out), PERSON, "left")
+    # A person without any such value has no row on the right.
+    none = {distinct: 0 for _, distinct, _ in inputs.values()}
+    if POST in have:
+        none["MULTIPLES_CARGOS_MISMO_ANIO"] = False
+    return features.join(values.groupBy(PERSON).agg(*out), PERSON, "left").na.fill(none)
 
 
 def feature_columns(have: Iterable[str], with_pay: bool) -> list[str]:
@@ -269,6 +273,27 @@ def contract_features(
     return union_all(results)
 
 
+def change_counts(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """How many of each person's contracts count as changes, by the usual rule and by the
+    null-safe one, from one history."""
+    require_columns(df, [PERSON, START])
+    contracts = df.where(F.col(PERSON).isNotNull() & F.col(START).isNotNull()).select(
+        PERSON,
+        ntz(F.col(START)).alias("_start"),
+        *(F.col(t).alias("_order") for t in tie_break(df)),
+        *(F.col(c) for c in (POST, PAY) if c in df.columns),
+    )
+    results = []
+    for part in ordered_histories(contracts, PERSON, ["_start", "_order"], hot_rows):
+        part = flag_changes(part, "_usual")
+        part = flag_changes(part, "_null_safe", null_safe=True)
+        results.append(part.rows.groupBy(PERSON).agg(
+            F.count_if("_usual").alias("changes"),
+            F.count_if("_null_safe").alias("changes_null_safe"),
+        ))
+    return union_all(results)
+
+
 def tenure_features(periods: DataFrame, as_of: str | date) -> DataFrame:
     """Tenure of each person, from continuous periods."""
     summary = periods.groupBy(PERSON).agg(

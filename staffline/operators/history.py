@@ -17,10 +17,9 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from staffline.session import shared_dir
+from staffline.session import staged
 
 HOT_ROWS = 1_000_000
-BROADCAST_ROWS = 1_000_000
 
 # A row's place in the file it was read from, when the source kept it.
 ORDINAL = "_ORDINAL"
@@ -38,7 +37,6 @@ class OrderedHistory:
     key: str
     order: tuple[str, ...]
     chunk: str | None = None
-    small_carry: bool = False
 
     @property
     def _group(self) -> list[str]:
@@ -95,16 +93,10 @@ class OrderedHistory:
             .orderBy(self.chunk)
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        carry = (
-            self.rows.groupBy(*self._group)
-            .agg(per_chunk.alias("_total"))
-            .select(*self._group, over_chunks.over(earlier).alias("_carry"))
-            .where("_carry IS NOT NULL")
-            .checkpoint()
-        )
-        if self.small_carry:
-            carry = F.broadcast(carry)
-        return self.rows.join(carry, self._group, "left")
+        totals = self.rows.groupBy(*self._group).agg(per_chunk.alias("_total"))
+        carry = totals.select(*self._group, over_chunks.over(earlier).alias("_carry"))
+        # Read from a written table, whose size Spark knows when it chooses the join.
+        return self.rows.join(staged(carry.where("_carry IS NOT NULL")), self._group, "left")
 
 
 def ordered_histories(
@@ -116,11 +108,10 @@ def ordered_histories(
     """Split rows into ordered histories: one for the entities a task can hold and,
     only when there are any, one for the hot ones. Keys must not be null.
 
-    While the whole input is within ``hot_rows`` no entity can exceed it, and a plain
-    count settles that. Beyond, one pass counts rows per key, summed up before they
-    are shuffled. ``None`` skips both, for callers who know that no entity is hot."""
+    One pass counts rows per key, summed up before they are shuffled. ``None`` skips it,
+    for callers who know that no entity is hot."""
     plain = OrderedHistory(rows, key, tuple(order))
-    if hot_rows is None or rows.count() <= hot_rows:
+    if hot_rows is None:
         return [plain]
     counts = rows.groupBy(key).count()
     hot_count = F.when(F.col("count") > hot_rows, F.col("count"))
@@ -128,27 +119,19 @@ def ordered_histories(
     if not entities:
         return [plain]
 
-    shared_dir(rows.sparkSession)
-    hot = counts.where(F.col("count") > hot_rows).checkpoint()
-    keys = hot.select(key)
-    if entities <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
+    keys = staged(counts.where(F.col("count") > hot_rows).select(key))
     spread = int(hot_total // hot_rows) + 1
     chunked_order = (*order, _TIE)
     # Numbered from a written copy: a task run again must number its rows alike.
-    chunks = (
-        rows.join(keys, key, "left_semi")
-        .checkpoint()
+    chunks = staged(
+        staged(rows.join(keys, key, "left_semi"))
         .withColumn(_TIE, F.monotonically_increasing_id())
         .repartitionByRange(spread, key, *chunked_order)
         .withColumn(_CHUNK, F.spark_partition_id())
-        .checkpoint()
     )
     return [
         replace(plain, rows=rows.join(keys, key, "left_anti")),
-        OrderedHistory(
-            chunks, key, chunked_order, _CHUNK, entities + spread <= BROADCAST_ROWS
-        ),
+        OrderedHistory(chunks, key, chunked_order, _CHUNK),
     ]
 
 

@@ -37,9 +37,6 @@ START = "FECHAINICIOCONTRATO"
 PLANNED_END = "FECHAFINCONTRATO"
 DISMISSAL = "FECHADESVINCULACION"
 
-# A period with more contracts than this has its list as rows, see contract_periods.
-LISTED_CONTRACTS = 1_000_000
-
 # Stands for an open end while comparing; beyond every date the parser lets through.
 _OPEN = "9999-12-31"
 
@@ -116,7 +113,7 @@ def _id_text(history: OrderedHistory) -> Column:
     return F.array_join(entries["_contract"].cast("array<string>"), ",")
 
 
-def _group_periods(history: OrderedHistory, listed: int, with_ids: bool) -> DataFrame:
+def _group_periods(history: OrderedHistory, with_ids: bool) -> DataFrame:
     bounds = [
         F.min("_start").alias("_from"),
         F.max(F.struct("_stretch", "_end")).alias("_last"),
@@ -127,27 +124,17 @@ def _group_periods(history: OrderedHistory, listed: int, with_ids: bool) -> Data
         ids = [_id_text(history).alias(CONTRACT)] if with_ids else []
         return history.rows.groupBy(*period).agg(*bounds, *ids)
 
-    # A hot person's period: list each chunk's share first (a chunk is bounded),
-    # then string the shares of periods short enough to be listed.
+    # A hot person's period: each chunk's share is made into text first (a chunk is
+    # bounded), then the shares are strung together in order.
     shares = history.rows.groupBy(*period, history.chunk).agg(
         *bounds, _id_text(history).alias("_share")
     )
-    size = F.sum("N_CONTRATOS").over(Window.partitionBy(*period))
-    kept = F.when(size <= listed, F.struct(history.chunk, "_share"))
-    return (
-        shares.withColumn("_kept", kept)
-        .groupBy(*period)
-        .agg(
-            F.min("_from").alias("_from"),
-            F.max("_last").alias("_last"),
-            F.sum("N_CONTRATOS").alias("N_CONTRATOS"),
-            F.sort_array(F.collect_list("_kept")).alias("_kept"),
-        )
-        .withColumn(
-            CONTRACT,
-            F.when(F.size("_kept") > 0, F.array_join(F.col("_kept._share"), ",")),
-        )
-        .drop("_kept")
+    texts = F.sort_array(F.collect_list(F.struct(history.chunk, "_share")))
+    return shares.groupBy(*period).agg(
+        F.min("_from").alias("_from"),
+        F.max("_last").alias("_last"),
+        F.sum("N_CONTRATOS").alias("N_CONTRATOS"),
+        F.array_join(texts["_share"], ",").alias(CONTRACT),
     )
 
 
@@ -155,17 +142,16 @@ def continuous_periods(
     df: DataFrame,
     as_of: str | date,
     with_ids: bool = True,
-    listed: int = LISTED_CONTRACTS,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Merge each person's contracts into continuous periods.
 
-    Open periods last until ``as_of``. ``IDCONTRATOLABORAL`` holds the contract ids
-    in order; it is null for a period of a hot person with more than ``listed``
-    contracts, whose ids ``contract_periods`` gives as rows."""
+    Open periods last until ``as_of``. ``IDCONTRATOLABORAL`` holds the ids of all the
+    period's contracts in order; ``contract_periods`` gives them as rows. A list too
+    long for one cell makes the job fail; nothing is left out."""
     require_columns(df, [PERSON, CONTRACT, START])
     parts = _histories(df, hot_rows)
-    periods = union_all([_group_periods(p, listed, with_ids) for p in parts])
+    periods = union_all([_group_periods(p, with_ids) for p in parts])
     end = F.nullif(F.col("_last._end"), ntz(_OPEN))
     lasting = days_between(F.col("_from"), F.coalesce(end, ntz(as_of))) + 1
     return periods.select(

@@ -194,11 +194,18 @@ def quantiles(
     pairs = [(int(place), min(int(place) + 1, total - 1)) for place in places]
     found = _rank_values(values, sorted({r for pair in pairs for r in pair}), total, task_rows)
     return [
-        found[lower] * (1 - (place - lower)) + found[upper] * (place - lower)
+        _between(found[lower], found[upper], lower + 1 - place, place - lower)
         for place, (lower, upper) in zip(places, pairs)
     ]
 
 
+def _between(low: float, high: float, of_low: float, of_high: float) -> float:
+    """Part of the way from low to high; infinities stay what they are."""
+    if of_high == 0 or low == high:
+        return low
+    return of_low * low + of_high * high
+
+
 def describe(df: DataFrame, name: str, task_rows: int = TASK_ROWS) -> DataFrame:
     """Count, mean, standard deviation, minimum, quartiles and maximum."""
     quarter, half, three = quantiles(df, column(name), [0.25, 0.5, 0.75], task_rows)
@@ -289,8 +296,19 @@ def rows_removed(before: DataFrame, after: DataFrame) -> DataFrame:
     counts = before.agg(F.count("*").alias("b"), none.alias("a")).unionByName(
         after.agg(none.alias("b"), F.count("*").alias("a"))
     )
-    return counts.agg(
-        F.sum("b").alias("rows_before"),
-        F.sum("a").alias("rows_after"),
-        (F.sum("b") - F.sum("a")).alias("rows_removed"),
+    return _removed(counts, F.sum("b"), F.sum("a"))
+
+
+def duplicates_removed(df: DataFrame) -> DataFrame:
+    """``rows_removed`` by dropping repeated rows, in one scan: copies fold together
+    before the shuffle."""
+    copies = df.groupBy(*(column(n) for n in df.columns)).agg(F.count("*").alias("_copies"))
+    return _removed(copies, F.coalesce(F.sum("_copies"), F.lit(0)), F.count("*"))
+
+
+def _removed(rows: DataFrame, before: Column, after: Column) -> DataFrame:
+    return rows.agg(
+        before.alias("rows_before"),
+        after.alias("rows_after"),
+        (before - after).alias("rows_removed"),
     )

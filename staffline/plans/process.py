@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from staffline.functions import column
 from staffline.operators.columns import (
     cast_flags,
     cast_integers,
@@ -16,12 +17,21 @@ from staffline.operators.columns import (
     collapse_repeated,
     drop_columns,
     drop_duplicate_rows,
-    drop_uninformative,
     fill_text,
+    staged_with_profile,
+    without_uninformative,
 )
+from staffline.operators.decode import override_from
 from staffline.operators.features import person_features
-from staffline.operators.history import HOT_ROWS
-from staffline.operators.periods import continuous_periods
+from staffline.operators.history import HOT_ROWS, ORDINAL, union_all
+from staffline.operators.periods import continuous_periods, period_count_distribution
+from staffline.operators.stats import (
+    describe,
+    iqr_outliers,
+    null_percentages,
+    rows_removed,
+    table_shape,
+)
 from staffline.plans.sources import (
     FEATURES_OUTPUT,
     HISTORY_OUTPUT,
@@ -36,8 +46,8 @@ from staffline.sources.sinks import write_table
 
 
 def clean_source(raw: DataFrame, source: Source) -> DataFrame:
-    """Clean and type a raw table. One aggregate over it decides which columns
-    survive; all else stays lazy."""
+    """Clean and type a raw table. The trimmed text is written once to the shared folder
+    and profiled on the way; the profile decides which columns survive."""
     df = source.prepare(raw) if source.prepare else raw
     df = df.withColumnsRenamed(dict(source.rename))
     df = clean_strings(df)
@@ -45,7 +55,8 @@ def clean_source(raw: DataFrame, source: Source) -> DataFrame:
         df = collapse_repeated(df)
     if source.fill:
         df = fill_text(df, source.fill)
-    df = drop_uninformative(df, source.sparse_from, source.keep)
+    df, profiles = staged_with_profile(df)
+    df = without_uninformative(df, profiles, source.sparse_from, source.keep)
     if source.dedupe:
         df = drop_duplicate_rows(df)
     df = drop_columns(df, source.drop)
@@ -58,6 +69,61 @@ def clean_source(raw: DataFrame, source: Source) -> DataFrame:
     return source.derive(df) if source.derive else df
 
 
+def chart_rows(cleaned: DataFrame, source: Source) -> DataFrame:
+    """The numbers behind all of a source's charts, one row per point: chart, key, n. A
+    histogram's key is the number of its bin. A column dropped as uninformative has no
+    chart."""
+    parts = []
+    for chart in source.charts:
+        if chart.value is None and chart.column not in cleaned.columns:
+            continue
+        data = chart.data(cleaned)
+        key = F.col("bin") if "bin" in data.columns else column(data.columns[0])
+        name = F.lit(f"{chart.kind}:{chart.column}").alias("chart")
+        parts.append(data.select(name, key.cast("string").alias("key"), "n"))
+    return union_all(parts)
+
+
+def summary_rows(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows, columns and duplicate rows of a table before and after cleaning."""
+    return union_all([
+        table_shape(df.drop(ORDINAL)).withColumn("stage", F.lit(stage))
+        for stage, df in (("before", before), ("after", after))
+    ])
+
+
+def pay_review(contracts: DataFrame) -> DataFrame:
+    """Contracts whose pay lies beyond the box-plot whiskers, largest first, to be looked
+    at by people; their corrections go to ``process_source``."""
+    mask, _, _ = iqr_outliers(contracts, "RMU")
+    return contracts.where(mask).orderBy(F.desc("RMU"), "IDCONTRATOLABORAL")
+
+
+def write_reports(
+    raw: DataFrame, tables: dict[str, DataFrame], source: Source, out_dir: str
+) -> dict[str, str]:
+    """What people look at besides the tables; report name -> path written."""
+    cleaned = tables[source.output]
+    reports = {"summary": summary_rows(raw, cleaned)}
+    nulls = {"before": raw.drop(ORDINAL), "after": cleaned}
+    reports["nulls"] = union_all(
+        [null_percentages(df).withColumn("stage", F.lit(stage)) for stage, df in nulls.items()]
+    )
+    if source.charts:
+        reports["charts"] = chart_rows(cleaned, source)
+    if source.dedupe:
+        reports["removed"] = rows_removed(raw, cleaned)
+    if source.output == HISTORY_OUTPUT:
+        reports["periods"] = period_count_distribution(tables[PERIODS_OUTPUT])
+        if "RMU" in cleaned.columns:
+            reports["pay"] = describe(cleaned, "RMU")
+            reports["pay_review"] = pay_review(cleaned)
+    return {
+        f"{source.output}_{name}": write_table(df, f"{out_dir}/reports/{source.output}_{name}")
+        for name, df in reports.items()
+    }
+
+
 def history_contracts(cleaned: DataFrame) -> DataFrame:
     return drop_columns(cleaned, HISTORY_UNUSED)
 
@@ -74,11 +140,18 @@ def history_tables(
 
 
 def processed_tables(
-    raw: DataFrame, source: Source, as_of: str | date, hot_rows: int | None = HOT_ROWS
+    raw: DataFrame,
+    source: Source,
+    as_of: str | date,
+    hot_rows: int | None = HOT_ROWS,
+    corrections: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """All tables one source gives. The cleaned work history feeds three of them and
-    is staged, so that the raw extract is parsed for it only once."""
+    is staged, so that the raw extract is parsed for it only once. ``corrections`` holds
+    values to overlay: the column to find a row by, then the column to correct."""
     cleaned = clean_source(raw, source)
+    if corrections is not None:
+        cleaned = override_from(cleaned, corrections, *corrections.columns)
     if source.output == HISTORY_OUTPUT:
         return history_tables(staged(cleaned), as_of, hot_rows)
     return {source.output: cleaned}
@@ -91,15 +164,23 @@ def process_source(
     out_dir: str,
     as_of: str | date,
     fmt: str = "parquet",
+    corrections: DataFrame | None = None,
+    reports: bool = False,
 ) -> dict[str, str]:
-    """Read, clean and write one source; output name -> path written."""
+    """Read, clean and write one source; output name -> path written. ``reports`` adds
+    summaries before and after, chart data and, for the work history, the pay review."""
     raw = read_csv(
         spark, f"{raw_dir}/{source.file}.csv", with_ordinal=source.output == HISTORY_OUTPUT
     )
-    tables = processed_tables(raw, source, as_of)
-    return {
+    tables = processed_tables(raw, source, as_of, corrections=corrections)
+    written = {
         name: write_table(table, f"{out_dir}/{name}", fmt) for name, table in tables.items()
     }
+    if reports:
+        if fmt == "parquet":
+            tables = {name: spark.read.parquet(path) for name, path in written.items()}
+        written |= write_reports(raw, tables, source, out_dir)
+    return written
 
 
 def process_all(
@@ -109,8 +190,9 @@ def process_all(
     as_of: str | date,
     sources: Iterable[Source] = SOURCES,
     fmt: str = "parquet",
+    reports: bool = False,
 ) -> dict[str, str]:
     written: dict[str, str] = {}
     for source in sources:
-        written |= process_source(spark, source, raw_dir, out_dir, as_of, fmt)
+        written |= process_source(spark, source, raw_dir, out_dir, as_of, fmt, reports=reports)
     return written

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from staffline.functions.text import BLANK_AFTER_TRIM, NULL_TOKENS
 from staffline.plans.sources import (
-    BY_OUTPUT,
     FEATURES_OUTPUT,
     HISTORY_OUTPUT,
     PERIODS_OUTPUT,
 )
-from staffline.registry.standins import HISTORY_FILLED_SQL, HISTORY_SQL, RAW, Cell, raw_sql
+from staffline.registry.standins import (
+    CELLS,
+    HISTORY_FILLED_SQL,
+    HISTORY_SQL,
+    RAW,
+    Cell,
+    raw_sql,
+)
+
+# Spelled out here too, so that a slip in the library's lists shows.
+NULL_TOKENS = (
+    "", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+    "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+BLANK_AFTER_TRIM = ("", "nan", "None")
+DEDUPED = ("heteroevaluacion_disponible", "proyecto_grado")
 
 FAR = "TIMESTAMP '9999-12-31'"
 AS_OF = "TIMESTAMP '2002-01-01'"
@@ -257,11 +270,11 @@ def _typed(cell: Cell) -> list[str]:
 
 
 def source_query(output: str) -> str:
-    _, cells = RAW[output]
+    cells = CELLS[output]
     kept = [c for c in cells if not c.gone]
     texts = ", ".join(f'{cleaned(chr(34) + c.name + chr(34))} AS "{c.name}"' for c in cells)
     listed = [x for c in kept for x in _typed(c)]
-    distinct = "DISTINCT " if BY_OUTPUT[output].dedupe else ""
+    distinct = "DISTINCT " if output in DEDUPED else ""
     if output == "carga_politecnica_disponible":
         on = [f'("TERMINO{i}" IS NOT NULL)' for i in (1, 2, 3)]
         for i, term in enumerate(on, start=1):
@@ -317,7 +330,8 @@ def bins(source: str, n: int, clip: float | None) -> str:
     limit = f"WHERE x <= (SELECT quantile_cont(x, {clip}) FROM src)" if clip else ""
     return f"""WITH src AS ({source}),
     d AS (SELECT x FROM src {limit}),
-    b AS (SELECT min(x) AS lo, max(x) AS hi FROM d),
+    m AS (SELECT CASE WHEN min(x) = max(x) THEN 0.5 ELSE 0.0 END AS w FROM d),
+    b AS (SELECT min(x) - any_value(w) AS lo, max(x) + any_value(w) AS hi FROM d, m),
     e AS (SELECT CAST(i AS INTEGER) AS bin, lo + i * ((hi - lo) / {n}) AS lower,
                  CASE WHEN i = {n} - 1 THEN hi ELSE lo + (i + 1) * ((hi - lo) / {n}) END AS upper
           FROM b, range({n}) t(i))
@@ -326,6 +340,78 @@ def bins(source: str, n: int, clip: float | None) -> str:
     GROUP BY bin"""
 
 
+# Kind, column and size of each source's charts. A histogram's size is
+# its bins and, unless all values count, the quantile it ends at.
+CHARTS = {
+    "capacitaciones_todas": "year FECHAINICIO, top TIPOEVENTODESCRIPCION 10, per_key IDPERSONA 30 0.99",
+    "carga_academica_disponible": "histogram NUMREGISTRADOS 30 0.99, top NOMBREUNIDAD 10",
+    "carga_politecnica_disponible": "counts ANIO, top NOMBREUNIDAD 10, counts NUM_TERMINOS",
+    "catalogo_actividades_carga": "top ACTIVIDAD 10, top DURACIONTIPO 19",
+    "certificados_todos": "year FECHAINICIO, top CERTIFICADOPOR 10, top TIPOMODALIDADDESCRIPCION 15",
+    "datos_personales_ultimos_5anios": "histogram EDAD 25, top SEXO 15, top ESTADOCIVIL 15, top PROVINCIAORIGEN 10",
+    "experiencia_externa": "top CATEXPERIENCIA_DESC 15, top ROLACADEMICO_DESC 15, histogram DURACION_ANIOS 30 0.99, top PAIS 10",
+    "heteroevaluacion_disponible": "histogram PROMEDIO 30, counts ANIO, top UNIDAD 10, histogram TASA_PARTICIPACION 30",
+    "idiomas_personas": "top IDIOMA 12, top NIVELLECTURA 15, counts LENGUANATIVA",
+    "mencion_honor": "year FECHA, top INSTITUCION 10, top TIPO 15",
+    "ponentes_todos": "year FECHAINICIO, top NOMBREPAIS 10, top TIPOMODALIDADDESCRIPCION 15, histogram DURACION 30 0.99",
+    "proyecto_grado": "year FECHASUSTENTACION, top NOMBREPROGRAMA 10, top NIVELFORMACION 15",
+    "proyectos_investigacion_disponible": "year FECHAINICIO, top STRTIPO 15, top STRAREACAMPOAMPLIO 10, top INSTITUCION_EXTERNA 10",
+    "proyectos_vinculacion_disponible": "year FECHAINICIO, top NOMBREPROGRAMA 10, top ROLPROYECTO 15",
+    "publicaciones": "counts ANIO, top TIPOPUBLICACION 10, top CUARTIL 15",
+    "reporte_titulaciones_educacion": "year FechaGraduacion, top Nivel 15, top Institucion 10, top Pais 10",
+}
+CHART_VALUES = {
+    "DURACION_ANIOS": (
+        '(date_diff(\'day\', CAST("FECHADESDE" AS DATE), CAST("FECHAHASTA" AS DATE)) - CASE WHEN '
+        'CAST("FECHAHASTA" AS TIME) < CAST("FECHADESDE" AS TIME) THEN 1 ELSE 0 END) / 365.25'
+    ),
+    "TASA_PARTICIPACION": 'CASE WHEN "REGISTRADOS" <> 0 THEN "EVALUADOS" / "REGISTRADOS" END',
+}
+
+
+def _chart(kind: str, name: str, *size: str) -> str:
+    c = f'"{name}"'
+    label = f"'{kind}:{name}' AS chart"
+    if kind == "year":
+        return f"SELECT {label}, CAST(year({c}) AS VARCHAR) AS key, count(*) AS n FROM cleaned WHERE {c} IS NOT NULL GROUP BY 2"
+    if kind == "counts":
+        return f"SELECT {label}, CAST({c} AS VARCHAR) AS key, count(*) AS n FROM cleaned WHERE {c} IS NOT NULL GROUP BY 2"
+    if kind == "top":
+        return (
+            f"SELECT * FROM (SELECT {label}, {c} AS key, count(*) AS n FROM cleaned "
+            f"WHERE {c} <> '' GROUP BY 2 ORDER BY n DESC, key LIMIT {size[0]})"
+        )
+    if kind == "per_key":
+        source = f"SELECT CAST(count(*) AS DOUBLE) AS x FROM cleaned WHERE {c} IS NOT NULL GROUP BY {c}"
+    else:
+        source = f"SELECT CAST(x AS DOUBLE) AS x FROM (SELECT {CHART_VALUES.get(name, c)} AS x FROM cleaned) WHERE x IS NOT NULL"
+    binned = bins(source, int(size[0]), float(size[1]) if len(size) > 1 else None)
+    return f"SELECT {label}, CAST(bin AS VARCHAR) AS key, n FROM ({binned})"
+
+
+def charts_query(output: str) -> str:
+    parts = [_chart(*chart.split()) for chart in CHARTS[output].split(", ")]
+    return f"WITH cleaned AS MATERIALIZED ({source_query(output)}) " + " UNION ALL ".join(parts)
+
+
+def summary_query(output: str) -> str:
+    cells = ", ".join(
+        f'CASE WHEN "{c.name}" NOT IN {_in(NULL_TOKENS)} THEN "{c.name}" END AS "{c.name}"'
+        for c in CELLS[output]
+    )
+    stages = {
+        "before": f"SELECT {cells} FROM ({raw_sql(output)}) r",
+        "after": source_query(output),
+    }
+    parts = [
+        f"SELECT (SELECT count(*) FROM ({sql})) AS rows, CAST((SELECT count(*) FROM "
+        f"(DESCRIBE {sql})) AS INTEGER) AS columns, (SELECT count(*) FROM ({sql})) - "
+        f"(SELECT count(*) FROM (SELECT DISTINCT * FROM ({sql}))) AS duplicate_rows, '{stage}' AS stage"
+        for stage, sql in stages.items()
+    ]
+    return " UNION ALL ".join(parts)
+
+
 def _percent(c: str) -> str:
     return half_even(f"(1 - count({c}) / count(*)) * 100", 1)
 
@@ -333,6 +419,7 @@ def _percent(c: str) -> str:
 ORACLES: dict[str, str] = {
     "continuous_periods": periods_query(PLAIN),
     "continuous_periods_inverted": INVERTED,
+    "continuous_periods_hot": periods_query(PLAIN),
     "contract_periods": f"""WITH {islands(PLAIN)}
         SELECT p AS "IDPERSONA", isl AS "PERIODO", id AS "IDCONTRATOLABORAL",
                s AS "FECHAINICIOCONTRATO" FROM island""",
@@ -342,6 +429,7 @@ ORACLES: dict[str, str] = {
         SELECT n_periodos_continuos, count(*) AS n_personas
         FROM (SELECT count(*) AS n_periodos_continuos FROM period GROUP BY p) GROUP BY 1""",
     "person_features": f"WITH {feature_rows(HISTORY_SQL)} SELECT * FROM feature",
+    "person_features_hot": f"WITH {feature_rows(HISTORY_SQL)} SELECT * FROM feature",
     "person_features_rmu": PAY,
     "person_tenure": f"""WITH {period_rows(PLAIN)}, {tenure_rows()},
         r AS (SELECT o_custkey AS "IDPERSONA", count(*) AS "N_REGISTROS_HISTORIAL",
@@ -428,13 +516,13 @@ ORACLES: dict[str, str] = {
         LEFT JOIN nation ON n_nationkey = c_nationkey
         LEFT JOIN region ON r_regionkey = n_regionkey""",
     "subset_check": """SELECT c_custkey, c_name FROM customer
-        WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
+        WHERE c_custkey NOT IN (SELECT 2 * o_custkey FROM orders)""",
     "event_subset": """SELECT event_id, event_type, value FROM events
         WHERE event_type = 'signup' AND value <= 5""",
     "correction_overlay": """SELECT o_orderkey, COALESCE(fixed, CASE o_orderkey WHEN 1 THEN 10.0
           WHEN 2 THEN 20.0 END, o_totalprice) AS o_totalprice
         FROM orders LEFT JOIN (SELECT l_orderkey, max(l_extendedprice) AS fixed FROM lineitem
-          WHERE l_linenumber = 7 GROUP BY 1) ON l_orderkey = o_orderkey""",
+          GROUP BY 1 HAVING count(*) >= 5) ON l_orderkey = o_orderkey""",
     "active_term_list": """WITH t AS (SELECT p_partkey, CAST(p_partkey % 2 = 0 AS INTEGER) AS a1,
         CAST(p_partkey % 3 <> 0 AS INTEGER) AS a2, 0 AS a3 FROM part)
         SELECT *, a1 + a2 + a3 AS n_terms,
@@ -489,6 +577,25 @@ ORACLES: dict[str, str] = {
         {half_even("quantile_cont(o_totalprice, 0.5)", 3)} AS p50,
         {half_even("quantile_cont(o_totalprice, 0.75)", 3)} AS p75,
         {half_even("max(o_totalprice)", 3)} AS max FROM orders""",
+    "quantiles_narrowed": f"""WITH v AS (SELECT CASE WHEN event_id % 50 = 0 THEN 'inf'::DOUBLE
+          WHEN event_id % 60 = 1 THEN '-inf'::DOUBLE WHEN event_id % 7 = 2 THEN NULL
+          WHEN event_id % 9 <> 3 THEN round(value, 1) END AS x FROM events),
+        s AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM v WHERE x IS NOT NULL),
+        p AS (SELECT unnest([0.0, 0.005, 0.25, 0.5, 0.75, 0.99, 1.0])::DOUBLE AS p),
+        w AS (SELECT p, p * (SELECT count(*) - 1 FROM s) AS pos FROM p),
+        q AS (SELECT p, pos, a.x AS lo, b.x AS hi FROM w JOIN s a ON a.i = floor(pos)
+          JOIN s b ON b.i = ceil(pos)),
+        r AS (SELECT p, CASE WHEN lo = hi THEN lo ELSE lo * (ceil(pos) - pos) + hi * (pos - floor(pos)) END AS x
+          FROM q)
+        SELECT p, CASE WHEN isinf(x) THEN x ELSE {half_even("x", 6)} END AS quantile FROM r""",
+    "csv_messy_round_trip": """SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CASE c_custkey % 4
+          WHEN 0 THEN concat('5" pipe, ', c_name)
+          WHEN 1 THEN concat(c_name, chr(10), chr(10), 'second, line', c_mktsegment)
+          WHEN 2 THEN concat(c_name, chr(13), chr(10), '"quoted"', c_mktsegment)
+          ELSE c_name END AS "the
+note" FROM customer""",
+    **{f"summary_{output}": summary_query(output) for output in RAW},
+    **{f"charts_{output}": charts_query(output) for output in CHARTS},
     "csv_round_trip": """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey,
         c_acctbal, c_mktsegment, concat('say "', c_name, '",', c_mktsegment) AS note
         FROM customer""",

@@ -22,7 +22,13 @@ from staffline.functions import (
     yes_no,
 )
 from staffline.operators import columns, decode, features, periods, stats
-from staffline.plans.process import clean_source, history_contracts, history_tables
+from staffline.plans.process import (
+    chart_rows,
+    clean_source,
+    history_contracts,
+    history_tables,
+    summary_rows,
+)
 from staffline.plans.sources import BY_OUTPUT, FEATURES_OUTPUT, HISTORY_OUTPUT, PERIODS_OUTPUT
 from staffline.registry.standins import (
     AS_OF,
@@ -51,6 +57,11 @@ def continuous_periods_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.continuous_periods(contracts(spark, sf_dir, inverted=True), AS_OF)
 
 
+def continuous_periods_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of persons too large for a task, for all with more than eight contracts."""
+    return periods.continuous_periods(contracts(spark, sf_dir), AS_OF, hot_rows=8)
+
+
 def contract_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.contract_periods(contracts(spark, sf_dir))
 
@@ -74,6 +85,11 @@ def person_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.contract_features(history, AS_OF)
 
 
+def person_features_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = decode.describe_contracts(work_history(spark, sf_dir))
+    return features.contract_features(history, AS_OF, hot_rows=8)
+
+
 def person_features_rmu(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = decode.describe_contracts(work_history(spark, sf_dir))
     both = features.contract_features(history, AS_OF, with_pay=True)
@@ -92,12 +108,7 @@ def change_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = work_history(spark, sf_dir).select(
         "IDPERSONA", "IDCONTRATOLABORAL", "FECHAINICIOCONTRATO", "CARGO", "RMU"
     )
-    usual = features.contract_features(history, AS_OF)
-    strict = features.contract_features(history, AS_OF, null_safe_changes=True)
-    return usual.select("IDPERSONA", F.col("N_CONTRATOS_TOTAL").alias("changes")).join(
-        strict.select("IDPERSONA", F.col("N_CONTRATOS_TOTAL").alias("changes_null_safe")),
-        "IDPERSONA",
-    )
+    return features.change_counts(history)
 
 
 # --- cleaning and typing ------------------------------------------------------
@@ -186,7 +197,7 @@ def dedupe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rows_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
-    return stats.rows_removed(lines, columns.drop_duplicate_rows(lines))
+    return stats.duplicates_removed(lines)
 
 
 def _spelled_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +278,7 @@ def decode_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decode_or_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.substring("o_orderstatus", 1, 1)
+    code = F.col("o_orderstatus")
     mode = F.when(code == "F", "L").otherwise(code)
     described = decode.lookup_or_blank(mode, decode.TRAINING_MODE)
     return table(spark, sf_dir, "orders").select("o_orderkey", described.alias("mode"))
@@ -315,9 +326,10 @@ def catalog_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers absent from the orders: rows that would break a subset relation."""
+    """Customers whose key is not twice an ordering one's: rows that break a subset
+    relation."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf_dir, "orders").select((2 * F.col("o_custkey")).alias("c_custkey"))
     return decode.not_in(customers, orders, "c_custkey")
 
 
@@ -332,10 +344,9 @@ def correction_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrections from a dictionary, then from a table of corrected orders."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     fixed = decode.override(F.col("o_orderkey"), {1: 10.0, 2: 20.0}, F.col("o_totalprice"))
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 7")
-    corrections = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.max("l_extendedprice").alias("o_totalprice")
-    )
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    priced = lines.agg(F.max("l_extendedprice").alias("o_totalprice"), F.count("*").alias("n"))
+    corrections = priced.where("n >= 5").drop("n")
     overlaid = orders.withColumn("o_totalprice", fixed)
     return decode.override_from(overlaid, corrections, "o_orderkey", "o_totalprice")
 
@@ -460,6 +471,22 @@ def describe_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quantiles_narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles found by narrowing, among ties, infinities and values that are none."""
+    k, value = F.col("event_id"), F.col("value")
+    odd = (
+        F.when(k % 50 == 0, float("inf")).when(k % 60 == 1, float("-inf"))
+        .when(k % 7 == 2, float("nan")).when(k % 9 != 3, F.round(value, 1))
+    )
+    rows = table(spark, sf_dir, "events").select(odd.alias("value"))
+    chosen = [0.0, 0.005, 0.25, 0.5, 0.75, 0.99, 1.0]
+    found = stats.quantiles(rows, F.col("value"), chosen, task_rows=100)
+    return spark.createDataFrame(list(zip(chosen, found)), "p double, quantile double").select(
+        "p", F.when(F.abs("quantile") == float("inf"), F.col("quantile"))
+        .otherwise(round_half_even(F.col("quantile"), 6)).alias("quantile")
+    )
+
+
 # --- sources and sinks --------------------------------------------------------
 
 
@@ -474,6 +501,42 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.cast_numbers(df, ["c_acctbal"])
 
 
+def csv_messy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes, line breaks of both kinds and a header that spans lines."""
+    scale = sf_dir.rstrip("/").rsplit("/", 1)[-1]
+    path = f"{shared_dir(spark)}/csv-messy-{scale}-{spark.sparkContext.applicationId}"
+    k = F.col("c_custkey")
+    note = (
+        F.when(k % 4 == 0, F.concat(F.lit('5" pipe, '), "c_name"))
+        .when(k % 4 == 1, F.concat("c_name", F.lit("\n\nsecond, line"), "c_mktsegment"))
+        .when(k % 4 == 2, F.concat("c_name", F.lit('\r\n"quoted"'), "c_mktsegment"))
+        .otherwise(F.col("c_name"))
+    )
+    customers = table(spark, sf_dir, "customer").select("c_custkey", note.alias("the\nnote"))
+    write_table(customers, path, "csv")
+    return columns.cast_integers(read_csv(spark, path), ["c_custkey"])
+
+
+def _charts_query(output: str) -> Query:
+    """The numbers of all of a source's charts."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source = BY_OUTPUT[output]
+        return chart_rows(staged(clean_source(raw_extract(spark, sf_dir, output), source)), source)
+
+    query.__name__ = f"charts_{output}"
+    return query
+
+
+def _summary_query(output: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        raw = raw_extract(spark, sf_dir, output)
+        return summary_rows(raw, clean_source(raw, BY_OUTPUT[output]))
+
+    query.__name__ = f"summary_{output}"
+    return query
+
+
 def _source_query(output: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return clean_source(raw_extract(spark, sf_dir, output), BY_OUTPUT[output])
@@ -496,8 +559,10 @@ def _history_query(output: str) -> Query:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        continuous_periods, continuous_periods_inverted, contract_periods, month_cut_gaps,
-        period_count_distribution, person_features, person_features_rmu, person_tenure,
+        continuous_periods, continuous_periods_inverted, continuous_periods_hot,
+        contract_periods, month_cut_gaps,
+        period_count_distribution, person_features, person_features_hot, person_features_rmu,
+        person_tenure,
         change_count, clean_strings, null_tokens, fill_missing_text, repair_text,
         collapse_repeated, null_and_constant_profile, surviving_columns, dedupe_rows,
         rows_removed, parse_dates, parse_ints, parse_numbers, yes_no_binary, yes_no_detected,
@@ -507,8 +572,11 @@ QUERIES: dict[str, Query] = {
         duration_and_ratio, event_gap_days, table_summary, null_percentages, value_counts,
         value_counts_with_nulls, value_counts_in_order, topk_values, rows_per_year,
         rows_per_person, histogram_bins, histogram_unclipped, iqr_outliers,
-        iqr_outlier_count, describe_numeric, csv_round_trip,
+        iqr_outlier_count, describe_numeric, quantiles_narrowed, csv_round_trip,
+        csv_messy_round_trip,
         *(_source_query(output) for output in RAW),
+        *(_summary_query(output) for output in RAW),
+        *(_charts_query(output) for output in RAW if BY_OUTPUT[output].charts),
         *(_history_query(o) for o in (HISTORY_OUTPUT, PERIODS_OUTPUT, FEATURES_OUTPUT)),
     )
 }

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from staffline.functions import null_if_token
 from staffline.operators.columns import apply_steps
+from staffline.plans.sources import BY_OUTPUT
 
 AS_OF = "2002-01-01"
 
@@ -330,9 +331,37 @@ RAW: dict[str, tuple[str, tuple[Cell, ...]]] = {
 }
 
 
+def _completed(output: str) -> tuple[Cell, ...]:
+    """The cells above, and one for every other column that the source's spec casts,
+    drops or charts, so that nothing in a spec is left untried."""
+    source, cells = BY_OUTPUT[output], RAW[output][1]
+    # Columns the spec derives itself.
+    have = {c.name for c in cells} | {"EDAD", "NUM_TERMINOS"}
+    holes = source.sparse_from > 0.1
+    added: list[Cell] = []
+
+    def add(names, make) -> None:
+        for name in names:
+            if name not in have:
+                have.add(name)
+                added.append(make(name, len(added) + 5))
+
+    add(source.drop, lambda name, i: unused(name))
+    add(source.timestamps, lambda name, i: stamp(name, i, holes))
+    add(source.integers, lambda name, i: whole(name, i, holes))
+    add(source.flags, lambda name, i: flag(name, i))
+    add(source.numbers, lambda name, i: number(name, f"(k + {i}) % 53"))
+    charted = [c.column for c in source.charts if c.value is None and not c.column.endswith("_DESC")]
+    add(charted, lambda name, i: text(name, "t1", holes))
+    return (*cells, *added)
+
+
+CELLS = {output: _completed(output) for output in RAW}
+
+
 def raw_sql(output: str) -> str:
     """The raw extract as SQL, every cell text, read alike by Spark and DuckDB."""
-    base, cells = RAW[output]
+    base, cells = RAW[output][0], CELLS[output]
     quote = '"{}"'
     listed = ", ".join(f"{c.sql} AS {quote.format(c.name)}" for c in cells)
     return f"SELECT {listed} FROM ({base}) base"
@@ -340,7 +369,7 @@ def raw_sql(output: str) -> str:
 
 def raw_extract(spark: SparkSession, sf_dir: str, output: str) -> DataFrame:
     """The raw extract as the CSV reader would deliver it: null spellings are null."""
-    base, cells = RAW[output]
+    base, cells = RAW[output][0], CELLS[output]
     name = base.rsplit(" ", 1)[1]
     rows = spark.sql(base.replace(f"FROM {name}", "FROM {source}"), source=table(spark, sf_dir, name))
     return apply_steps(

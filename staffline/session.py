@@ -24,14 +24,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` when the
-    cluster names one. Only a session without one (tests) gets a scratch folder."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``. A session on one
+    machine may leave it out and gets a scratch folder; on a cluster that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return configured or current
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if configured is None:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            configured = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(configured)
+    return configured or context.getCheckpointDir()
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -40,4 +43,13 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.staged_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,17 +1,20 @@
 """Raw CSV extracts, every cell as text.
 
-Encoding, header and quoting are looked at first, in one scan over the lines that
-splits like any text scan; then the file is read with an explicit all-text schema,
-so a repeated header name or an odd first value cannot change what is read."""
+The encoding and the quoting of every file are looked at first, in one scan over the
+lines that splits like any text scan, and its first record is read as its header. Then
+the files are read by Spark's CSV reader, whatever their size: those of one encoding
+and header together, with an explicit all-text schema, and put together by column name.
+A file with an odd number of quotes on some line may have cells that span lines; such a
+file, and no other, is read by one task, as a stream. Bytes of a code page other than
+UTF-8 are read as latin-1 and translated cell by cell."""
 
 from __future__ import annotations
 
-import csv
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from staffline.functions import column, null_if_token
@@ -28,26 +31,19 @@ UNDEFINED_IN_CP1252 = "".join(chr(b) for b, c in _DEFINED.items() if not c)
 _AS_LATIN1 = "".join(chr(b) for b, c in _DEFINED.items() if c)
 _AS_CP1252 = "".join(c for c in _DEFINED.values() if c)
 
-# A file with line breaks inside cells cannot be split by Spark's reader; beyond this
-# size its records are put together from lines instead.
-WHOLE_FILE_BYTES = 128 * 1024 * 1024
+# Marks cells beyond the header's width, and what an absent cell is told apart by.
+_SURPLUS = "_surplus"
+_ABSENT = "\u0001absent\u0001"
 
 
 @dataclass(frozen=True)
 class CsvTraits:
+    """What one file is like."""
+
+    path: str
     encoding: str
     header: tuple[str, ...]
     breaks_in_cells: bool
-    largest_file: int
-
-
-def _lines(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
-    """Lines as column ``value``. The text reader hands bytes through undecoded."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    if encoding == UTF8:
-        return lines
-    decoded = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    return lines.select(decoded.alias("value"), "_metadata")
 
 
 def column_names(header: Iterable[str]) -> tuple[str, ...]:
@@ -67,110 +63,83 @@ def column_names(header: Iterable[str]) -> tuple[str, ...]:
     return tuple(names)
 
 
-def inspect_csv(spark: SparkSession, path: str, encoding: str | None = None) -> CsvTraits:
-    """Find the first of UTF-8, cp1252 and latin-1 that decodes the whole extract,
-    its column names, and whether any cell spans lines."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = _lines(spark, path, encoding or UTF8)
-    facts = lines.agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("valid"),
-        F.bool_or(quotes % 2 == 1).alias("odd"),
-        F.max("_metadata.file_size").alias("size"),
-    ).first()
-    if encoding is None:
-        encoding = UTF8
-        if facts.valid is False:
-            stray = f"[{UNDEFINED_IN_CP1252}]"
-            broken = _lines(spark, path, LATIN1).agg(F.bool_or(F.col("value").rlike(stray)))
-            encoding = LATIN1 if broken.first()[0] else CP1252
-    first = _lines(spark, path, encoding).where(F.col("_metadata.file_block_start") == 0).head(1)
-    text = first[0].value.rstrip("\r") if first else ""
+def _reader(spark: SparkSession, encoding: str, whole: bool):
+    return (
+        spark.read.option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", whole)
+        .option("encoding", "UTF-8" if encoding == UTF8 else "ISO-8859-1")
+        .option("nullValue", _ABSENT)
+        .option("emptyValue", "")
+    )
+
+
+def _header(spark: SparkSession, path: str, encoding: str, whole: bool) -> tuple[str, ...]:
+    """The first record of a file; the reader stops after it."""
+    first = _reader(spark, encoding, whole).option("header", False).csv(path).head(1)
+    cells = ["" if c is None else c for c in first[0]] if first else []
+    if cells:
+        cells[0] = cells[0].removeprefix("\ufeff")
     if encoding == CP1252:
-        text = text.translate(str.maketrans(_AS_LATIN1, _AS_CP1252))
-    cells = next(csv.reader([text.removeprefix("\ufeff")]), [])
-    return CsvTraits(encoding, column_names(cells), bool(facts.odd), facts.size or 0)
+        cells = [c.translate(str.maketrans(_AS_LATIN1, _AS_CP1252)) for c in cells]
+    return column_names(cells)
+
+
+def inspect_csv(spark: SparkSession, path: str, encoding: str | None = None) -> list[CsvTraits]:
+    """For each file the first of UTF-8, cp1252 and latin-1 that decodes it, its column
+    names, and whether a cell may span lines."""
+    value = F.col("value")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    as_latin1 = F.decode(value.cast("binary"), "ISO-8859-1")
+    # The text reader hands bytes through undecoded.
+    files = (
+        spark.read.option("lineSep", "\n").text(path)
+        .groupBy(F.col("_metadata.file_path").alias("path"))
+        .agg(
+            F.bool_and(F.is_valid_utf8("value")).alias("valid"),
+            F.bool_or(as_latin1.rlike(f"[{UNDEFINED_IN_CP1252}]")).alias("stray"),
+            F.bool_or(quotes % 2 == 1).alias("odd"),
+        )
+        .orderBy("path")
+        .collect()  # a row per file
+    )
+    found = []
+    for file in files:
+        own = encoding or (UTF8 if file.valid else LATIN1 if file.stray else CP1252)
+        odd = bool(file.odd)
+        found.append(CsvTraits(file.path, own, _header(spark, file.path, own, odd), odd))
+    return found
 
 
 def _schema(names: Iterable[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def _positions() -> Column:
-    """Where a row stands in its file: block by block, row by row within a block."""
+def _position() -> Column:
+    """Where a row stands: file by file, block by block, row by row within a block."""
     return F.struct(
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
 
 
-def _read_split(spark: SparkSession, path: str, traits: CsvTraits, whole: bool) -> DataFrame:
-    reader = (
-        spark.read.schema(_schema(traits.header))
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", whole)
-        .option("encoding", "UTF-8" if traits.encoding == UTF8 else "ISO-8859-1")
-    )
-    df = reader.csv(path)
-    return df.select(*(column(n) for n in traits.header), _positions().alias(ORDINAL))
-
-
-def _read_joined(spark: SparkSession, path: str, traits: CsvTraits) -> DataFrame:
-    """Records that span lines, put together without reading a file in one task. A
-    line starts a record when the quotes before it are balanced: each block counts
-    its quotes, the (few) blocks pass their parity on, and the lines of a record are
-    gathered by the position the record starts at."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    block = ["file", "block"]
-    lines = _lines(spark, path, traits.encoding).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-        (quotes % 2).alias("odd"),
-    )
-    in_block = Window.partitionBy(*block).orderBy("row")
-    before = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    blocks_before = Window.partitionBy("file").orderBy("block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    totals = (
-        lines.groupBy(*block)
-        .agg(F.sum("odd").alias("_odd"))
-        .select(*block, F.coalesce(F.sum("_odd").over(blocks_before), F.lit(0)).alias("carry"))
-    )
-    placed = (
-        lines.withColumn("quotes", F.coalesce(F.sum("odd").over(before), F.lit(0)))
-        .withColumn("header", (F.col("block") == 0) & (F.row_number().over(in_block) == 1))
-        .join(totals, block)
-        .withColumn("starts", (F.col("carry") + F.col("quotes")) % 2 == 0)
-    )
-    # The record a block opens with may have started in an earlier block.
-    opened = F.when(F.col("starts"), F.struct("block", "row"))
-    tails = (
-        placed.groupBy(*block)
-        .agg(F.max(opened).alias("_open"))
-        .select(*block, F.last("_open", ignorenulls=True).over(blocks_before).alias("earlier"))
+def _read_alike(
+    spark: SparkSession, paths: list[str], encoding: str, header: tuple[str, ...], whole: bool
+) -> DataFrame:
+    """Files of one encoding and header. A row with more cells than the header raises."""
+    rows = _reader(spark, encoding, whole).option("header", True)
+    rows = rows.schema(_schema([*header, _SURPLUS])).csv(paths)
+    complaint = F.concat(
+        F.lit("a row has more cells than the header: "), F.col("_metadata.file_path")
     )
-    here = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    record = F.coalesce(F.last(opened, ignorenulls=True).over(here), F.col("earlier"))
-    parts = F.sort_array(F.collect_list(F.struct("block", "row", "value")))
-    records = (
-        placed.join(tails, block)
-        .withColumn("record", record)
-        .groupBy("file", "record")
-        .agg(
-            F.array_join(parts["value"], "\n").alias("text"),
-            F.bool_or("header").alias("header"),
-        )
-        .withColumn("text", F.regexp_replace("text", "\r$", ""))
-        .where(~F.col("header") & (F.col("text") != ""))
+    fits = F.when(F.col(_SURPLUS).isNull(), True).otherwise(
+        F.raise_error(complaint).cast("boolean")
     )
-    fields = ", ".join("`" + n.replace("`", "``") + "` STRING" for n in traits.header)
-    parsed = F.from_csv("text", fields, {"quote": '"', "escape": '"'})
-    cells = records.select(parsed.alias("cells"), F.col("record").alias(ORDINAL))
-    return cells.select(*(F.col("cells")[n].alias(n) for n in traits.header), ORDINAL)
+    df = rows.where(fits).select(*(column(n) for n in header), _position().alias(ORDINAL))
+    if encoding == CP1252:
+        df = apply_steps(df, header, lambda c: F.translate(c, _AS_LATIN1, _AS_CP1252))
+    return df
 
 
 def read_csv(
@@ -178,17 +147,24 @@ def read_csv(
     path: str,
     encoding: str | None = None,
     with_ordinal: bool = False,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> DataFrame:
-    """Read a CSV extract with a header: every column text, null spellings null.
-    ``with_ordinal`` adds ``_ORDINAL``, the row's place in its file."""
-    traits = inspect_csv(spark, path, encoding)
-    if traits.breaks_in_cells and traits.largest_file > whole_file_bytes:
-        df = _read_joined(spark, path, traits)
-    else:
-        df = _read_split(spark, path, traits, whole=traits.breaks_in_cells)
-
-    if traits.encoding == CP1252:
-        df = apply_steps(df, traits.header, lambda c: F.translate(c, _AS_LATIN1, _AS_CP1252))
-    df = apply_steps(df, traits.header, null_if_token)
+    """Read a CSV extract with a header, of one file or several with the same columns:
+    every column text, null spellings null. ``with_ordinal`` adds ``_ORDINAL``, the
+    row's place in the extract."""
+    alike: dict[tuple, list[str]] = {}
+    for file in inspect_csv(spark, path, encoding):
+        alike.setdefault((file.encoding, file.header, file.breaks_in_cells), []).append(file.path)
+    if not alike:
+        # Nothing but empty files.
+        empty = F.lit(None).cast("struct<file:string,block:bigint,row:bigint>")
+        df = spark.createDataFrame([], _schema([])).select(empty.alias(ORDINAL))
+        return df if with_ordinal else df.drop(ORDINAL)
+    columns = {frozenset(header) for _, header, _ in alike}
+    if len(columns) > 1:
+        raise ValueError(f"the files of {path} have different columns: {sorted(map(sorted, columns))}")
+    whole: DataFrame | None = None
+    for (own, header, breaks), paths in alike.items():
+        part = _read_alike(spark, paths, own, header, breaks)
+        whole = part if whole is None else whole.unionByName(part)
+    df = apply_steps(whole, [n for n in whole.columns if n != ORDINAL], null_if_token)
     return df if with_ordinal else df.drop(ORDINAL)

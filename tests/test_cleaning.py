@@ -195,3 +195,38 @@ def test_quantiles_over_the_sketch(spark):
     at = [0.01, 0.25, 0.4999, 0.75, 0.999]
     expected = df.agg(F.percentile("x", at)).first()[0]
     assert stats.quantiles(df, F.col("x"), at, task_rows=20) == pytest.approx(expected, abs=1e-9)
+
+
+def test_quantiles_keep_infinities(spark):
+    rows = [(1.0,), (2.0,), (3.0,), (4.0,), (float("inf"),)]
+    df = spark.createDataFrame(rows, "x double")
+    for task_rows in (100, 2):
+        assert stats.quantiles(df, F.col("x"), [0.75, 1.0], task_rows) == [4.0, float("inf")]
+
+
+def test_repeated_keys_of_a_catalogue_raise(spark):
+    codes = spark.createDataFrame([(1,), (2,)], "code int")
+    catalogue = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (None, "d")], "code int, name string")
+    with pytest.raises(ValueError, match="not unique"):
+        decode.decode_from(codes, catalogue, "code")
+    kept = decode.decode_from(codes, catalogue.where("name <> 'b'"), "code")
+    assert sorted(map(tuple, kept.collect()), key=str) == [(1, "a"), (2, None)]
+
+
+def test_duplicates_removed_in_one_scan(spark):
+    df = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
+    found = stats.duplicates_removed(df)
+    assert tuple(found.first()) == (3, 2, 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") == 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from staffline.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session)

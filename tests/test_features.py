@@ -195,3 +195,14 @@ def test_tenure_is_joined(staff):
         assert r.ANTIGUEDAD_EFECTIVA_DIAS == sum(p.PERIODO_DURACION_DIAS for p in own)
         assert r.ANTIGUEDAD_CALENDARIO_DIAS == (last - first).days + 1
         assert r.ANTIGUEDAD_CALENDARIO_ANIOS == round((last - first).days / 365.25 + 1 / 365.25, 2)
+
+
+def test_persons_without_any_value_count_nothing_on_either_path(spark):
+    rows = [(1, i, datetime(2010, 1, 1 + i), None, None) for i in range(12)]
+    schema = "IDPERSONA long, IDCONTRATOLABORAL long, FECHAINICIOCONTRATO timestamp, IDESTRUCTURAORGANICA long, CARGO string"
+    df = spark.createDataFrame(rows, schema)
+    for columns in (df.columns, df.columns[:-1]):
+        plain, hot = (
+            contract_features(df.select(columns), "2013-01-01", hot_rows=n).collect() for n in (None, 5)
+        )
+        assert plain == hot and plain[0].N_UNIDADES_DISTINTAS == 0

@@ -155,11 +155,12 @@ def test_one_person_spread_over_many_chunks(spark):
     assert {tuple(r) for r in got.collect()} == expected
 
 
-def test_long_lists_are_left_to_the_contract_rows(spark):
+def test_long_lists_are_whole_on_the_hot_path(spark):
     rows = [(1, i, datetime(2010, 1, 1), datetime(2010, 2, 1), None) for i in range(30)]
     df = spark.createDataFrame(rows, SCHEMA)
-    period = continuous_periods(df, "2013-01-01", listed=20, hot_rows=10).collect()
-    assert [(r.N_CONTRATOS, r.IDCONTRATOLABORAL) for r in period] == [(30, None)]
+    period = continuous_periods(df, "2013-01-01", hot_rows=10).collect()
+    ids = ",".join(map(str, range(30)))
+    assert [(r.N_CONTRATOS, r.IDCONTRATOLABORAL) for r in period] == [(30, ids)]
     listed = contract_periods(df, hot_rows=10).collect()
     assert sorted((r.PERIODO, r.IDCONTRATOLABORAL) for r in listed) == [
         (1, i) for i in range(30)

@@ -42,6 +42,29 @@ def test_extracts_from_csv_to_table(spark, sf_dir, tmp_path):
     assert not [c for c in features.columns if c.startswith("RMU")]
 
 
+def test_reports_and_corrections(spark, tmp_path):
+    rows = "".join(f"1,{i},2010-01-{i:02d},2010-03-31,JEFE,A,{i}\n" for i in range(1, 21))
+    (tmp_path / "historialaboralpersonas.csv").write_text(
+        "IDPERSONA,IDCONTRATOLABORAL,FECHAINICIOCONTRATO,FECHAFINCONTRATO,CARGO,NOMBRE,RMU\n"
+        + rows + "2,99,2010-01-01,,JEFE,B,5000\n"
+    )
+    source = BY_OUTPUT["historial_laboral_personas"]
+    folders = str(tmp_path), str(tmp_path / "out")
+    written = process_source(spark, source, *folders, "2011-01-01", reports=True)
+    review = spark.read.parquet(written["historial_laboral_personas_pay_review"])
+    assert [(r.IDCONTRATOLABORAL, r.RMU) for r in review.collect()] == [(99, 5000.0)]
+    shape = spark.read.parquet(written["historial_laboral_personas_summary"])
+    assert {r.stage: r.rows for r in shape.collect()} == {"before": 21, "after": 21}
+    assert spark.read.parquet(written["historial_laboral_personas_periods"]).count() == 1
+    fixed = spark.createDataFrame([(99, 12.0)], "IDCONTRATOLABORAL long, RMU double")
+    out = str(tmp_path / "fixed")
+    written = process_source(spark, source, folders[0], out, "2011-01-01", corrections=fixed)
+    pay = spark.read.parquet(written["historial_laboral_personas"]).where("IDPERSONA = 2").first().RMU
+    assert pay == 12.0
+    with pytest.raises(ValueError, match="not unique"):
+        process_source(spark, source, folders[0], out, "2011-01-01", corrections=fixed.union(fixed))
+
+
 def test_file_order_breaks_ties(spark, tmp_path):
     """Contracts that start together keep the order of the file."""
     (tmp_path / "historialaboralpersonas.csv").write_text(

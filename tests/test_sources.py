@@ -30,9 +30,9 @@ def test_encodings_are_tried_in_order(spark, tmp_path):
     utf8 = put(tmp_path, "a\nó\n".encode(), "u.csv")
     cp = put(tmp_path, "a€\nó“x”\n".encode("cp1252"), "c.csv")
     latin = put(tmp_path, b"a\n\xf3\x81\n", "l.csv")
-    assert inspect_csv(spark, utf8).encoding == "utf-8"
-    assert inspect_csv(spark, cp).encoding == "cp1252"
-    assert inspect_csv(spark, latin).encoding == "latin-1"
+    assert inspect_csv(spark, utf8)[0].encoding == "utf-8"
+    assert inspect_csv(spark, cp)[0].encoding == "cp1252"
+    assert inspect_csv(spark, latin)[0].encoding == "latin-1"
     assert cells(read_csv(spark, utf8)) == [("ó",)]
     got = read_csv(spark, cp)
     assert got.columns == ["a€"]
@@ -46,33 +46,67 @@ def test_null_spellings(spark, tmp_path):
     assert [r.a for r in df.collect()] == [None] * len(NULL_TOKENS) + ["kept"]
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
 @pytest.mark.parametrize("newline", ["\n", "\r\n"])
-def test_cells_with_quotes_and_line_breaks(spark, tmp_path, limit, newline):
+def test_cells_with_quotes_and_line_breaks(spark, tmp_path, newline):
     rows = ["ID,NOTE", '1,"say ""hi"""', '2,"two\nlines, one cell"', "3,plain", '4,"a\n\nb"']
     path = put(tmp_path, newline.join(rows + [""]).encode())
-    assert inspect_csv(spark, path).breaks_in_cells
-    df = read_csv(spark, path, with_ordinal=True, whole_file_bytes=limit)
+    assert inspect_csv(spark, path)[0].breaks_in_cells
+    df = read_csv(spark, path, with_ordinal=True)
     got = [(r.ID, r.NOTE) for r in df.orderBy("_ORDINAL").collect()]
     assert got == [
         ("1", 'say "hi"'), ("2", "two\nlines, one cell"), ("3", "plain"), ("4", "a\n\nb"),
     ]
 
 
-def test_records_across_blocks(spark, tmp_path):
-    """Records put together from lines when every block cuts the file elsewhere."""
-    body = "".join(f'{i},"row {i}\nsecond ""line"" of {i}",z{i}\n' for i in range(400))
-    path = put(tmp_path, ("id,text,last\n" + body).encode())
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
-    try:
-        df = read_csv(spark, path, with_ordinal=True, whole_file_bytes=0)
-        got = df.orderBy("_ORDINAL").collect()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert [(r.id, r.text, r.last) for r in got] == [
-        (str(i), f'row {i}\nsecond "line" of {i}', f"z{i}") for i in range(400)
-    ]
+def by_pandas(path):
+    import pandas as pd
+
+    return pd.read_csv(path, dtype=str, keep_default_na=False)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'id,note\n1,5" pipe\n2,plain\n3,"a ""b"""\n4,c\n5,d\n',
+        'id,note\n1,x\n2,y" z\n3,u\n4,v\n5,w\n6,t\n7,s\n',
+        'ID,"NO\nTE",X\n1,a,b\n2,"c\r\nd",e\n',
+        'id,note\r\n1,"a\nb"\r\n2,c\r\n',
+        "id,note\n1\n2,\n3,x\n",
+    ],
+)
+def test_stray_quotes_broken_headers_and_short_rows_as_pandas_reads_them(spark, tmp_path, text):
+    path = put(tmp_path, text.encode())
+    expected = by_pandas(path)
+    df = read_csv(spark, path, with_ordinal=True)
+    assert df.columns[:-1] == list(expected.columns)
+    got = [tuple(c or "" for c in r[:-1]) for r in df.orderBy("_ORDINAL").collect()]
+    assert got == [tuple("" if c != c else c for c in r) for r in expected.itertuples(index=False)]
+
+
+@pytest.mark.parametrize("surplus", ["5,y,extra", "5,y,,z", '5,y,"line\nbreak"'])
+def test_surplus_cells_raise(spark, tmp_path, surplus):
+    path = put(tmp_path, f"a,b\n1,x\n{surplus}\n".encode())
+    with pytest.raises(Exception, match="more cells than the header"):
+        read_csv(spark, path).collect()
+
+
+def test_files_of_one_extract_keep_their_own_header_and_encoding(spark, tmp_path):
+    folder = tmp_path / "extract"
+    folder.mkdir()
+    put(folder, "A,B\n1,ó\n".encode(), "1.csv")
+    put(folder, "B,A\né“,2\n".encode("cp1252"), "2.csv")
+    put(folder, 'A,B\n3,"x\ny"\n'.encode(), "3.csv")
+    df = read_csv(spark, str(folder), with_ordinal=True).orderBy("_ORDINAL")
+    assert [(r.A, r.B) for r in df.collect()] == [("1", "ó"), ("2", "é“"), ("3", "x\ny")]
+    put(folder, b"A,C\n1,2\n", "4.csv")
+    with pytest.raises(ValueError, match="different columns"):
+        read_csv(spark, str(folder))
+
+
+def test_files_without_rows_or_header(spark, tmp_path):
+    assert read_csv(spark, put(tmp_path, b"a,b\n", "h.csv")).columns == ["a", "b"]
+    assert read_csv(spark, put(tmp_path, b"a,b\n", "h.csv")).count() == 0
+    assert read_csv(spark, put(tmp_path, b"", "e.csv")).count() == 0
 
 
 def test_ordinal_follows_the_file(spark, tmp_path):
