@@ -83,15 +83,15 @@ def _handed_down(nodes: DataFrame, parent: list[str], weight: Column) -> DataFra
 def leaf_budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str | None, float]], max_epochs: int) -> DataFrame:
     """``leaves``: the tree's columns and ``tokens``. Adds ``budget``, whole tokens."""
     sized = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
+    # One row: the grant of the root.
     root = sized.agg(F.sum("capacity").alias("all"), F.sum("tokens").alias("tokens"))
-    grant = root.select(F.least(F.col("all").cast("double"), budget.cast("double")).alias("grant"))
+    grant = root.select(F.least(F.col("all").cast("double"), budget.cast("double")).alias("grant")).first().grant
     down = None
     for depth in range(len(LEVELS)):
         keys, parent = list(LEVELS[: depth + 1]), list(LEVELS[:depth])
         nodes = sized.groupBy(*keys).agg(F.sum("capacity").alias("capacity"))
         if down is None:
-            # The grant is a single row.
-            nodes = nodes.join(grant)
+            nodes = nodes.withColumn("grant", F.lit(grant).cast("double"))
         else:
             nodes = nodes.join(down, [F.col(k).eqNullSafe(F.col(f"up{k}")) for k in parent]).select(*keys, "capacity", "grant")
         shared = _handed_down(nodes, parent, _weights(LEVELS[depth], weights.get(LEVELS[depth][1:], {})))
