@@ -16,10 +16,15 @@ links; an ``article`` or ``main`` on the way ends the descent. A page gives the
 its blocks in the wrapper's main region, without elements that are boilerplate by tag or
 by name. A page that lacks the region gets the same rule on its own figures.
 
+A name only marks an element as boilerplate; the host's figures decide whether the mark
+stands (``lifted``). It does not for an element around most of the varying text or around
+the article, nor for varying text of an article under a word that also names layouts or
+topics (``LAYOUT_NAMES``).
+
 Text: character references are decoded, white space inside a block becomes one space, and
 blocks are joined by line feeds. Line breaks are white space. Unclosed elements are closed
 by what follows; comments, scripts, styles, forms and the like are left out with all they
-hold; cut-off tags at the end are ignored.
+hold, formulas and fallback text are not; cut-off tags at the end are ignored.
 
 Nulls: a null or blank page gives an empty text; a null url is a host of its own. Repeated
 rows are extracted each. Empty tables give empty results. Other columns are ignored.
@@ -28,6 +33,7 @@ rows are extracted each. Empty tables give empty results. Other columns are igno
 from __future__ import annotations
 
 import html as references
+import itertools
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -50,7 +56,7 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead "
     "tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes noscript template xmp svg math object select button".split())
+RAW = frozenset("script style textarea title iframe noembed noframes template xmp svg select button".split())
 DROPPED_TAGS = frozenset("head nav footer aside form menu dialog fieldset".split())
 #: Words in classes, ids and roles that mark boilerplate.
 DROPPED_NAMES = frozenset(
@@ -58,6 +64,12 @@ DROPPED_NAMES = frozenset(
     "popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget widgets header masthead topbar footer bottombar "
     "comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations newsletter subscribe "
     "signup login search pagination pager toolbar skip complementary contentinfo".split())
+#: Those of them that are names of layouts and topics as well.
+LAYOUT_NAMES = frozenset(
+    "ad ads sponsor sponsored promotion banner notice notices alert modal overlay nav navbar navigation menu sidebar aside widget widgets header masthead "
+    "topbar footer bottombar discussion sharing social related recommended search skip".split())
+#: Ends of names: a mark, and a mark by a layout name.
+MARK, LAYOUT_MARK = "!", "!?"
 CLOSED_BY: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})), "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})),
     "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})), "tr": (frozenset({"tr", "td", "th"}), frozenset({"table"})),
@@ -78,11 +90,14 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass
 class Block:
-    """A block's text, and where it stands: the names from the root on."""
+    """A block's text or, if it holds marked inline elements, a part of it, and where it
+    stands: the names from the root on."""
 
     path: tuple[str, ...]
     text: str
     link_chars: int
+    line: int
+    raw: str
 
 
 @dataclass
@@ -92,42 +107,55 @@ class Page:
 
 
 def _name(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's name, and whether it is boilerplate."""
-    dropped = tag in DROPPED_TAGS
+    """The element's name, with a mark if its words are boilerplate's, and whether it is
+    boilerplate by tag."""
+    dropped, marks = tag in DROPPED_TAGS or tag == "header", set()
     if not attributes or "=" not in attributes:
-        return tag, dropped or tag == "header"
+        return tag, dropped or "hidden" in attributes.lower().split()
     name = tag
     for kind, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if tag not in ("html", "body", "main", "article"):
             for one in value.split():
                 words = _NAME_WORD.findall(one)
-                dropped = dropped or bool(words) and words[0] not in ABOUT_OTHERS and not DROPPED_NAMES.isdisjoint(words)
+                if words and words[0] not in ABOUT_OTHERS:
+                    marks |= DROPPED_NAMES.intersection(words)
         name += {"class": ".", "id": "#", "role": "@"}[kind.lower()] + re.sub(r"\d+", "0", " ".join(sorted(value.split())))
-    return name, dropped or tag == "header" or "hidden" in attributes.lower().split()
+    if marks:
+        name += LAYOUT_MARK if marks <= LAYOUT_NAMES else MARK
+    return name, dropped or "hidden" in attributes.lower().split()
 
 
 def parse(source: str) -> Page:
-    """Blocks outside boilerplate, and the tree of all block elements."""
+    """Blocks outside elements that are boilerplate by tag, and the tree of all block elements
+    and marked inline ones."""
     page = Page()
     # Open elements: tag, path, children (None for an inline element that is left out),
-    # inside boilerplate.
+    # inside boilerplate. A marked inline element has the children of its block.
     stack: list[tuple[str, tuple[str, ...], list | None, bool]] = [("", (), page.tree, False)]
-    texts: list[str] = []
-    link_chars, in_link = 0, False
+    # Text, its path, characters in links.
+    texts: list[tuple[str, tuple[str, ...], int]] = []
+    in_link, line = False, 0
 
     def flush() -> None:
-        nonlocal link_chars
+        nonlocal line
+        line += 1
         if texts:
-            text = _SPACE.sub(" ", references.unescape("".join(texts))).strip()
-            _, path, children, dropped = next(x for x in reversed(stack) if x[2] is not None)
-            if text:
-                if not children or children[-1][0] != "#":
-                    children.append(["#", "1", []])
-                if not dropped:
-                    page.blocks.append(Block(path, text, min(link_chars, len(text))))
+            _, path, children, dropped = next(x for x in reversed(stack) if x[2] is not None and (x[0] in BLOCKS or not x[0]))
+            for own, parts in itertools.groupby(texts, lambda x: x[1]):
+                parts = list(parts)
+                raw = references.unescape("".join(x[0] for x in parts))
+                text = _SPACE.sub(" ", raw).strip()
+                if text:
+                    into = children
+                    for name in own[len(path):]:
+                        into.append([name, "1", []])
+                        into = into[-1][2]
+                    if not into or into[-1][0] != "#":
+                        into.append(["#", "1", []])
+                if not dropped and raw:
+                    page.blocks.append(Block(own, text, min(sum(x[2] for x in parts), len(text)), line, raw))
             texts.clear()
-        link_chars = 0
 
     def close(at: int) -> None:
         flush()
@@ -138,9 +166,7 @@ def parse(source: str) -> Page:
         m = _TAG.search(source, at)
         stop = m.start() if m else end
         if stop > at and stack[-1][2] is not None and not (len(stack) == 1 and source[at:stop].isspace()):
-            texts.append(source[at:stop])
-            if in_link:
-                link_chars += stop - at
+            texts.append((source[at:stop], stack[-1][1], stop - at if in_link else 0))
         if not m:
             break
         at = m.end()
@@ -160,18 +186,22 @@ def parse(source: str) -> Page:
             continue
         if tag in RAW:
             ends = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
+            shown = references.escape(source[at : ends.start() if ends else end]) if tag == "xmp" and stack[-1][2] is not None else ""
             at = ends.end() if ends else end
-            texts.append(" ")
+            texts.append((f" {shown} ", stack[-1][1], 0))
             continue
         if tag == "br":
-            texts.append(" ")
+            texts.append((" ", stack[-1][1], 0))
             continue
         if tag == "a":
             in_link = True
         name, dropped = _name(tag, m[3])
         if tag not in BLOCKS:
-            if dropped and tag not in VOID and not m[3].endswith("/"):
-                stack.append((tag, stack[-1][1], None, True))
+            if tag not in VOID and not m[3].endswith("/"):
+                if dropped:
+                    stack.append((tag, stack[-1][1], None, True))
+                elif name.endswith((MARK, LAYOUT_MARK)):
+                    stack.append((tag, (*stack[-1][1], name), stack[-1][2], stack[-1][3]))
             continue
         flush()
         in_link = False
@@ -315,11 +345,54 @@ def weight_of(chars: int, link_chars: int, constant: bool) -> float:
     return max(chars - 2 * link_chars, 0) * (0.1 if constant else 1.0)
 
 
-def main_text(page: Page, region: tuple[str, ...] | None) -> str:
-    blocks = page.blocks
-    if region is None or not any(b.path[: len(region)] == region for b in blocks):
-        region = main_region((b.path, weight_of(len(b.text), b.link_chars, False)) for b in blocks)
-    return "\n".join(b.text for b in blocks if b.path[: len(region)] == region)
+def marks_of(path: tuple[str, ...]) -> list[tuple[str, ...]]:
+    return [path[: i + 1] for i, name in enumerate(path) if name.endswith((MARK, LAYOUT_MARK))]
+
+
+def lifted(figures: list[tuple[tuple[str, ...], int, float]]) -> set[tuple[str, ...]]:
+    """The marked elements that are no boilerplate. ``figures``: path, characters and weight
+    of each slot.
+
+    A mark is lifted if no article or main element elsewhere has unmarked text, and the
+    element holds ``MOST`` of all weight or, under a layout name, an article or main; and,
+    under a layout name inside an article or main, if half of its characters count."""
+    out: set[tuple[str, ...]] = set()
+    total = sum(weight for _, _, weight in figures)
+    in_region = lambda names: any(re.split(r"[.#@]", n)[0] in REGIONS for n in names)
+    for mark in sorted({m for path, _, _ in figures for m in marks_of(path)}, key=lambda m: (len(m), m)):
+        if not out.issuperset(marks_of(mark[:-1])):
+            continue
+        n = len(mark)
+        inside = [(path[n:], chars, weight) for path, chars, weight in figures if path[:n] == mark]
+        weight, layout = sum(x[2] for x in inside), mark[-1].endswith(LAYOUT_MARK)
+
+        def beside(path: tuple[str, ...]) -> bool:
+            shared = next((i for i, (x, y) in enumerate(zip(path, mark)) if x != y), min(len(path), n))
+            return path[:n] != mark and in_region(path[shared:]) and out.issuperset(marks_of(path))
+
+        if not any(w > 0 and beside(path) for path, _, w in figures):
+            if 0 < weight >= MOST * total or (layout and weight > 0 and any(in_region(below) for below, _, _ in inside)):
+                out.add(mark)
+        if layout and in_region(mark[:-1]) and 0 < 2 * weight >= sum(x[1] for x in inside):
+            out.add(mark)
+    return out
+
+
+def unmarked(path: tuple[str, ...], kept: set[tuple[str, ...]]) -> bool:
+    return kept.issuperset(marks_of(path))
+
+
+def main_text(page: Page, region: tuple[str, ...] | None, kept: Iterable[tuple[str, ...]] = ()) -> str:
+    kept = set(kept)
+    blocks = [b for b in page.blocks if unmarked(b.path, kept)]
+    if region is None or not any(b.text and b.path[: len(region)] == region for b in blocks):
+        figures = [(b.path, len(b.text), weight_of(len(b.text), b.link_chars, False)) for b in page.blocks]
+        kept = lifted(figures)
+        blocks = [b for b in page.blocks if unmarked(b.path, kept)]
+        region = main_region((path, weight) for path, _, weight in figures if unmarked(path, kept))
+    inside = (b for b in blocks if b.path[: len(region)] == region)
+    lines = (_SPACE.sub(" ", "".join(b.raw for b in parts)).strip() for _, parts in itertools.groupby(inside, lambda b: b.line))
+    return "\n".join(filter(None, lines))
 
 
 def host_of(url: Column) -> Column:
@@ -336,6 +409,8 @@ def _analysed(pages: DataFrame) -> DataFrame:
                 page = parse(source or "")
                 slots: dict[tuple[str, ...], list] = {}
                 for b in page.blocks:
+                    if not b.text:
+                        continue
                     slot = slots.setdefault(b.path, [0, 0, []])
                     slot[0] += len(b.text)
                     slot[1] += b.link_chars
@@ -362,7 +437,8 @@ def _folded(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``pages``: host, html. Per host: the wrapper and its main region, as JSON."""
+    """``pages``: host, html. Per host: the wrapper, its main region and the marks that are
+    lifted, as JSON."""
     analysed = staged(_analysed(pages))
     trees = staged(analysed.select("host", "tree").distinct())
     while True:
@@ -378,30 +454,37 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def decide(tree: pd.DataFrame, figures: pd.DataFrame) -> pd.DataFrame:
         if not len(tree):
-            return pd.DataFrame({"host": [], "wrapper": [], "region": []})
+            return pd.DataFrame({"host": [], "wrapper": [], "region": [], "kept": []})
         wrapper = json.loads(tree["tree"].iloc[0])
         known = set(paths(wrapper))
-        region = main_region(
-            (path, weight_of(chars, links, bool(same) and n > 1))
+        slots = [
+            (path, chars, weight_of(chars, links, bool(same) and n > 1))
             for path, chars, links, n, same in zip(
                 (tuple(json.loads(p)) for p in figures["path"]), figures["chars"], figures["links"], figures["n"], figures["same"], strict=True)
-            if path in known)
-        return pd.DataFrame({"host": [tree["host"].iloc[0]], "wrapper": [json.dumps(wrapper)], "region": [json.dumps(region)]})
+            if path in known]
+        kept = lifted(slots)
+        region = main_region((path, weight) for path, _, weight in slots if unmarked(path, kept))
+        return pd.DataFrame({
+            "host": [tree["host"].iloc[0]], "wrapper": [json.dumps(wrapper)], "region": [json.dumps(region)], "kept": [json.dumps(sorted(kept))]})
 
-    return trees.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(decide, "host string, wrapper string, region string")
+    return trees.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(
+        decide, "host string, wrapper string, region string, kept string")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """``pages``: page_id, url, html. Per row: page_id, url, text, n_chars."""
     plain = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    regions = staged(wrappers(plain)).select("host", "region")
+    regions = staged(wrappers(plain)).select("host", "region", "kept")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             decided = {r: tuple(json.loads(r)) for r in frame["region"].dropna().unique()}
-            texts = [main_text(parse(h or ""), decided.get(r)) for h, r in zip(frame["html"], frame["region"], strict=True)]
+            lifts = {k: set(map(tuple, json.loads(k))) for k in frame["kept"].dropna().unique()}
+            texts = [
+                main_text(parse(h or ""), decided.get(r), lifts.get(k, ()))
+                for h, r, k in zip(frame["html"], frame["region"], frame["kept"], strict=True)]
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     kind = {f.name: f.dataType.simpleString() for f in pages.schema}
-    return plain.join(regions, "host", "left").select("page_id", "url", "html", "region").mapInPandas(
+    return plain.join(regions, "host", "left").select("page_id", "url", "html", "region", "kept").mapInPandas(
         run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars bigint")

@@ -96,6 +96,23 @@ def test_pages_without_an_article_element(spark, monkeypatch, part):
     assert h.main_texts(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("around, inside", [
+    ('<div class="layout sidebar-right"><article>{}</article></div>', "<p>{}</p>"), ('<div class="content-with-sidebar right-sidebar">{}</div>', "<p>{}</p>"),
+    ('<article class="x">{}</article>', '<div class="social-sciences"><p>{}</p></div>'), ("<article>{}</article>", '<p class="news-alert">{}</p>'),
+    ("<article>{}</article>", '<p>The <span class="search-result">{}</span> end</p>'), ("<main>{}</main>", "<p>x <math><mi>{}</mi></math> <xmp><b>y</xmp></p>"),
+    ("<main>{}</main>", "<noscript><p>{}</p></noscript><object>fallback</object>"),
+])
+def test_names_and_fallbacks_do_not_empty_the_article(spark, around, inside):
+    text = lambda n: " ".join(f"word{n}x{i}" for i in range(30))
+    extra = '<div class="sidebar">Also <a href="#">this</a></div><div class="comments"><article>I agree with {}</article></div>'
+    rows = [(n, "http://a.example/", "<body>" + around.format(f"<h1>Title {n}</h1>" + inside.format(text(n))) + extra.format(n) + "</body>") for n in range(4)]
+    got = {r.page_id: r.text for r in h.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    shown = {"search-result": "The {} end", "math": "x {} <b>y", "noscript": "{}\nfallback"}
+    form = next((v for k, v in shown.items() if k in inside), "{}")
+    for n, _, source in rows:
+        assert got[n] == f"Title {n}\n" + form.format(text(n)) == h.main_text(h.parse(source), None)
+
+
 def tree(source):
     return h.fold(h.parse(source).tree)
 
