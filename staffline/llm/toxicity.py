@@ -4,11 +4,12 @@ The lexicon is learnt: words of labelled texts that occur in toxic ones far more
 chance allows, given the number of words looked at, besides a few fixed ones. A beginning
 of words that tells as much is a term, too, a stem (written with ``*``), and stands for all
 words that begin with it. Words of a text are matched with whole terms up to a number of
-edits that depends on the term's length; the first letter must be right, and a word that
-clean texts of the sample hold more than once is no misspelling. For this the lexicon is a trie, and a Levenshtein automaton runs over it: a state is the set of
-trie nodes that the letters read so far can reach, each with the edits used. States are
-made when first needed and kept, so that a word costs a look-up for each letter, and a
-word unlike all terms is left at its third or fourth letter.
+edits that depends on the term's length, from the first letter on, and once more with marks
+read as the letters they stand for (``LEET``); a word that clean texts of the sample hold
+more than once is no misspelling. For this the lexicon is a trie, and a Levenshtein automaton
+runs over it: a state is the set of trie nodes that the letters read so far can reach, each
+with the edits used. States are made when first needed and kept, so that a word costs a
+look-up for each letter, and a word unlike all terms is left as soon as no node is in reach.
 
 Each match is seen in a window of ``WINDOW`` words to both sides. Quotation marks and words
 that report speech or speak about words make it a quotation; words of address and other
@@ -31,6 +32,7 @@ tables give empty results. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from math import log
@@ -72,15 +74,21 @@ ADDRESS = frozenset("you your youre yours u ur du dich dir dein ihr tu te toi vo
 _EDGE = " \t\n\r\x0b\x0c.,;:!?#%&$*|+=~^/\\()[]{}<>@_-'…–—¡¿" + QUOTES
 
 
+#: Marks in place of letters; a one may be an i or an l.
+LEET = tuple(str.maketrans("$@103", f"sa{one}oe") for one in "il")
+_MARKS, _LETTER = frozenset("$@103"), re.compile(r"[^\W\d_]")
+
+
 def edits_for(term: str) -> int:
     return next(k for least, k in EDITS if len(term) >= least)
 
 
 class FuzzyLexicon:
-    """Terms of a trie within their numbers of edits of a word."""
+    """Terms of a trie within their numbers of edits of a word. Without ``from_root`` the
+    first letter must be right."""
 
-    def __init__(self, terms: Iterable[str], exceptions: Iterable[str] = ()) -> None:
-        self.exceptions = frozenset(exceptions)
+    def __init__(self, terms: Iterable[str], exceptions: Iterable[str] = (), from_root: bool = False) -> None:
+        self.exceptions, self.from_root = frozenset(exceptions), from_root
         self.known, self.known_edits = np.zeros(0, np.uint64), np.zeros(0, np.int8)
         self.children: list[dict[str, int]] = [{}]
         self.stems: set[int] = set()
@@ -119,7 +127,7 @@ class FuzzyLexicon:
         if len(new):
             whole = words.buffer.tobytes()
             start, end = words.start[first[new]].tolist(), words.end[first[new]].tolist()
-            found[new] = [self.edits(bare(whole[a:b].decode().lower())) for a, b in zip(start, end, strict=True)]
+            found[new] = [self.spelled(whole[a:b].decode().lower()) for a, b in zip(start, end, strict=True)]
             # Two sorted runs: a stable sort merges them.
             keys = np.concatenate([self.known, unique[new]])
             order = np.argsort(keys, kind="stable")
@@ -143,8 +151,8 @@ class FuzzyLexicon:
             if whole.get(node, 99) <= e:
                 continue
             whole[node] = e
-            if not node:
-                continue  # no edits before the first letter
+            if not node and not self.from_root:
+                continue
             todo += [(child, e + 1) for child in self.children[node].values() if e + 1 <= self.below[child]]
         key = tuple(sorted(whole.items()))
         if key not in self.numbers:
@@ -163,10 +171,10 @@ class FuzzyLexicon:
                 reached[node] = e
 
         for node, e in self.sets[state]:
-            if node:
+            if node or self.from_root:
                 reach(node, e + 1)  # the letter is one too many
             for own, child in self.children[node].items():
-                if node or own == letter:
+                if node or self.from_root or own == letter:
                     reach(child, e if own == letter else e + 1)
         after = self._state(reached)
         self.steps[state][letter] = after
@@ -178,6 +186,15 @@ class FuzzyLexicon:
         found = self._edits(word)
         return -1 if found >= 0 and word in self.exceptions else found
 
+    def spelled(self, word: str) -> int:
+        """The fewest edits of a word as it stands in a text; marks for letters count as one."""
+        plain = bare(word)
+        found = self.edits(plain)
+        if found == 0 or plain in self.exceptions or _MARKS.isdisjoint(word) or not _LETTER.search(word):
+            return found
+        read = [max(e, 1) for table in LEET if (e := self.edits(bare(word.translate(table)))) >= 0]
+        return min(read + [found] * (found >= 0), default=-1)
+
     def _edits(self, word: str) -> int:
         if len(self.sets) > STATES:
             self._begin()
@@ -246,7 +263,7 @@ def lexicon_of(terms: tuple[str, ...], exceptions: tuple[str, ...] = ()) -> Fuzz
     """Kept by each Python worker between tasks, one at a time."""
     if (terms, exceptions) not in _lexicons:
         _lexicons.clear()
-        _lexicons[terms, exceptions] = FuzzyLexicon(terms, exceptions)
+        _lexicons[terms, exceptions] = FuzzyLexicon(terms, exceptions, from_root=True)
     return _lexicons[terms, exceptions]
 
 
@@ -336,7 +353,7 @@ def learn_terms(sample: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
         lexicon = lexicon_of(terms)
         for batch in batches:
             words = batch.column(0).to_pylist()
-            yield batch.filter(pa.array([lexicon.edits(w) >= 0 for w in words], pa.bool_()))
+            yield batch.filter(pa.array([lexicon.spelled(w) >= 0 for w in words], pa.bool_()))
 
     clean = counts.where((F.col("n") - F.col("bad") > 1) & (share < TERM_SHARE) & ~F.col("word").endswith("*"))
     clean = clean.select("word", "n").mapInArrow(matched, "word string, n bigint")

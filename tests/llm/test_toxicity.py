@@ -38,6 +38,22 @@ def test_the_automaton_is_the_edit_distance(monkeypatch, states):
         assert lexicon.edits(word) == min(want, default=-1), word
 
 
+def test_edits_from_the_first_letter_on_and_marks_for_letters():
+    lexicon = t.lexicon_of(("asshole", "idiot", "scum", "stupid", "worthless"), ("tupi", "closer"))
+    words = "1diot diot xstupid tsupid $tupid @sshole ($tup1d) idi0t, $cum worthle$$ aworthles orthles stupid! 100 $5 tupi scam".split()
+    got = [lexicon.spelled(w) for w in words]
+    assert got == [1, 1, 1, -1, 1, 1, 1, 1, 1, 1, 2, 2, 0, -1, -1, -1, -1]
+    rng, terms = random.Random(4), ("abbac", "abcabca", "cabbagebaba", "abba")
+    lexicon = t.lexicon_of(terms)
+    for _ in range(3000):
+        word = list(rng.choice(terms))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.choice((0, rng.randrange(len(word) + 1)))
+            word[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "g"])
+        want = [d for term in terms if (d := distance("".join(word), term)) <= t.edits_for(term)]
+        assert lexicon.edits("".join(word)) == min(want, default=-1), word
+
+
 def test_held_out_documents(spark):
     sf_dir = "/root/testdata/sf0.01"
     got = op10_toxicity(spark, sf_dir).toPandas()
