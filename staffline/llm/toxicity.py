@@ -17,8 +17,8 @@ matches nearby make it abuse. Counts of matches by number of edits and by contex
 features of a logistic model.
 
 Lexicon and model are learnt from a sample of at most ``SAMPLE`` labelled documents, those
-with the smallest hashes of their ids, without copies of one another (documents that share
-one of three minimum hashes of their word windows count once), because words of a text that
+with the smallest hashes of their ids, without copies of one another (documents that agree in all
+of three minimum hashes of their word windows count once), because words of a text that
 is there many times would all seem telling. Word counts of the sample are made by Spark, and
 only the lexicon (``TERMS`` at most, and as many exceptions) and the sample's features
 reach the driver. Scoring
@@ -309,7 +309,7 @@ def _sample_words(sample: DataFrame) -> DataFrame:
 
 
 def without_copies(sample: DataFrame) -> DataFrame:
-    """``sample``: doc_id, text, toxic. One of the documents that share a minimum hash."""
+    """``sample``: doc_id, text, toxic. One of the documents that agree in all minimum hashes."""
 
     def least(batches):
         for batch in batches:
@@ -317,18 +317,16 @@ def without_copies(sample: DataFrame) -> DataFrame:
             for part, words in buffers(as_bytes(batch.column(1)), lower=True):
                 keys, first = words.windows(COPY_WINDOW)
                 doc = words.doc[first]
+                # Texts without a window are told apart by their id and text.
+                own = batch.column(3).to_numpy()[part].view(np.uint64)
                 for n in range(3):
-                    # Texts without a window are told apart by their place.
-                    own = np.arange(part.start, part.stop, dtype=np.uint64) + np.uint64(batch.num_rows * n)
                     np.minimum.at(low := np.full(words.n_docs, 2**64 - 1, np.uint64), doc, mix(keys + np.uint64(n)))
-                    hashes[n, part] = np.where(low == 2**64 - 1, mix(own), low).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, hashes)], names=["doc_id", "text", "toxic", "h0", "h1", "h2"])
-
-    out = sample.select("doc_id", "text", "toxic").mapInArrow(least, "doc_id bigint, text string, toxic int, h0 bigint, h1 bigint, h2 bigint")
-    for n in range(3):
-        whole = F.min_by(F.struct("doc_id", "text", "toxic", "h0", "h1", "h2"), F.struct("doc_id", F.xxhash64("text")))
-        out = out.groupBy(F.col(f"h{n}").alias("h")).agg(whole.alias("d")).select("d.*")
-    return out.select("text", "toxic")
+                    hashes[n, part] = np.where(low == 2**64 - 1, mix(own + np.uint64(n)), low).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, hashes)], names=["doc_id", "text", "toxic", "h0", "h1", "h2"])
+
+    out = sample.select("doc_id", "text", "toxic", F.xxhash64("doc_id", "text").alias("own")).mapInArrow(least, "doc_id bigint, text string, toxic int, h0 bigint, h1 bigint, h2 bigint")
+    whole = F.min_by(F.struct("text", "toxic"), F.struct("doc_id", F.xxhash64("text")))
+    return out.groupBy("h0", "h1", "h2").agg(whole.alias("d")).select("d.*")
 
 
 def learn_terms(sample: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:

@@ -105,6 +105,15 @@ def test_words_that_only_toxic_texts_hold_are_learnt(spark):
     assert [lexicon.edits(w) for w in ("grumfling", "grumf", "grunfling", "worthles", "grum")] == [0, 0, -1, 1, -1]
 
 
+def test_only_copies_are_taken_for_copies(spark):
+    """Whatever the batches; a shared passage makes no copy, nor does a text too short for a window."""
+    passage = " ".join(f"p{k}" for k in range(24))
+    rows = [(i, passage + "".join(f" w{i}x{k}" for k in range(100)), 0) for i in range(60)]
+    rows += [(100 + i, f"two words{i}", 0) for i in range(60)] + [(200 + i, rows[0][1], 0) for i in range(9)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert t.without_copies(sample.repartition(30)).count() == t.without_copies(sample.coalesce(1)).count() == 120
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 0), (2, 0)], [(1, 1), (6, 0), (None, 1), (5, None), (99, 0)]])
 def test_odd_cases(spark, labels):
     docs = odd_documents(spark)
