@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def domain_of(source: str = "source") -> Column:
-    """The test sources' domain: src0 to src4 are one, src5 to src9 the next, and so on."""
-    number = F.regexp_extract(F.col(source), r"(\d+)$", 1).cast("int")
-    return F.concat(F.lit("domain"), F.floor(number / 5).cast("string"))
+    """The test sources' domain: src0 to src4 are one, src5 to src9 the next, and so on. A
+    source without a number, or with one beyond 64 bits, has its name without the digits."""
+    number = F.regexp_extract(F.col(source), r"([0-9]+)$", 1).try_cast("bigint")
+    by_number = F.concat(F.lit("domain"), F.call_function("div", number, F.lit(5)).cast("string"))
+    return F.coalesce(by_number, F.regexp_replace(F.col(source), r"[0-9]+$", ""))
 
 
 #: Target weights by domain and language; every source of a branch weighs the same.

@@ -81,6 +81,19 @@ def test_shortages_go_to_siblings_before_ancestors(spark, monkeypatch):
     assert cuts == {"a0": 20, "a1": 223, "b0": 122, "b1": 122}
 
 
+def test_sources_of_any_name(spark):
+    want = {
+        "src4": "domain0", "src5": "domain1", "web": "web", "": "", "hot ": "hot ", None: None, "s3000000004": "domain600000000",
+        "src" + "9" * 30: "src", "9" * 30: "", "src\u0663": "src\u0663", "a1b": "a1b",
+    }
+    rows = [(i, "some words", "en", s) for i, s in enumerate(want)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.source: r.domain for r in docs.select("source", domain_of().alias("domain")).collect()} == want
+    got = mixing.mixed(docs, domain_of(), 0.5, MIX, max_epochs=2, epoch_column="epoch")
+    by_hand = brute([(i, t, want[s], g, s) for i, t, g, s in rows], 0.5, MIX, 2, 17)
+    assert sorted((r.doc_id, r.epoch) for r in got.collect()) == by_hand
+
+
 def test_odd_cases(spark):
     docs = odd_documents(spark)
     everything = mixing.mixed(docs, domain_of(), 1.0)
