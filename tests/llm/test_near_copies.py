@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -99,6 +100,13 @@ def test_estimate_is_near_the_similarity():
         assert abs(near.similarity_of(1 - unequal / near.MINIMA) - exact) < 0.15
 
 
+def test_few_pairs_are_missed_by_bands_and_estimate_together():
+    bands = (1 - 0.8**near.ROWS) ** near.BANDS
+    n, p = near.MINIMA, 0.15  # unequal fields at similarity 0.8
+    estimate = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near.most_unequal(80) + 1, n + 1))
+    assert bands + estimate < 4e-7
+
+
 def test_components_of_a_chain_a_star_and_loops(spark):
     rows = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3), (5, 4), (4, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
