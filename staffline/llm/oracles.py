@@ -65,4 +65,32 @@ limits AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
   coalesce(NOT base_failed AND {_WITHIN}, FALSE) AS kept FROM base"""
 
-ORACLES = {"op2_near_copies": NEAR_COPIES, "op5_top_k": TOP_K, "op6_quality_rules": QUALITY_RULES}
+_BIT = "CAST(power(2, ascii(f) - ascii('A')) AS INTEGER)"
+_HIT, _GONE = "mask & bit <> 0", "mask & before <> 0"
+
+FILTER_AUDIT = rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS ws FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), FALSE) AS good, coalesce(bool_or(toxic = 1), FALSE) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+m AS (SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+    CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, step, {_BIT} AS bit,
+    coalesce(list_sum(list_transform(string_split(filter_order[1:step - 1], ''), lambda f: CASE WHEN f = '' THEN 0 ELSE {_BIT} END)), 0)::INTEGER AS before
+  FROM (SELECT filter_order, step, filter_order[step] AS f FROM o, range(1, 6) r(step))),
+r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, bit,
+    sum(n) FILTER (WHERE NOT ({_HIT}) AND NOT ({_GONE})) AS kept, sum(n) FILTER (WHERE {_HIT} AND NOT ({_GONE})) AS removed,
+    sum(n) FILTER (WHERE {_HIT} AND {_GONE}) AS redundant, sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+    sum(good) FILTER (WHERE {_HIT} AND NOT ({_GONE})) AS good_lost, sum(toxic) FILTER (WHERE {_HIT} AND NOT ({_GONE})) AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, {", ".join(f"CAST(coalesce({x}, 0) AS BIGINT) AS {x}" for x in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""
+
+ORACLES = {"op2_near_copies": NEAR_COPIES, "op5_top_k": TOP_K, "op6_quality_rules": QUALITY_RULES, "op13_filter_audit": FILTER_AUDIT}

@@ -8,7 +8,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffline.llm import html_text, mixing, near_copies, packing, pivot_search, quality_ranker, quality_rules, secret_scan, token_files, toxicity
+from staffline.llm import (
+    filter_audit, html_text, language_id, mixing, near_copies, packing, periodic_runs, pivot_search, quality_ranker,
+    quality_rules, secret_scan, token_files, toxicity,
+)
 from staffline.llm.oracles import ORACLES  # noqa: F401
 from staffline.session import shared_dir, staged
 
@@ -102,6 +105,39 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted(toxicity.scored(docs, model), held_out)
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = language_id.train(docs, remainder != 1)
+    return language_id.predicted(docs, model).select("doc_id", in_fold(3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Of the documents whose CRC-32 of the doc_id is a multiple of 10, the words from a place
+    a on become copies of the p words there, a and p given by the rest of the CRC-32."""
+    words, h = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.withColumn("_g", F.floor(h / 10)).withColumn("_words", F.when(h % 10 == 0, words)).withColumn("_n", F.size("_words"))
+    chosen = chosen.withColumn("_a", F.when(F.col("_n") > 0, F.expr("int(_g % _n)")))
+    chosen = chosen.withColumn("_p", F.expr("int(1 + (_n - _a) div (3 + _g % 8))"))
+    copied = F.expr("transform(_words, (w, i) -> if(i < _a, w, element_at(_words, int(_a + (i - _a) % _p + 1))))")
+    text = F.when(F.col("_p").isNull(), F.col("text")).otherwise(F.array_join(copied, " "))
+    return chosen.select("doc_id", text.alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.with_runs(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    out = found.withColumn("best", best)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_near_copies": op2_near_copies,
@@ -113,4 +149,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
+    "op11_language": op11_language,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_filter_audit": op13_filter_audit,
 }

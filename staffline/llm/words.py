@@ -3,9 +3,11 @@
 Texts are handled as UTF-8 bytes, joined by line feeds into buffers of about a megabyte,
 so that a few array operations serve hundreds of documents. White space is space and
 the five control characters from tab to carriage return; a word is a run of anything
-else. A hash is a polynomial over the bytes, modulo 2**64, then mixed: a word's hash
-comes from two prefix sums, whatever its length. Equal words always have equal hashes;
-unequal ones collide with a probability of about 2**-64.
+else. A hash is a polynomial over the bytes, modulo the prime 2**61 - 1, then mixed: a
+word's hash comes from prefix sums, whatever its length. Equal words always have equal
+hashes; two unequal ones of n bytes collide for at most n of the 2**61 bases, and the base
+is a fixed one that no text knows of. (A modulus of 2**64 would not do: there some pairs
+of words collide whatever the base.)
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 
@@ -34,23 +37,55 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix(np.uint64(seed) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-BASE = 0xD1342543DE82EF95 | 3
-INVERSE = pow(BASE, -1, 1 << 64)
-BYTE_CODES = stream(11, 256)
+PRIME = (1 << 61) - 1
+BASE = 0x0D1342543DE82EF9
+INVERSE = pow(BASE, -1, PRIME)
+#: Odd, for windows: polynomials of a few mixed hashes, modulo 2**64.
+WINDOW_BASE = 0xD1342543DE82EF95 | 3
+BYTE_CODES = np.arange(1, 257, dtype=np.uint64)
 _LOWER = np.arange(256)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 LOWER_CODES = BYTE_CODES[_LOWER]
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Longer spans are hashed by blake2b: a sum of 8-bit codes times 31-bit halves stays below 2**64.
+LONGEST_SUM = 1 << 23
+_LOW31 = np.uint64((1 << 31) - 1)
+_LOW30 = np.uint64((1 << 30) - 1)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, from 0 to n; kept between calls."""
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Modulo the prime, for any 64-bit numbers."""
+    prime = np.uint64(PRIME)
+    x = (x & prime) + (x >> np.uint64(61))
+    return np.where(x >= prime, x - prime, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, of numbers below it."""
+    a_high, a_low, b_high, b_low = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    middle = a_high * b_low + a_low * b_high
+    # 2**62 is 2, and 2**31 times the middle is its high part times 2**61 plus its low part times 2**31.
+    whole = a_high * b_high * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & _LOW30) << np.uint64(31))
+    return reduced(reduced(whole) + reduced(a_low * b_low))
+
+
+def _doubled(base: int, n: int) -> np.ndarray:
+    """Powers of a base modulo the prime, 0 to n - 1 at least, by doubling."""
+    table = np.ones(1, np.uint64)
+    while len(table) < n:
+        table = np.concatenate([table, product(table, np.uint64(pow(base, len(table), PRIME)))])
+    return table
+
+
+_powers = [np.ones(1, np.uint64)] * 3
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of the base, high and low halves, and of its inverse, from 0 to n; kept
+    between calls."""
     if len(_powers[0]) <= n:
-        for at, base in enumerate((BASE, INVERSE)):
-            table = np.full(n + 1, base, np.uint64)
-            table[0] = 1
-            _powers[at] = np.cumprod(table)
-    return _powers[0][: n + 1], _powers[1][: n + 1]
+        own, inverse = (_doubled(base, n + 1) for base in (BASE, INVERSE))
+        _powers[:] = [own >> np.uint64(31), own & _LOW31, inverse]
+    return [table[: n + 1] for table in _powers]
 
 
 @dataclass
@@ -82,17 +117,28 @@ class Words:
         return np.searchsorted(self.starts, self.start, "right") - 1
 
     @cached_property
-    def _sums(self) -> np.ndarray:
+    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums of codes times the high and low halves of powers, modulo 2**64: a
+        difference is exact as long as its span is at most ``LONGEST_SUM`` long."""
         codes = (LOWER_CODES if self.lower else BYTE_CODES)[self.buffer]
-        codes *= powers(len(codes))[0][:-1]
-        out = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes, out=out[1:])
-        return out
+        out = []
+        for half in powers(len(codes))[:2]:
+            sums = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum(codes * half[:-1], out=sums[1:])
+            out.append(sums)
+        return out[0], out[1]
 
     def hash_spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        inverse = powers(len(self.buffer))[1]
-        raw = (self._sums[end] - self._sums[start]) * inverse[start]
-        return mix(raw + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        high, low = self._sums
+        inverse = powers(len(self.buffer))[2]
+        upper, lower = reduced(high[end] - high[start]), reduced(low[end] - low[start])
+        raw = product(reduced(product(upper, np.uint64(1 << 31)) + lower), inverse[start])
+        out = mix(raw + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for i in np.flatnonzero(end - start > LONGEST_SUM):
+            span = self.buffer[start[i] : end[i]].tobytes()
+            digest = blake2b(span.lower() if self.lower else span, digest_size=8).digest()
+            out[i] = int.from_bytes(digest, "little")
+        return out
 
     @cached_property
     def hashes(self) -> np.ndarray:
@@ -105,7 +151,7 @@ class Words:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         whole = self.hashes[:n].copy()
         for step in range(1, size):
-            whole *= np.uint64(BASE)
+            whole *= np.uint64(WINDOW_BASE)
             whole += self.hashes[step : n + step]
         first = np.flatnonzero(self.doc[:n] == self.doc[size - 1 :])
         return mix(whole[first] + np.uint64(size)), first
