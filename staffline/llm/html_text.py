@@ -23,7 +23,8 @@ topics (``LAYOUT_NAMES``).
 
 Text: character references are decoded, white space inside a block becomes one space, and
 blocks are joined by line feeds. Line breaks are white space. Unclosed elements are closed
-by what follows; comments, scripts, styles, forms and the like are left out with all they
+by what follows; an element nested deeper than ``DEPTH`` counts as part of the one at that
+level, its text stays; comments, scripts, styles, forms and the like are left out with all they
 hold, formulas and fallback text are not; cut-off tags at the end are ignored.
 
 Nulls: a null or blank page gives an empty text; a null url is a host of its own. Repeated
@@ -47,6 +48,8 @@ from staffline.session import staged
 
 PERIOD = 4
 PART = 256
+#: Levels of a path. What is nested deeper counts as part of the element at this level.
+DEPTH = 100
 #: A child must hold this part of its parent's varying text for the descent to go on.
 MOST = 0.7
 
@@ -67,7 +70,9 @@ DROPPED_NAMES = frozenset(
 #: Those of them that are names of layouts and topics as well.
 LAYOUT_NAMES = frozenset(
     "ad ads sponsor sponsored promotion banner notice notices alert modal overlay nav navbar navigation menu sidebar aside widget widgets header masthead "
-    "topbar footer bottombar discussion sharing social related recommended search skip".split())
+    "topbar footer bottombar discussion share sharing social related recommended search skip".split())
+#: Attributes that name an element, and their signs in its name.
+NAMING = {"class": ".", "id": "#", "role": "@"}
 #: Ends of names: a mark, and a mark by a layout name.
 MARK, LAYOUT_MARK = "!", "!?"
 CLOSED_BY: dict[str, tuple[frozenset[str], frozenset[str]]] = {
@@ -83,7 +88,7 @@ RUNNING_TEXT = frozenset("p h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(
     r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|[/!?a-zA-Z][^>]*(?:>|\Z))""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NAME_WORD = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -110,20 +115,20 @@ def _name(tag: str, attributes: str) -> tuple[str, bool]:
     """The element's name, with a mark if its words are boilerplate's, and whether it is
     boilerplate by tag."""
     dropped, marks = tag in DROPPED_TAGS or tag == "header", set()
-    if not attributes or "=" not in attributes:
-        return tag, dropped or "hidden" in attributes.lower().split()
     name = tag
-    for kind, a, b, c in _ATTRIBUTE.findall(attributes):
-        value = (a or b or c).lower()
+    for kind, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
+        kind, value = kind.lower(), (a or b or c).lower()
+        if kind not in NAMING:
+            continue
         if tag not in ("html", "body", "main", "article"):
             for one in value.split():
                 words = _NAME_WORD.findall(one)
                 if words and words[0] not in ABOUT_OTHERS:
                     marks |= DROPPED_NAMES.intersection(words)
-        name += {"class": ".", "id": "#", "role": "@"}[kind.lower()] + re.sub(r"\d+", "0", " ".join(sorted(value.split())))
+        name += NAMING[kind] + re.sub(r"\d+", "0", " ".join(sorted(value.split())))
     if marks:
         name += LAYOUT_MARK if marks <= LAYOUT_NAMES else MARK
-    return name, dropped or "hidden" in attributes.lower().split()
+    return name, dropped
 
 
 def parse(source: str) -> Page:
@@ -201,7 +206,7 @@ def parse(source: str) -> Page:
                 if dropped:
                     stack.append((tag, stack[-1][1], None, True))
                 elif name.endswith((MARK, LAYOUT_MARK)):
-                    stack.append((tag, (*stack[-1][1], name), stack[-1][2], stack[-1][3]))
+                    stack.append((tag, (*stack[-1][1], name)[:DEPTH], stack[-1][2], stack[-1][3]))
             continue
         flush()
         in_link = False
@@ -223,10 +228,11 @@ def parse(source: str) -> Page:
                         break
         if tag == "hr":
             continue
-        children: list = []
-        parent = next(x for x in reversed(stack) if x[2] is not None)
-        parent[2].append([name, "1", children])
-        stack.append((tag, (*stack[-1][1], name), children, stack[-1][3] or dropped))
+        children = next(x for x in reversed(stack) if x[2] is not None)[2]
+        if len(stack[-1][1]) < DEPTH:
+            children.append([name, "1", own := []])
+            children = own
+        stack.append((tag, (*stack[-1][1], name)[:DEPTH], children, stack[-1][3] or dropped))
     flush()
     return page
 

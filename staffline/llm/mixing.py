@@ -8,19 +8,22 @@ use is handed back to the parent and so to the parent's siblings. Handing down e
 what a subtree can hold does both at once: a node's capacity is the sum of its leaves'.
 
 A leaf (one source in one language) takes whole epochs first and then a prefix of the next
-one. An epoch is an order of the leaf's documents by a seeded digest, another order for
-each epoch; the prefix ends with the document that reaches the budget. Every document is
-hence taken ``floor`` or ``ceil`` of budget / tokens times.
+one. An epoch is an order of the leaf's documents by a seeded digest of their ids, another
+order for each epoch; the prefix ends with the document that reaches the budget. Every
+document is hence taken ``floor`` or ``ceil`` of budget / tokens times. Rows with one id are
+ordered by a hash of the whole row, and so are rows without an id; of rows equal in all
+columns as many are taken as the budget needs.
 
 The prefix is found without putting a leaf in one task: the digests' range is cut into
 ``SLICES`` slices, token sums per slice give the slice where the budget is reached, and
-only that slice is put in order. The leaves' cut points, one row per leaf, are then joined
+only that slice is looked at again, by digest, then by slices of the rows' hashes, then by
+hash. Each look adds up equal values before they are moved, so an id or a row that makes up
+a third of a leaf is one value. The leaves' cut points, one row per leaf, are then joined
 to the documents, whose texts are not shuffled.
 
 Tokens are counted in words (runs without white space) plus one for the end, so an empty
 text counts one. Nulls: a null text counts one; null languages or sources are leaves of
-their own, with default weights. A null doc_id has digest order zero. Empty tables give
-empty results. Rows that repeat a doc_id have one place in the order and are taken together.
+their own, with default weights. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -35,10 +38,17 @@ DIGEST_BITS = 60
 LEVELS = ("_domain", "_lang", "_source")
 
 
-def digest(key: Column, epoch: int, seed: int) -> Column:
+def content(docs: DataFrame) -> Column:
+    """A hash of the whole row, below 2**60 (but for maps and variants, which have none)."""
+    plain = [f.name for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    return F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), 64 - DIGEST_BITS)
+
+
+def digest(key: Column, row: Column, epoch: int, seed: int) -> Column:
     """A place in the epoch's order, below 2**60."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), key.cast("string"))
-    return F.coalesce(F.conv(F.substring(F.md5(text), 1, DIGEST_BITS // 4), 16, 10).cast("long"), F.lit(0))
+    own = F.coalesce(key.cast("string"), F.concat(F.lit("row "), row.cast("string")))
+    text = F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), own)
+    return F.conv(F.substring(F.md5(text), 1, DIGEST_BITS // 4), 16, 10).cast("long")
 
 
 def n_tokens(text: Column) -> Column:
@@ -102,39 +112,64 @@ def leaf_budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str
 
 def _counted(docs: DataFrame, domain: Column, key: str, lang: str, source: str, text: str) -> DataFrame:
     return docs.select(
-        F.col(key).alias("_key"), domain.cast("string").alias("_domain"), F.col(lang).cast("string").alias("_lang"),
+        F.col(key).alias("_key"), content(docs).alias("_row"), domain.cast("string").alias("_domain"), F.col(lang).cast("string").alias("_lang"),
         F.col(source).cast("string").alias("_source"), n_tokens(F.col(text)).alias("_tokens"),
     )
 
 
+def _place(epochs: Column, key: Column, row: Column, max_epochs: int, seed: int) -> Column:
+    """The place in the epoch after the whole ones."""
+    place = F.lit(0).cast("long")
+    for epoch in range(max_epochs):
+        place = F.when(epochs == epoch, digest(key, row, epoch, seed)).otherwise(place)
+    return place
+
+
+def _reached(rows: DataFrame, of: list[str], level: str) -> DataFrame:
+    """Per leaf the value of a level with which the tokens so far reach what is left, the
+    tokens before it, and its own tokens and rows. ``rows``: of, left, before, _tokens."""
+    values = rows.groupBy(*of, "left", "before", level).agg(F.sum("_tokens").alias("own"), F.count("*").alias("rows"))
+    earlier = Window.partitionBy(*of).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("before", F.col("before") + F.coalesce(F.sum("own").over(earlier), F.lit(0)))
+    return values.where("before < left and before + own >= left")
+
+
 def cut_points(docs: DataFrame, domain: Column, budget_share: float, weights: dict, max_epochs: int, seed: int,
                key: str = "doc_id", lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """Per leaf: whole ``epochs``, and the last digest ``upto`` taken of the next one."""
+    """Per leaf: whole ``epochs``, the last place ``upto`` and row hash ``upto_row`` taken of
+    the next one, and, if not ``all`` of the rows with that hash, how many: ``copies``."""
     counted = staged(_counted(docs, domain, key, lang, source, text))
     leaves = counted.groupBy(*LEVELS).agg(F.sum("_tokens").alias("tokens"))
     leaves = leaf_budgets(leaves, F.col("tokens") * budget_share, weights, max_epochs)
     leaves = staged(leaves.select(
         *[F.col(k).alias(f"of{k}") for k in LEVELS], "tokens", "budget",
         F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("epochs"), (F.col("budget") % F.col("tokens")).alias("left")))
-    same = [F.col(k).eqNullSafe(F.col(f"of{k}")) for k in LEVELS]
     of = [f"of{k}" for k in LEVELS]
 
-    place = F.lit(0).cast("long")
-    for epoch in range(max_epochs):
-        place = F.when(F.col("epochs") == epoch, digest(F.col("_key"), epoch, seed)).otherwise(place)
-    placed = counted.join(leaves, same).where("left > 0").select(*of, "left", "_tokens", place.alias("place"))
-    placed = placed.withColumn("slice", F.shiftright("place", DIGEST_BITS - SLICES.bit_length() + 1))
-    slices = placed.groupBy(*of, "left", "slice").agg(F.sum("_tokens").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*of).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    slices = slices.withColumn("before", F.coalesce(before, F.lit(0)))
-    last = slices.where("before < left and before + n >= left").select(
-        *[F.col(k).alias(f"in_{k}") for k in of], F.col("slice").alias("in_slice"), "before")
-    here = placed.join(last, [F.col(k).eqNullSafe(F.col(f"in_{k}")) for k in of] + [F.col("slice") == F.col("in_slice")])
-    summed = F.sum("_tokens").over(Window.partitionBy(*of).orderBy("place"))
-    reached = here.select(*of, "place", "left", (F.col("before") + summed).alias("upto_n")).where("upto_n >= left")
-    upto = reached.groupBy(*of).agg(F.min("place").alias("upto"))
-    upto = upto.select(*[F.col(k).alias(f"at_{k}") for k in of], "upto")
-    return leaves.join(upto, [F.col(k).eqNullSafe(F.col(f"at_{k}")) for k in of], "left").select(*of, "tokens", "budget", "epochs", "upto")
+    def among(rows: DataFrame, found: DataFrame, level: str) -> DataFrame:
+        """The rows of the leaf's value, with the tokens before it."""
+        names = {c: f"in_{c}" for c in (*of, level, "before")}
+        found = found.select(*[F.col(c).alias(n) for c, n in names.items()])
+        same = [F.col(c).eqNullSafe(F.col(names[c])) for c in (*of, level)]
+        return rows.join(found, same).select(*[c for c in rows.columns if c != "before"], F.col("in_before").alias("before"))
+
+    same = [F.col(k).eqNullSafe(F.col(f"of{k}")) for k in LEVELS]
+    sliced = lambda bits: F.shiftright(bits, DIGEST_BITS - SLICES.bit_length() + 1)
+    rows = counted.join(leaves, same).where("left > 0").select(
+        *of, "left", F.lit(0).cast("long").alias("before"), "_tokens", "_row",
+        _place(F.col("epochs"), F.col("_key"), F.col("_row"), max_epochs, seed).alias("place"))
+    rows = rows.withColumn("slice", sliced("place")).withColumn("row_slice", sliced("_row"))
+    rows = staged(among(rows, _reached(rows, of, "slice"), "slice"))
+    for level in ("place", "row_slice"):
+        rows = among(rows, _reached(rows, of, level), level)
+    last = _reached(rows.withColumn("upto", F.struct("place", "_row")), of, "upto")
+    # Rows with one hash are equal; each has the same tokens.
+    copies = F.ceil((F.col("left") - F.col("before")) * F.col("rows") / F.col("own"))
+    last = last.select(
+        *[F.col(c).alias(f"at_{c}") for c in of], F.col("upto.place").alias("upto"), F.col("upto._row").alias("upto_row"),
+        F.least(copies, "rows").alias("copies"), (copies >= F.col("rows")).alias("all"))
+    return leaves.join(last, [F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in of], "left").select(
+        *of, "tokens", "budget", "epochs", "upto", "upto_row", "copies", "all")
 
 
 def mixed(docs: DataFrame, domain: Column, budget_share: float, weights: dict[str, dict[str | None, float]] | None = None,
@@ -149,14 +184,17 @@ def mixed(docs: DataFrame, domain: Column, budget_share: float, weights: dict[st
     cuts = cuts.select([F.col(c).alias(f"_mix_{c}") for c in cuts.columns])
     leaf = zip(LEVELS, (domain, F.col(lang), F.col(source)), strict=True)
     joined = docs.join(cuts, [value.cast("string").eqNullSafe(F.col(f"_mix_of{level}")) for level, value in leaf])
-    epochs = F.col("_mix_epochs")
-    place = F.lit(0).cast("long")
-    for epoch in range(max_epochs):
-        place = F.when(epochs == epoch, digest(F.col(key), epoch, seed)).otherwise(place)
-    times = epochs + F.coalesce((place <= F.col("_mix_upto")).cast("int"), F.lit(0))
-    taken = joined.withColumn("_mix_times", times).where("_mix_times > 0")
+    epochs, row = F.col("_mix_epochs"), content(docs)
+    here = F.struct(_place(epochs, F.col(key), row, max_epochs, seed), row)
+    last = F.struct("_mix_upto", "_mix_upto_row")
+    placed = joined.withColumns({"_mix_before": F.coalesce(here < last, F.lit(False)), "_mix_last": F.coalesce(here == last, F.lit(False))})
+    inside = F.col("_mix_before") | (F.col("_mix_last") & F.col("_mix_all"))
+    taken = placed.withColumn("_mix_times", epochs + inside.cast("int")).where("_mix_times > 0")
     columns = [F.col(c) for c in docs.columns]
-    if max_epochs == 1 and epoch_column is None:
-        return taken.select(*columns)
     out = taken.select(*columns, F.explode(F.sequence(F.lit(0), F.col("_mix_times") - 1)).alias("_mix_epoch"))
+    if cuts.where("not _mix_all").take(1):
+        # Of rows equal in all columns some are taken: they are counted, then given back.
+        some = placed.where("_mix_last and not _mix_all").groupBy(*columns, "_mix_epochs", "_mix_copies").agg(F.count("*").alias("_mix_rows"))
+        some = some.select(*columns, F.col("_mix_epochs").alias("_mix_epoch"), F.explode(F.sequence(F.lit(1), F.least("_mix_rows", "_mix_copies"))).alias("_"))
+        out = out.unionByName(some.drop("_"))
     return out.withColumnRenamed("_mix_epoch", epoch_column) if epoch_column else out.drop("_mix_epoch")

@@ -184,12 +184,13 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs that are similar by their full sets."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = staged(full_sets(_texts(docs, wanted), size))
+    # A row may be repeated, and an id may have several texts; each set of an id is there once.
+    sets = staged(full_sets(_texts(docs, wanted), size).dropDuplicates(["doc_id", "members"]))
     x = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("of_a"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     either = F.size("of_a") + F.size("of_b") - both
-    found = staged(pairs.join(y, "b").join(x, "a").where(100 * both >= percent * either).select("a", "b"))
+    found = staged(pairs.join(y, "b").join(x, "a").where(100 * both >= percent * either).select("a", "b").distinct())
     released(sets)
     return found
 
@@ -257,7 +258,10 @@ def _between_components(rows: DataFrame, percent: int, exact: bool) -> DataFrame
     probes = marked.where("minor").select(
         *carried, every(F.col("n_all")).alias("j"), spot(F.col("n_minor"), 2).alias("i"), F.lit(True).alias("probe"))
     allowed = most_unequal(percent)
-    blocks = all_rows.unionByName(probes).groupBy("key", "i", "j")
+    # Dealt by block and to a given number of tasks: left to itself, Spark keeps the dealing
+    # by key that the joins have left, and folds blocks, which are few bytes and much work.
+    n_tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = all_rows.unionByName(probes).repartition(n_tasks, "key", "i", "j").groupBy("key", "i", "j")
     return blocks.applyInPandas(lambda block: _spanning(block, allowed, percent if exact else None), "a bigint, b bigint").distinct()
 
 

@@ -131,7 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column) -> Ra
     known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     # SAMPLE rows at most.
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    rows = _rows(sample, ["doc_id", "_good"]).select("_good", "x").limit(2 * SAMPLE).toPandas()
+    # Of rows that repeat an id, the one with the smallest features.
+    rows = _rows(sample, ["doc_id", "_good"]).groupBy("doc_id", "_good").agg(F.min("x").alias("x")).orderBy("doc_id").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, rows["_good"].to_numpy())
 

@@ -9,7 +9,8 @@ paths and historical versions that hold the blob, so a thousand copies cost one
 
 The texts to scan are looked up by the digest of one row per blob; their shuffle is the
 only one that moves texts. A blob's findings are one row, whatever the number of its
-paths; paths are joined to them by digest.
+paths; paths are joined to them by digest. Rows that repeat both id and text meet in one
+task, which scans the first of them.
 
 A span is ``kind:start:end`` in code points, end exclusive. Within a rule, matches are
 leftmost and do not overlap; matches that are too short are dropped after matching.
@@ -72,13 +73,18 @@ def _pairs(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def scan(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``texts``: _blob, _text, _kinds (the rules to apply). One row per blob and rule."""
+    """``texts``: _blob, _text, _kinds (the rules to apply), rows of a blob in one partition.
+    One row per blob and rule."""
     by_kind = {r.kind: r for r in rules}
 
     def run(batches):
+        seen: set[bytes] = set()  # of one partition
         for batch in batches:
             rows = []
             for blob, text, kinds in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if blob in seen:
+                    continue
+                seen.add(blob)
                 for kind in kinds:
                     spans = [list(x) for x in find(by_kind[kind], text)]
                     rows.append((blob, kind, by_kind[kind].version, spans))
@@ -126,6 +132,9 @@ def update_ledger(versions: DataFrame, ledger: str | None, rules: tuple[Rule, ..
     return spark.read.parquet(ledger).join(_pairs(spark, rules), ["kind", "version"], "left_semi")
 
 
+FOUND = "array<struct<start:int,rank:int,kind:string,end:int>>"
+
+
 def findings(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES,
              key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``versions`` its key, ``blob`` and ``found``: kind, start and end of every
@@ -141,7 +150,7 @@ def findings(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     paths = with_blob(versions.select(F.col(key), F.col(text).cast("string").alias("_text")), "_text").drop("_text")
     return paths.join(by_blob.withColumnRenamed("blob", "_of"), F.col("_blob") == F.col("_of"), "left").select(
         F.col(key), F.lower(F.hex("_blob")).alias("blob"),
-        F.coalesce("found", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")).alias("found"))
+        F.coalesce("found", F.array().cast(FOUND)).alias("found"))
 
 
 def span_list(found, kinds: tuple[str, ...] | None = None):
@@ -163,14 +172,19 @@ def redacted(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     names = docs.columns
     keyed = with_blob(docs).join(
         staged(by_doc), F.col("doc_id").eqNullSafe(F.col("_scan_id")) & (F.col("_blob") == F.col("_scan_blob")), "left")
-    merged = F.aggregate(
-        "_scan_found",
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.when(
-            s.start >= acc["at"],
-            F.struct(F.concat(acc["out"], F.substring("text", acc["at"] + 1, s.start - acc["at"]), F.lit(REPLACEMENT)).alias("out"), s.end.alias("at")),
-        ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s.end).alias("at"))),
-    )
-    clean = F.when(F.col("_scan_found").isNull(), F.col("text")).otherwise(
-        F.concat(merged["out"], F.substring("text", merged["at"] + 1, F.length("text"))))
+    no_spans = F.array().cast("array<struct<start:int,end:int>>")
+
+    def join_spans(acc, s):
+        last = F.element_at(acc, -1)
+        own = F.struct(s.start.alias("start"), s.end.alias("end"))
+        longer = F.struct(last.start.alias("start"), F.greatest(last.end, s.end).alias("end"))
+        # get() of the empty list is null, and so is the comparison.
+        touches = F.coalesce(F.get(acc, F.size(acc) - 1).end >= s.start, F.lit(False))
+        return F.when(touches, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(own)))
+
+    keyed = keyed.withColumn("_scan_spans", F.aggregate(F.coalesce("_scan_found", F.array().cast(FOUND)), no_spans, join_spans))
+    end = lambda i: F.when(i > 0, F.get("_scan_spans", i - 1).end).otherwise(0)
+    before = F.transform("_scan_spans", lambda s, i: F.substring("text", end(i) + 1, s.start - end(i)))
+    after = F.substring("text", end(F.size("_scan_spans")) + 1, F.length("text"))
+    clean = F.when(F.size("_scan_spans") == 0, F.col("text")).otherwise(F.array_join(F.concat(before, F.array(after)), REPLACEMENT))
     return keyed.select(*[clean.alias("text") if c == "text" else F.col(c) for c in names])

@@ -4,15 +4,19 @@ The tokenizer cuts a text at white space before anything else, so a text's ids a
 of its words in turn. A word that is a run of plain Latin letters and then a run of plain
 punctuation is cut between the two, as the tokenizer itself does; any other word stays
 whole. Pieces come back often: each Python worker keeps the ids of up to ``KEPT_PIECES``
-pieces in sorted arrays, found by the piece's 64-bit hash, and gives only new pieces to
-the tokenizers library. Runs of letters are given many to a call, separated by spaces;
+pieces in sorted arrays, found by the hash of the piece in lower case, and gives only new
+pieces to the tokenizers library. The tokenizer looks for its added tokens before it lower-
+cases, so pieces that spell one, in whatever case, are known by a hash of their own bytes.
+Ids hence do not depend on what a worker has seen before. Runs of letters are given many to a call, separated by spaces;
 the ids that end a word tell where each one stops.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 
@@ -79,6 +83,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        added = {t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
@@ -114,18 +120,30 @@ class Encoder:
         self.key = keys[order]
         self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
 
+    def _mark_added(self, whole: bytes, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> None:
+        """Pieces that spell an added token get keys by their bytes as they are."""
+        if self.added is None or not len(start):
+            return
+        places = np.array([m.start() for m in self.added.finditer(whole.lower())], np.int64)
+        for i in np.unique(np.searchsorted(start, places, "right") - 1):
+            if i >= 0:
+                digest = blake2b(whole[start[i] : end[i]], digest_size=8, person=b"as spelled").digest()
+                keys[i] = int.from_bytes(digest, "little")
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, given as UTF-8."""
         out: list[np.ndarray] = []
         for part, words in buffers(texts, lower=True, most=BUFFER):
             start, end, doc, letters = pieces(words)
-            unique, first, which = np.unique(words.hash_spans(start, end), return_index=True, return_inverse=True)
+            keys = words.hash_spans(start, end)
+            whole = words.buffer.tobytes()
+            self._mark_added(whole, start, end, keys)
+            unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
             if len(self.key) + len(unique) > KEPT_PIECES:
                 self._forget()
             at = np.searchsorted(self.key, unique)
             new = (at == len(self.key)) | (self.key[np.minimum(at, len(self.key) - 1)] != unique) if len(self.key) else np.ones(len(unique), bool)
             if new.any():
-                whole = words.buffer.tobytes()
                 found = [whole[start[i] : end[i]] for i in first[new]]
                 self._learn(unique[new], found, letters[first[new]])
                 at = np.searchsorted(self.key, unique)

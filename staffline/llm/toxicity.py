@@ -20,7 +20,7 @@ Lexicon and model are learnt from a sample of at most ``SAMPLE`` labelled docume
 with the smallest hashes of their ids, without copies of one another (documents that agree in all
 of three minimum hashes of their word windows count once), because words of a text that
 is there many times would all seem telling. Word counts of the sample are made by Spark, and
-only the lexicon (``TERMS`` at most, and as many exceptions) and the sample's features
+only the lexicon (words of the sample that pass a test) and the sample's features
 reach the driver. Scoring
 runs over all documents in one pass without a shuffle and uses the text alone.
 
@@ -46,7 +46,6 @@ from staffline.llm.words import Words, as_bytes, buffers, mix
 from staffline.session import staged
 
 SAMPLE = 20_000
-TERMS = 4_000
 WINDOW = 8
 #: Edits allowed from this length of a term on.
 EDITS = ((9, 2), (5, 1), (0, 0))
@@ -345,7 +344,8 @@ def learn_terms(sample: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
     least = F.when(F.col("word").endswith("*"), STEM_SHARE).otherwise(TERM_SHARE)
     strong = counts.where("bad > 0").withColumn("weight", F.col("n") * divergence).where(
         (share > rate) & (share >= least) & (F.col("weight") > needed))
-    terms = tuple(sorted({*SEEDS, *(r.word for r in strong.orderBy(F.desc("weight"), "word").limit(TERMS).collect())}))
+    # Words of the bounded sample, and of these the few that cannot be chance.
+    terms = tuple(sorted({*SEEDS, *(r.word for r in strong.select("word").collect())}))
 
     def matched(batches):
         lexicon = lexicon_of(terms)
@@ -355,7 +355,7 @@ def learn_terms(sample: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
 
     clean = counts.where((F.col("n") - F.col("bad") > 1) & (share < TERM_SHARE) & ~F.col("word").endswith("*"))
     clean = clean.select("word", "n").mapInArrow(matched, "word string, n bigint")
-    return terms, tuple(sorted(r.word for r in clean.orderBy(F.desc("n"), "word").limit(TERMS).collect()))
+    return terms, tuple(sorted(r.word for r in clean.select("word").collect()))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column) -> Model:
@@ -364,7 +364,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column) -> Mo
     known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     # SAMPLE rows at most.
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    sample = staged(without_copies(sample.limit(2 * SAMPLE)).repartition(TASKS))
+    # Of rows that repeat an id, the text with the smallest hash.
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "toxic")
+    sample = staged(without_copies(sample).repartition(TASKS))
     terms, exceptions = learn_terms(sample)
 
     def measure(batches):

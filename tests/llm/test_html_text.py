@@ -134,3 +134,24 @@ def test_broken_markup_is_read_in_linear_time():
     for source in ("<" * 50_000, "<a " + 'x="' * 30_000, "<p>" * 20_000, "<!--" * 30_000, "</p>" * 30_000 + "&#" * 30_000):
         h.main_text(h.parse(source), None)
     assert time.time() - began < 20
+
+
+def test_deeply_nested_pages(spark):
+    """Thousands of elements in one another, of one host and alone; nothing is lost."""
+    for n in (90, 101, 700, 5000):
+        body = "<div>" * n + "<p>the inner text</p>" + "</div>" * n + "<p>the outer text</p>"
+        page = f"<html><body><article><h1>Title {n}</h1>{body}</article></body></html>"
+        pages = spark.createDataFrame([(i, f"http://deep{n % 7}.org/{i}", page.replace("Title", f"Title {i}")) for i in range(3)], "page_id bigint, url string, html string")
+        for r in h.main_texts(pages).collect():
+            assert r.text == f"Title {r.page_id} {n}\nthe inner text\nthe outer text"
+
+
+def test_attributes_are_read_by_name(spark):
+    """Words in values of other attributes name nothing."""
+    kept = ['<p title="a hidden gem">one {}</p>', '<p data-role="comment-target">two {}</p>', '<p data-id=reply>three {}</p>',
+            '<h2 class="share-price">four {}</h2>', "<p data-class='sidebar' hidden-note=x>five {}</p>"]
+    html = "<body><main><article>" + "".join(kept) + '<div class="comments"><p>a reader {}</p></div></article></main></body>'
+    rows = [(i, f"http://names.org/{i}", html.replace("{}", f"of page {i} with text of its own {i * 7919}")) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for r in h.main_texts(pages).collect():
+        assert [line.split()[0] for line in r.text.split("\n")] == ["one", "two", "three", "four", "five"]

@@ -102,3 +102,26 @@ def test_odd_cases(spark):
     assert mixing.mixed(no_documents(spark), domain_of(), 0.5).count() == 0
     counted = docs.select("text", mixing.n_tokens(F.col("text")).alias("n")).collect()
     assert [r.n for r in counted] == [tokens(r.text) for r in counted]
+
+
+def test_repeated_and_null_ids_keep_the_budget(spark, monkeypatch):
+    """A thousand rows of one id, of none, and equal in all columns: each row has a place."""
+    monkeypatch.setattr(mixing, "SLICES", 8)
+    rows = [(7, f"w{i} x y", "en", "a", i) for i in range(1000)] + [(None, f"w{i} x y", "en", "b", i) for i in range(1000)]
+    rows += [(9, "same text here", "en", "c", 1)] * 1000 + [(None, None, "en", "d", None)] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n int").repartition(5)
+    for share, epochs in ((0.1, 1), (0.37, 1), (1.25, 2)):
+        cuts = {r.of_source: r for r in mixing.cut_points(docs, F.lit("one"), share, {}, epochs, 17).collect()}
+        got = mixing.mixed(docs, F.lit("one"), share, {}, epochs, epoch_column="epoch").collect()
+        for source, each in {"a": 4, "b": 4, "c": 4, "d": 1}.items():
+            own = [r for r in got if r.source == source]
+            assert 0 <= each * len(own) - cuts[source].budget < each
+            if source in "ab":
+                assert len({(r.n, r.epoch) for r in own}) == len(own)
+
+
+def test_a_hot_id_is_one_value(spark):
+    """What is put in order of a leaf is values, not rows."""
+    docs = spark.createDataFrame([(7, "w x y", "en", "a")] * 5000 + [(i, "w x y", "en", "a") for i in range(50)], "doc_id long, text string, lang string, source string")
+    for share in (0.05, 0.5, 0.95):
+        assert 0 <= 4 * mixing.mixed(docs, F.lit("one"), share).count() - share * 4 * 5050 < 5

@@ -111,3 +111,26 @@ def test_components_of_a_chain_a_star_and_loops(spark):
     rows = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3), (5, 4), (4, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)}
+
+
+def test_repeated_rows_of_two_near_copies_do_not_multiply(spark):
+    words = [f"w{i}" for i in range(200)]
+    other = [*words[:100], "other", *words[101:]]
+    rows = [(1, " ".join(words))] * 60 + [(2, " ".join(other))] * 60
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = near.near_copies(docs).collect()
+    assert len(found) == 120 and {r.component_id for r in found} == {1}
+    pairs = spark.createDataFrame([(1, 2)], "a bigint, b bigint")
+    assert near._confirmed(pairs, docs, 4, 80).count() == 1
+
+
+def test_blocks_are_dealt_by_block(spark):
+    """With sort-merge joins, too, the blocks of one key go to many tasks."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = spark.range(3000).selectExpr("bigint(1) AS key", "id AS doc_id", "id % 30 AS root", *[f"bigint(id) AS {p}" for p in near.PLANES])
+        blocks = near._between_components(rows, 80, exact=False)
+        plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [key" in plan and ", i#" in plan and ", j#" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

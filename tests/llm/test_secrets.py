@@ -68,3 +68,20 @@ def test_redaction_and_odd_cases(spark):
     assert scan.redacted(nested).first().text == "é x [SECRET] y"
     assert scan.redacted(no_documents(spark)).count() == 0
     assert scan.findings(no_documents(spark)).count() == 0
+
+
+def test_repeated_and_null_ids_are_scanned_once(spark):
+    """A thousand rows of one id, and of none, with two texts."""
+    ledger = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    rows = [(i, f"token=aaaaaaaaa{n % 2}") for i in (1, None) for n in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    found = scan.findings(docs, ledger, scan.BASE_RULES)
+    assert found.count() == 2000 and found.where("size(found) = 1").count() == 2000
+    assert spark.read.parquet(ledger).count() == 2 * len(scan.BASE_RULES)
+
+
+def test_touching_spans_are_one(spark):
+    both = "AKIA" + "A" * 16 + "0123456789abcdef" * 2
+    texts = {f"x {both} y {both}": "x [SECRET] y [SECRET]", both: "[SECRET]", "0" * 32 + " é": "[SECRET] é"}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r.text for r in scan.redacted(docs).orderBy("doc_id").collect()] == list(texts.values())

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from staffline.llm import token_files as files
 from staffline.llm.queries import op3_token_files
-from staffline.llm.tokens import tokenizer_path
+from staffline.llm.tokens import Encoder, tokenizer_path
 from staffline.session import shared_dir
 
 
@@ -63,3 +63,15 @@ def test_damage_is_noticed():
     assert files.decode_segment(data)[2].tolist() == list(range(10))
     with pytest.raises(ValueError):
         files.decode_segment(b"XXXX" + data[4:])
+
+
+def test_ids_do_not_depend_on_what_came_before():
+    """Added tokens are found before lower-casing; words that a weak hash would confuse."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    words = ["<|ENDOFTEXT|>", "<|endoftext|>", "x<|endoftext|>y", "X<|EndOfText|>Y", "x<|ENDOFTEXT|>y<|startoftext|>", "<|startoftext|>", "<|StartOfText|>", a, b, a.upper()]
+    library = Tokenizer.from_file(tokenizer_path())
+    for order in (words, words[::-1]):
+        own = Encoder(tokenizer_path())
+        for text in [*order, " ".join(order), " ".join(order[::-1])]:
+            assert own.encode([text.encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids
