@@ -30,14 +30,15 @@ s AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
+#: Share: upper percentile, least distance from the median.
 _SHARES = {
-    "floor(10000.0 * n_symbols / greatest(word_chars, 1))": 500,
-    "floor(10000.0 * n_dup_lines / greatest(n_lines, 1))": 3000,
-    "floor(10000.0 * n_repeat_words / greatest(n_words, 1))": 3000,
+    "floor(10000.0 * n_symbols / greatest(word_chars, 1))": (75, 20),
+    "floor(10000.0 * n_dup_lines / greatest(n_lines, 1))": (75, 150),
+    "floor(10000.0 * n_repeat_words / greatest(n_words, 1))": (90, 120),
 }
 _LONG = " UNION ALL ".join(
-    f"SELECT lang, source, {i} AS k, {floor} AS floor, CAST({share} AS BIGINT) AS v FROM base WHERE NOT base_failed"
-    for i, (share, floor) in enumerate(_SHARES.items()))
+    f"SELECT lang, source, {i} AS k, {upper} AS upper, {least} AS least, CAST({share} AS BIGINT) AS v FROM base WHERE NOT base_failed"
+    for i, (share, (upper, least)) in enumerate(_SHARES.items()))
 _WITHIN = " AND ".join(
     f"{share} <= (SELECT max(most) FROM limits l WHERE l.k = {i} AND l.lang IS NOT DISTINCT FROM base.lang "
     "AND l.source IS NOT DISTINCT FROM base.source)"
@@ -57,11 +58,11 @@ base AS (
     coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
     len(ws) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(ws) AS base_failed
   FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
-cells AS (SELECT lang, source, k, floor, v - v % (1::BIGINT << greatest(length(bin(v)) - 6, 0)) AS cell, count(*) AS n FROM ({_LONG}) GROUP BY ALL),
+cells AS (SELECT lang, source, k, upper, least, v - v % (1::BIGINT << greatest(length(bin(v)) - 6, 0)) AS cell, count(*) AS n FROM ({_LONG}) GROUP BY ALL),
 sums AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, k ORDER BY cell) AS c, sum(n) OVER (PARTITION BY lang, source, k) AS total FROM cells),
-limits AS (
-  SELECT lang, source, k, greatest(7 * min(cell) FILTER (WHERE 100 * c >= 75 * total) - 6 * min(cell) FILTER (WHERE 100 * c >= 25 * total), any_value(floor)) AS most
-  FROM sums GROUP BY 1, 2, 3)
+ranks AS (SELECT lang, source, k, least, min(cell) FILTER (WHERE 100 * c >= 50 * total) AS middle, min(cell) FILTER (WHERE 100 * c >= upper * total) AS high
+  FROM sums GROUP BY ALL),
+limits AS (SELECT lang, source, k, middle + 20 * greatest(high - middle, least) AS most FROM ranks)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
   coalesce(NOT base_failed AND {_WITHIN}, FALSE) AS kept FROM base"""
 

@@ -5,9 +5,10 @@ per ten thousand (``SHARES``). Fixed rules fail very short and very repetitive t
 the others a cut-off per language and source replaces fixed numbers: the distribution of
 each share is summed up in a mergeable quantile sketch, a histogram that keeps the six
 leading bits of each value (relative error below 1/32, at most a few hundred cells, merged
-by adding counts), and the cut-off is the upper quartile plus ``FENCE`` times the distance
-between the quartiles, but never below ``FLOOR``. A document beyond a cut-off of its own
-language and source is rejected.
+by adding counts), and the cut-off is the median plus ``FENCE`` times the distance from
+there to an upper percentile (``UPPER``). Where all values of a group are nearly alike that
+distance is taken to be ``LEAST``, so that a clean source does not reject its second-cleanest
+rows. A document beyond a cut-off of its own language and source is rejected.
 
 The sketch is built by a partial aggregation, so that a source with a third of all rows
 moves no more than its cells; the cut-offs are one row per language and source and are
@@ -35,10 +36,12 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
-#: Cut-off: upper quartile + FENCE * (upper - lower quartile), FLOOR at least; parts per 10,000.
-QUARTILES = (25, 75)
-FENCE = 6
-FLOOR = {"symbol_share": 500, "dup_line_share": 3000, "repeat_share": 3000}
+#: Cut-off: median + FENCE * (UPPER percentile - median, LEAST at least); parts per 10,000.
+#: Symbols and repeated lines come from few sources' junk, which a higher percentile would
+#: take for the source's own; repeated words are spread over all texts.
+MEDIAN, FENCE = 50, 20
+UPPER = {"symbol_share": 75, "dup_line_share": 75, "repeat_share": 90}
+LEAST = {"symbol_share": 20, "dup_line_share": 150, "repeat_share": 120}
 #: Leading bits that a cell of the sketch keeps.
 SKETCH_BITS = 6
 
@@ -137,7 +140,7 @@ def cutoffs(counted: DataFrame, lang: str = "lang", source: str = "source", pref
     by_cell = F.sort_array(F.collect_list(F.struct("cell", "n")))
     sketches = cells.groupBy(*whole).agg(by_cell.alias("cells"), F.sum("n").alias("total"))
 
-    def at(percent: int) -> Column:
+    def at(percent: Column) -> Column:
         """Smallest cell with at least this share of the rows at or below it."""
         found = F.aggregate(
             "cells",
@@ -149,11 +152,12 @@ def cutoffs(counted: DataFrame, lang: str = "lang", source: str = "source", pref
         )
         return found.hit
 
-    low, high = (at(q) for q in QUARTILES)
-    fenced = sketches.select(*whole, (high + FENCE * (high - low)).alias("fence"))
+    of_share = lambda values: F.get(F.array(*[F.lit(values[s]) for s in SHARES]), F.col("share"))
+    middle = at(F.lit(MEDIAN))
+    fence = middle + FENCE * F.greatest(at(of_share(UPPER)) - middle, of_share(LEAST))
+    fenced = sketches.select(*whole, fence.alias("fence"))
     return fenced.groupBy("lang", "source").agg(*[
-        F.greatest(F.max(F.when(F.col("share") == i, F.col("fence"))), F.lit(FLOOR[name])).alias(f"max_{name}")
-        for i, name in enumerate(SHARES)
+        F.max(F.when(F.col("share") == i, F.col("fence"))).alias(f"max_{name}") for i, name in enumerate(SHARES)
     ])
 
 
@@ -167,7 +171,8 @@ def judged(counted: DataFrame, limits: DataFrame, lang: str = "lang", source: st
     )
     within = F.lit(True)
     for name, value in shares(prefix).items():
-        within = within & (value <= F.coalesce(F.col(f"_limit_max_{name}"), F.lit(FLOOR[name])))
+        # A group without cut-offs has no rows that pass the fixed rules.
+        within = within & F.coalesce(value <= F.col(f"_limit_max_{name}"), F.lit(True))
     return joined.select(
         *[F.col(c) for c in counted.columns],
         base_failed(prefix).alias(f"{prefix}base_failed"), (~base_failed(prefix) & within).alias(f"{prefix}kept"),

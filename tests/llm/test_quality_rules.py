@@ -40,8 +40,8 @@ def brute(rows):
     for key, members in groups.items():
         for i, name in enumerate(rules.SHARES):
             cells = sorted(cell(m[i]) for m in members)
-            at = [next(c for k, c in enumerate(cells) if 100 * (k + 1) >= q * len(cells)) for q in rules.QUARTILES]
-            limits[key, i] = max(at[1] + rules.FENCE * (at[1] - at[0]), rules.FLOOR[name])
+            middle, high = (next(c for k, c in enumerate(cells) if 100 * (k + 1) >= q * len(cells)) for q in (50, rules.UPPER[name]))
+            limits[key, i] = middle + rules.FENCE * max(high - middle, rules.LEAST[name])
     return [(c, failed, not failed and all(s[i] <= limits[key, i] for i in range(3))) for c, failed, s, key in out]
 
 
@@ -63,7 +63,7 @@ def test_a_noisy_source_widens_its_own_limits_only(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     counts = rules.with_counts(docs)
     limits = {r.source: r.max_symbol_share for r in rules.cutoffs(counts).collect()}
-    assert limits["s0"] == rules.FLOOR["symbol_share"] < limits["s1"]
+    assert limits["s0"] == rules.FENCE * rules.LEAST["symbol_share"] < limits["s1"]
 
 
 def test_accepted_keeps_columns_and_takes_odd_cases(spark):
