@@ -594,6 +594,9 @@ ORACLES: dict[str, str] = {
           WHEN 2 THEN concat(c_name, chr(13), chr(10), '"quoted"', c_mktsegment)
           ELSE c_name END AS "the
 note" FROM customer""",
+    "csv_encodings": r"""SELECT doc_id, lang, concat(regexp_replace(coalesce(text, ''), '[^\x{00}-\x{ff}]', '', 'g'),
+          CASE doc_id % 4 WHEN 0 THEN 'ñ' WHEN 1 THEN '€“' WHEN 2 THEN chr(129) ELSE '.' END) AS text,
+        upper(lang) AS lang_again FROM documents""",
     **{f"summary_{output}": summary_query(output) for output in RAW},
     **{f"charts_{output}": charts_query(output) for output in CHARTS},
     "csv_round_trip": """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey,

@@ -517,6 +517,26 @@ def csv_messy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.cast_integers(read_csv(spark, path), ["c_custkey"])
 
 
+def csv_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in many files of one extract, with line breaks and quotes in cells and a
+    repeated header: UTF-8 with and without a byte-order mark, cp1252 and latin-1."""
+    scale = sf_dir.rstrip("/").rsplit("/", 1)[-1]
+    path = f"{shared_dir(spark)}/csv-encodings-{scale}-{spark.sparkContext.applicationId}"
+    file, kind = F.col("doc_id") % 64, F.col("file") % 4
+    last = F.when(kind == 0, "ñ").when(kind == 1, "€“").when(kind == 2, "\u0081").otherwise(".")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\xff]", "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", file.alias("file"), text.alias("text"))
+    cells = F.struct("doc_id", "lang", F.concat("text", last).alias("text"), F.upper("lang").alias("upper"))
+    lines = docs.select("file", "doc_id", F.to_csv(cells, {"escape": '"', "quoteAll": "true"}).alias("value"))
+    names = F.concat(F.when(kind == 0, "\ufeff").otherwise(""), F.lit("doc_id,lang,text,lang"))
+    heads = docs.select("file").distinct().select("file", F.lit(None).cast("bigint").alias("doc_id"), names.alias("value"))
+    single = F.encode(F.translate("value", "€“", "\x80\x93"), "ISO-8859-1").cast("string")
+    out = lines.unionByName(heads).repartition("file").sortWithinPartitions("file", "doc_id", "value")
+    out = out.select("file", F.when(kind.isin(1, 2), single).otherwise(F.col("value")).alias("value"))
+    out.write.mode("overwrite").partitionBy("file").text(path)
+    return columns.cast_integers(read_csv(spark, path), ["doc_id"]).toDF("doc_id", "lang", "text", "lang_again")
+
+
 def _charts_query(output: str) -> Query:
     """The numbers of all of a source's charts."""
 
@@ -573,7 +593,7 @@ QUERIES: dict[str, Query] = {
         value_counts_with_nulls, value_counts_in_order, topk_values, rows_per_year,
         rows_per_person, histogram_bins, histogram_unclipped, iqr_outliers,
         iqr_outlier_count, describe_numeric, quantiles_narrowed, csv_round_trip,
-        csv_messy_round_trip,
+        csv_messy_round_trip, csv_encodings,
         *(_source_query(output) for output in RAW),
         *(_summary_query(output) for output in RAW),
         *(_charts_query(output) for output in RAW if BY_OUTPUT[output].charts),

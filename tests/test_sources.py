@@ -1,9 +1,13 @@
 import codecs
+import random
+import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from staffline.functions.text import NULL_TOKENS
 from staffline.operators.columns import collapse_repeated
+from staffline.sources import csv, records
 from staffline.sources.csv import inspect_csv, read_csv
 from staffline.sources.sinks import write_table
 
@@ -129,3 +133,94 @@ def test_written_tables_read_back(spark, tmp_path):
     assert sorted(cells(read_csv(spark, out))) == [("1", "a,b"), ("2", None)]
     with pytest.raises(ValueError):
         write_table(df, out, "xml")
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def random_rows(rng, n):
+    cell = lambda: "".join(rng.choices(["a", "é", " ", ",", '"', "\n", "\n\n", 'x"y'], k=rng.choice([0, 1, 3, 8, 60])))
+    return [(f"k{i}", cell(), cell()) for i in range(n)]
+
+
+def spelled(rows, newline, rng):
+    """Cells quoted where they must be and sometimes where they need not."""
+    must = lambda c: any(x in c for x in ',"\n') or c.startswith('"')
+    one = lambda c: '"' + c.replace('"', '""') + '"' if must(c) or rng.random() < 0.2 else c
+    return newline.join([*(",".join(map(one, r)) for r in rows), ""])
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+@pytest.mark.parametrize("encoding", ["utf-8", "cp1252"])
+def test_a_file_with_line_breaks_in_cells_is_read_in_splits(spark, tmp_path, small_splits, newline, encoding):
+    rng = random.Random(f"{newline}{encoding}")
+    rows = random_rows(rng, 1200)
+    text = spelled([("k", "note, one", 'x "y"'), *rows], newline, rng) + ("" if encoding == "utf-8" else f"last,€,“{newline}")
+    path = put(tmp_path, text.encode(encoding))
+    df = read_csv(spark, path, with_ordinal=True)
+    got = [tuple(r[:3]) for r in df.orderBy("_ORDINAL").collect()]
+    from staffline.functions.text import NULL_TOKENS
+
+    expected = [tuple(None if c in NULL_TOKENS else c for c in r) for r in rows]
+    assert df.columns[:3] == ["k", "note, one", 'x "y"']
+    assert got[: len(rows)] == expected and len(got) == len(rows) + (encoding == "cp1252")
+    assert df.select("_ORDINAL.block").distinct().count() > 5
+
+
+def test_a_cell_over_many_splits(spark, tmp_path, small_splits):
+    """A record longer than splits, quotes at the edges of lines, a split of nothing but text."""
+    long = "\n".join(f'line {i} , "" and "more""' .replace('"', "'") for i in range(400))
+    tricky = 'a"\n"b,\n,"\n""\nc'
+    rows = [("1", long), ("2", tricky), ("3", "plain"), ("4", long + '"'), ("5", "end")]
+    path = put(tmp_path, spelled([("k", "v"), *rows], "\n", random.Random(0)).encode())
+    assert [tuple(r) for r in read_csv(spark, path).orderBy("k").collect()] == rows
+
+
+def test_files_without_rule_are_read_as_before(spark, tmp_path):
+    """A quote that closes before the cell ends, a file that ends in a cell, lone CRs."""
+    for i, text in enumerate(['a,b\n1,"x"y\n2,"u\nv"\n', 'a,b\n1,x\n2,"open\nto the end', 'a,b\n1,"x\ry"\n2,"p\nq"\n']):
+        path = put(tmp_path, text.encode(), f"{i}.csv")
+        (file,) = inspect_csv(spark, path)
+        assert file.whole and file.header == ("a", "b")
+        plain = csv._reader(spark, "utf-8", True).option("header", True).schema("a string, b string").csv(path)
+        assert cells(read_csv(spark, path)) == cells(plain)
+
+
+def test_a_quote_without_partner_raises(spark, tmp_path):
+    path = put(tmp_path, ('a,b\n1,"x\n' + "2,y\n" * 50).encode())
+    lines = csv._lines(spark, path)
+    name = lines.first().path
+    with pytest.raises(ValueError, match="51 lines"):
+        records.find_records(lines, [(name, False, False)], record_lines=40)
+
+
+def jobs_of(spark, action):
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_jobs_do_not_grow_with_the_number_of_files(spark, tmp_path):
+    """Every encoding, marks, headers of one line and of two, cells with breaks."""
+    seen = {}
+    for n in (12, 120):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        for i in range(n):
+            head = '"a\nb",c,c' if i % 3 else "\ufeff" * (i % 2) + '"a\nb",c,c'
+            text = f'{head}\n{i},"x\ny{"“" if i % 2 else "ó"}",z\n{i + 1000},plain,w\n'
+            put(folder, text.encode("cp1252" if i % 3 else "utf-8"), f"{i}.csv")
+        found = []
+        seen[n] = jobs_of(spark, lambda: found.append(read_csv(spark, str(folder))))
+        assert found[0].columns == ["a\nb", "c", "c.1"] and found[0].count() == 2 * n
+        assert found[0].where(F.col("c").startswith("x\ny")).count() == n
+    assert seen[120] <= seen[12] + 2
