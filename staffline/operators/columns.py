@@ -168,6 +168,47 @@ def staged_with_profile(df: DataFrame) -> tuple[DataFrame, dict[str, ColumnProfi
     return out, _profiles(names, seen.get)
 
 
+#: What ``profile_states`` returns; rows of several calls may be put together.
+STATE = "file string, column string, rows bigint, nulls bigint, low string, high string, flags boolean"
+
+
+def profile_states(df: DataFrame, file: Column) -> DataFrame:
+    """One small row per file and column, from one pass: rows, nulls, smallest and largest
+    value as text, whether all values are yes/no spellings. States add up: those of files
+    looked at before stay valid when new files come."""
+    names = [n for n in df.columns if n != ORDINAL]
+    states, aggregates = [], []
+    for i, name in enumerate(names):
+        missing = is_missing(df, name)
+        present = F.when(~missing, column(name))
+        aggregates += [
+            F.count_if(missing).alias(f"nulls_{i}"),
+            F.min(present).cast("string").alias(f"low_{i}"),
+            F.max(present).cast("string").alias(f"high_{i}"),
+            F.bool_and(normalised(present).isin(*YES, *NO)).alias(f"flags_{i}"),
+        ]
+        states.append(F.struct(
+            F.lit(name).alias("column"), F.col("rows"), F.col(f"nulls_{i}").alias("nulls"),
+            F.col(f"low_{i}").alias("low"), F.col(f"high_{i}").alias("high"), F.col(f"flags_{i}").alias("flags"),
+        ))
+    per_file = df.groupBy(file.alias("file")).agg(F.count("*").alias("rows"), *aggregates)
+    return per_file.select("file", F.inline(F.array(*states)))
+
+
+def merged_profiles(states: DataFrame, names: Iterable[str]) -> dict[str, ColumnProfile]:
+    """The profile of the table whose parts the states describe."""
+    low, high = F.min(F.least("low", "high")), F.max(F.greatest("low", "high"))
+    merged = states.groupBy("column").agg(
+        F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"),
+        (low.isNull() | (low == high)).alias("constant"),
+        F.coalesce(F.bool_and("flags"), F.lit(False)).alias("flag"),
+    )
+    found = {  # a row per column
+        r.column: ColumnProfile(r.nulls / r.rows if r.rows else None, r.constant, r.flag) for r in merged.collect()
+    }
+    return {n: found.get(n, ColumnProfile(None, True, False)) for n in names}
+
+
 def sparse_columns(profiles: Mapping[str, ColumnProfile], threshold: float) -> list[str]:
     return [
         n for n, p in profiles.items() if p.null_ratio is not None and p.null_ratio >= threshold

@@ -16,6 +16,13 @@ from staffline.operators.columns import is_missing
 TASK_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
 
+# Frequent values: counters of a sketch, candidates per value wanted, the sketch's error
+# as a multiple of rows / counters, and up to which size all values are counted at once.
+SKETCH_ITEMS = 10_000
+SPARE = 4
+SKETCH_ERROR = 3.5
+SMALL_BYTES = 64 << 20
+
 
 def table_shape(df: DataFrame, duplicates: bool = True) -> DataFrame:
     """Rows, columns and, unless switched off, duplicate rows. Copies of a row fold
@@ -61,11 +68,43 @@ def value_counts(
     return counts.orderBy(*order)
 
 
-def top_values(df: DataFrame, name: str, k: int = 15) -> DataFrame:
-    """The k most frequent non-blank texts; ties go to the smaller text."""
+def _size_guess(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def proven_top(rows: DataFrame, name: str, k: int, items: int = SKETCH_ITEMS) -> list[tuple[str, int]] | None:
+    """The k most frequent values of a text column with their exact counts, from two scans
+    that shuffle no more than a few candidates per task; None if they prove nothing.
+
+    A sketch of ``items`` counters, merged from one per task, overestimates a value's count by
+    at most ``3.5 / items`` of all rows, and a value it has dropped occurs no more often than
+    that. The ``SPARE * k`` largest estimates are the candidates and are counted exactly.
+    The k-th of them is proven if it exceeds both what a dropped value may have and the
+    smallest estimate among the candidates, which no other value exceeds."""
+    wanted = min(SPARE * k, items)
+    value = column(name)
+    seen = rows.select(value.alias("x")).agg(
+        F.expr(f"approx_top_k(x, {wanted}, {items})").alias("top"), F.count("x").alias("n")
+    ).first()
+    candidates = {r["item"]: r["count"] for r in seen.top}
+    most_dropped = SKETCH_ERROR / items * seen.n
+    most_left = min(candidates.values()) if len(candidates) == wanted else 0
+    counted = rows.where(value.isin(list(candidates))).groupBy(value.alias(name)).agg(F.count("*").alias("n"))
+    best = [tuple(r) for r in counted.orderBy(F.desc("n"), column(name)).limit(k).collect()]
+    exact = len(candidates) < wanted and most_dropped < 1
+    proven = len(best) == k and best[-1][1] > max(most_dropped, most_left)
+    return best if exact or proven else None
+
+
+def top_values(df: DataFrame, name: str, k: int = 15, small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """The k most frequent non-blank texts; ties go to the smaller text. Of a table beyond
+    ``small_bytes``, by Spark's estimate, the texts are not shuffled unless they must be:
+    see ``proven_top``; where the proof fails, all are counted."""
     text = strip(column(name).cast("string"))
-    counts = df.select(text.alias(name)).where(column(name) != "")
-    return value_counts(counts, name).limit(k)
+    rows = df.select(text.alias(name)).where(column(name) != "")
+    if _size_guess(df) > small_bytes and (best := proven_top(rows, name, k)) is not None:
+        return df.sparkSession.createDataFrame(best, T.StructType([*rows.schema.fields, T.StructField("n", T.LongType())])).orderBy(F.desc("n"), column(name))
+    return value_counts(rows, name).limit(k)
 
 
 def rows_per_year(df: DataFrame, name: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from staffline.functions import column
 from staffline.operators.columns import (
+    ColumnProfile,
     cast_flags,
     cast_integers,
     cast_numbers,
@@ -18,6 +19,7 @@ from staffline.operators.columns import (
     drop_columns,
     drop_duplicate_rows,
     fill_text,
+    profile,
     staged_with_profile,
     without_uninformative,
 )
@@ -32,6 +34,7 @@ from staffline.operators.stats import (
     rows_removed,
     table_shape,
 )
+from staffline.plans.profiles import stored_profiles
 from staffline.plans.sources import (
     FEATURES_OUTPUT,
     HISTORY_OUTPUT,
@@ -45,9 +48,8 @@ from staffline.sources.csv import read_csv
 from staffline.sources.sinks import write_table
 
 
-def clean_source(raw: DataFrame, source: Source) -> DataFrame:
-    """Clean and type a raw table. The trimmed text is written once to the shared folder
-    and profiled on the way; the profile decides which columns survive."""
+def trimmed(raw: DataFrame, source: Source) -> DataFrame:
+    """A raw table's trimmed text, under the names that count."""
     df = source.prepare(raw) if source.prepare else raw
     df = df.withColumnsRenamed(dict(source.rename))
     df = clean_strings(df)
@@ -55,7 +57,22 @@ def clean_source(raw: DataFrame, source: Source) -> DataFrame:
         df = collapse_repeated(df)
     if source.fill:
         df = fill_text(df, source.fill)
-    df, profiles = staged_with_profile(df)
+    return df
+
+
+def clean_source(
+    raw: DataFrame,
+    source: Source,
+    profiles: Mapping[str, ColumnProfile] | None = None,
+    stage: bool = False,
+) -> DataFrame:
+    """Clean and type a raw table. Its profile decides which columns survive; later steps
+    read no others. ``stage`` is for input that is dear to read twice: the trimmed text is
+    then written once to the shared folder and profiled on the way. ``profiles``: what is
+    known already, see ``stored_profiles``."""
+    df = trimmed(raw, source)
+    if profiles is None:
+        df, profiles = staged_with_profile(df) if stage else (df, profile(df))
     df = without_uninformative(df, profiles, source.sparse_from, source.keep)
     if source.dedupe:
         df = drop_duplicate_rows(df)
@@ -145,11 +162,13 @@ def processed_tables(
     as_of: str | date,
     hot_rows: int | None = HOT_ROWS,
     corrections: DataFrame | None = None,
+    profiles: Mapping[str, ColumnProfile] | None = None,
+    stage: bool = False,
 ) -> dict[str, DataFrame]:
     """All tables one source gives. The cleaned work history feeds three of them and
     is staged, so that the raw extract is parsed for it only once. ``corrections`` holds
     values to overlay: the column to find a row by, then the column to correct."""
-    cleaned = clean_source(raw, source)
+    cleaned = clean_source(raw, source, profiles, stage)
     if corrections is not None:
         cleaned = override_from(cleaned, corrections, *corrections.columns)
     if source.output == HISTORY_OUTPUT:
@@ -166,13 +185,18 @@ def process_source(
     fmt: str = "parquet",
     corrections: DataFrame | None = None,
     reports: bool = False,
+    profile_store: str | None = None,
 ) -> dict[str, str]:
     """Read, clean and write one source; output name -> path written. ``reports`` adds
-    summaries before and after, chart data and, for the work history, the pay review."""
-    raw = read_csv(
-        spark, f"{raw_dir}/{source.file}.csv", with_ordinal=source.output == HISTORY_OUTPUT
-    )
-    tables = processed_tables(raw, source, as_of, corrections=corrections)
+    summaries before and after, chart data and, for the work history, the pay review. With
+    a ``profile_store`` only files that are new there are profiled."""
+    path = f"{raw_dir}/{source.file}.csv"
+    raw = read_csv(spark, path, with_ordinal=source.output == HISTORY_OUTPUT)
+    profiles = None
+    if profile_store is not None:
+        names = [n for n in trimmed(raw, source).columns if n != ORDINAL]
+        profiles = stored_profiles(spark, source, path, f"{profile_store}/{source.output}", names, trimmed)
+    tables = processed_tables(raw, source, as_of, corrections=corrections, profiles=profiles, stage=True)
     written = {
         name: write_table(table, f"{out_dir}/{name}", fmt) for name, table in tables.items()
     }

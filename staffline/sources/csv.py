@@ -106,7 +106,7 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.select("value", F.col("_metadata.file_path").alias("path"), _position().alias("at"))
 
 
-def _look(spark: SparkSession, path: str, encoding: str | None) -> tuple[list[CsvTraits], Records | None]:
+def _look(spark: SparkSession, path: str | list[str], encoding: str | None) -> tuple[list[CsvTraits], Records | None]:
     """What every file is like and, if some may have cells that span lines, their records."""
     value = F.col("value")
     quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
@@ -207,7 +207,7 @@ def _parsed(records: Records, paths: list[str], encoding: str, header: tuple[str
 
 def read_csv(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     encoding: str | None = None,
     with_ordinal: bool = False,
 ) -> DataFrame:

@@ -230,3 +230,55 @@ def test_a_cluster_needs_a_shared_folder():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(session)
+
+
+def test_states_of_files_add_up_to_the_profile(spark):
+    rng = __import__("random").Random(3)
+    rows = [
+        (f"f{i % 4}", rng.choice([None, 9.0, 10.0, float("nan")]), rng.choice([None, "si", "NO"]), "x", 10 if i % 4 else 9, None)
+        for i in range(200)
+    ]
+    df = spark.createDataFrame(rows, "f string, a double, b string, c string, d int, e string")
+    data = df.drop("f")
+    states = columns.profile_states(df.select("f", *data.columns), F.col("f")).where("column != 'f'")
+    parts = [states.where(F.col("file").isin(*own)) for own in (["f0", "f2"], ["f1", "f3"])]
+    merged = columns.merged_profiles(parts[0].unionByName(parts[1]), data.columns)
+    assert merged == columns.profile(data, flags=True)
+    nothing = columns.merged_profiles(states.limit(0), ["a"])
+    assert nothing == columns.profile(data.limit(0).select("a"), flags=True)
+
+
+def test_frequent_texts_are_proven_or_counted(spark):
+    from staffline.operators import stats
+
+    heavy = [("t%02d" % i, 200 - 7 * (i // 2)) for i in range(12)]  # ties in pairs
+    rows = [(w,) for w, n in heavy for _ in range(n)] + [(f" u{i} ",) for i in range(4000)] + [("",), (None,), ("  ",)] * 50
+    df = spark.createDataFrame(rows, "w string").repartition(6)
+    expected = [tuple(r) for r in stats.top_values(df, "w", 7).collect()]
+    assert expected == heavy[:7]
+    trimmed = df.select(F.trim("w").alias("w")).where("w != ''")
+    assert stats.proven_top(trimmed, "w", 7, items=1024) == expected
+    assert [tuple(r) for r in stats.top_values(df, "w", 7, small_bytes=0).collect()] == expected
+    # Too few counters, or an answer that hangs on values that occur once, prove nothing.
+    assert stats.proven_top(trimmed, "w", 7, items=32) is None
+    assert stats.proven_top(trimmed, "w", 20, items=1024) is None
+    assert [tuple(r) for r in stats.top_values(df, "w", 20, small_bytes=0).collect()] == [
+        tuple(r) for r in stats.top_values(df, "w", 20).collect()]
+    # Fewer values than candidates: the sketch is exact.
+    few = spark.createDataFrame([("a",), ("b",), ("a",)], "w string")
+    assert stats.proven_top(few, "w", 5, items=1024) == [("a", 2), ("b", 1)]
+    assert stats.proven_top(few.limit(0), "w", 5, items=1024) == []
+
+
+def test_proven_texts_are_not_shuffled(spark):
+    from staffline.operators import stats
+
+    rows = spark.range(200_000).selectExpr("if(id % 3 = 0, concat('h', id % 5), concat('u', id)) AS w")
+    group = "proven-top"
+    spark.sparkContext.setJobGroup(group, group)
+    best = stats.proven_top(rows, "w", 5)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [n for _, n in best] == sorted((n for _, n in best), reverse=True) and {w[0] for w, _ in best} == {"h"}
+    tracker = spark.sparkContext.statusTracker()
+    jobs = tracker.getJobIdsForGroup(group)
+    assert 0 < len(jobs) <= 4

@@ -130,3 +130,40 @@ def test_ages(spark):
     days = [(datetime(2026, 8, 31) - born).days for born in (datetime(2000, 8, 31), datetime(2000, 9, 1))]
     expected = [int(d // 365.25) for d in days] + [None]
     assert [r.EDAD for r in got.orderBy("IDPERSONA").collect()] == expected
+
+
+def test_only_new_files_are_profiled(spark, tmp_path, monkeypatch):
+    from staffline.operators import columns
+    from staffline.plans import profiles
+    from staffline.plans.process import trimmed
+
+    source = BY_OUTPUT["idiomas_personas"]
+    folder, store = tmp_path / f"{source.file}.csv", str(tmp_path / "store")
+    folder.mkdir()
+    head = "IDPERSONA,IDIOMA,IDIOMA,NIVELMCER,VACIA,LENGUANATIVA\n"
+    (folder / "1.csv").write_text(head + "1,EN,EN,B1,,S\n2,FR,FR,B1,,N\n")
+    (folder / "2.csv").write_text(head + "3,EN,EN,B1,,S\n")
+    looked = []
+    plain = read_csv
+    monkeypatch.setattr(profiles, "read_csv", lambda s, paths, **k: (looked.append([p.rsplit("/", 1)[-1] for p in paths]), plain(s, paths, **k))[1])
+
+    def run():
+        written = process_source(spark, source, str(tmp_path), str(tmp_path / "out"), "2020-01-01", profile_store=store)
+        got = spark.read.parquet(written[source.output])
+        own = clean_source(plain(spark, str(folder)), source)
+        assert got.columns == own.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, own.collect()))
+        raw = trimmed(plain(spark, str(folder), with_ordinal=True), source)
+        names = [n for n in raw.columns if n != ORDINAL]
+        kept = profiles.stored_profiles(spark, source, str(folder), f"{store}/{source.output}", names, trimmed)
+        assert kept == columns.profile(raw, flags=True)
+        return got.columns
+
+    assert "NIVELMCER" not in run() and looked == [["1.csv", "2.csv"]]
+    (folder / "3.csv").write_text(head + "4,DE,DE,C1,x,N\n")
+    assert "NIVELMCER" in run() and looked[1:] == [["3.csv"]]
+    (folder / "3.csv").write_text(head + "4,DE,DE,B1,,N\n5,DE,DE,B1,,N\n")
+    assert "NIVELMCER" not in run() and looked[2:] == [["3.csv"]]
+    (folder / "2.csv").unlink()
+    run()
+    assert len(looked) == 3
