@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from staffline.functions import column, round_half_even, strip
 from staffline.functions.numbers import parse_number
 from staffline.operators.columns import is_missing
+from staffline.operators.duplicates import duplicate_count
 
 # A sorted column up to this many rows is small enough for one task.
 TASK_ROWS = 100_000
@@ -23,14 +24,24 @@ SPARE = 4
 SKETCH_ERROR = 3.5
 SMALL_BYTES = 64 << 20
 
+# Columns from which on rows are dear to move whole.
+WIDE = 8
 
-def table_shape(df: DataFrame, duplicates: bool = True) -> DataFrame:
+
+def size_guess(df: DataFrame) -> int:
+    """Bytes of a table as Spark estimates them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def table_shape(df: DataFrame, duplicates: bool = True, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """Rows, columns and, unless switched off, duplicate rows. Copies of a row fold
-    together before the shuffle, so a row repeated everywhere stays cheap; what is
-    shuffled is one copy per partition, which on wide tables is worth skipping."""
+    together before the shuffle, so a row repeated everywhere stays cheap. Of a table with
+    ``WIDE`` columns beyond ``small_bytes``, digests are shuffled instead of rows."""
     width = F.lit(len(df.columns)).alias("columns")
     if not duplicates:
         return df.agg(F.count("*").alias("rows"), width)
+    if len(df.columns) >= WIDE and size_guess(df) > small_bytes:
+        return df.agg(F.count("*").alias("rows"), width, duplicate_count(df).alias("duplicate_rows"))
     copies = df.groupBy(*(column(n) for n in df.columns)).agg(F.count("*").alias("_copies"))
     total = F.coalesce(F.sum("_copies"), F.lit(0))
     return copies.agg(
@@ -68,10 +79,6 @@ def value_counts(
     return counts.orderBy(*order)
 
 
-def _size_guess(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def proven_top(rows: DataFrame, name: str, k: int, items: int = SKETCH_ITEMS) -> list[tuple[str, int]] | None:
     """The k most frequent values of a text column with their exact counts, from two scans
     that shuffle no more than a few candidates per task; None if they prove nothing.
@@ -102,7 +109,7 @@ def top_values(df: DataFrame, name: str, k: int = 15, small_bytes: int = SMALL_B
     see ``proven_top``; where the proof fails, all are counted."""
     text = strip(column(name).cast("string"))
     rows = df.select(text.alias(name)).where(column(name) != "")
-    if _size_guess(df) > small_bytes and (best := proven_top(rows, name, k)) is not None:
+    if size_guess(df) > small_bytes and (best := proven_top(rows, name, k)) is not None:
         return df.sparkSession.createDataFrame(best, T.StructType([*rows.schema.fields, T.StructField("n", T.LongType())])).orderBy(F.desc("n"), column(name))
     return value_counts(rows, name).limit(k)
 

@@ -24,14 +24,17 @@ from staffline.operators.columns import (
     without_uninformative,
 )
 from staffline.operators.decode import override_from
+from staffline.operators.duplicates import without_duplicates
 from staffline.operators.features import person_features
 from staffline.operators.history import HOT_ROWS, ORDINAL, union_all
 from staffline.operators.periods import continuous_periods, period_count_distribution
 from staffline.operators.stats import (
+    SMALL_BYTES,
     describe,
     iqr_outliers,
     null_percentages,
     rows_removed,
+    size_guess,
     table_shape,
 )
 from staffline.plans.profiles import stored_profiles
@@ -75,7 +78,7 @@ def clean_source(
         df, profiles = staged_with_profile(df) if stage else (df, profile(df))
     df = without_uninformative(df, profiles, source.sparse_from, source.keep)
     if source.dedupe:
-        df = drop_duplicate_rows(df)
+        df = without_duplicates(df) if size_guess(df) > SMALL_BYTES else drop_duplicate_rows(df)
     df = drop_columns(df, source.drop)
     if source.decode:
         df = source.decode(df)

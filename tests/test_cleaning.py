@@ -282,3 +282,44 @@ def test_proven_texts_are_not_shuffled(spark):
     tracker = spark.sparkContext.statusTracker()
     jobs = tracker.getJobIdsForGroup(group)
     assert 0 < len(jobs) <= 4
+
+
+def wide_rows(spark):
+    nan, rng = float("nan"), __import__("random").Random(5)
+    kinds = [(None, "a"), ("a", None), (None, None), ("a", "a")]
+    rows = [(i, *rng.choice(kinds), rng.choice([0.0, -0.0, nan, None, 1.5]), *["x" * 50] * 6) for i in range(400)]
+    rows += [rows[i] for i in (3, 3, 5, 300)] + [(7000, None, "a", 0.0, *["y"] * 6), (7000, None, "a", -0.0, *["y"] * 6)]
+    rows += [(7001, "a", None, nan, *["y"] * 6), (7001, "a", None, nan, *["y"] * 6), (7001, None, "a", nan, *["y"] * 6)]
+    return spark.createDataFrame(rows, "k int, a string, b string, d double, " + ", ".join(f"t{i} string" for i in range(6))).repartition(5)
+
+
+def test_duplicates_by_digest_are_those_of_whole_rows(spark, monkeypatch):
+    from staffline.operators import duplicates
+
+    df = wide_rows(spark)
+    plain = df.dropDuplicates()
+    assert df.count() - plain.count() == 6
+    show = lambda t: sorted(str(tuple(abs(v) if isinstance(v, float) else v for v in r)) for r in t.collect())
+    assert show(duplicates.without_duplicates(df)) == show(plain)
+    one, other = (stats.table_shape(df, small_bytes=b).collect() for b in (0, 1 << 40))
+    assert one == other and one[0].duplicate_rows == 6
+    for empty in (df.limit(0), df.where("k < 100").dropDuplicates(["k"])):
+        assert stats.table_shape(empty, small_bytes=0).collect() == stats.table_shape(empty, small_bytes=1 << 40).collect()
+    # Digests that collide change nothing, nor do tables of nothing but copies.
+    same = F.struct(F.lit(1).alias("d1"), F.lit(2).alias("d2"))
+    monkeypatch.setattr(duplicates, "MOST_REPEATED", 1.0)
+    monkeypatch.setattr(duplicates, "row_digest", lambda df: same)
+    assert show(duplicates.without_duplicates(df)) == show(plain)
+    monkeypatch.undo()
+    copies = df.unionByName(df)
+    assert show(duplicates.without_duplicates(copies)) == show(plain)
+
+
+def test_digests_move_and_rows_do_not(spark):
+    from staffline.operators import duplicates
+
+    df = wide_rows(spark)
+    plan = duplicates.repeated_digests(df, duplicates.row_digest(df))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and all("_digest" in line and "t0" not in line for line in moved)
+    assert duplicates.row_digest(spark.createDataFrame([({"a": 1},)], "m map<string,int>")) is None
