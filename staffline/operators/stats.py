@@ -12,6 +12,7 @@ from staffline.functions import column, round_half_even, strip
 from staffline.functions.numbers import parse_number
 from staffline.operators.columns import is_missing
 from staffline.operators.duplicates import duplicate_count
+from staffline.operators.sketches import RANK_ERROR, approximate_quantiles, sketch_count
 
 # A sorted column up to this many rows is small enough for one task.
 TASK_ROWS = 100_000
@@ -142,10 +143,9 @@ class _Span:
             inside &= x < self.high
         return inside
 
-    def edges(self) -> tuple[float, float]:
+    def edges(self, reach: float = 2.0 / SKETCH_ACCURACY) -> tuple[float, float]:
         # On the sketch's own grid, so that neighbouring ranks share a bracket.
         middle = round((self.rank + 0.5) / self.size * SKETCH_ACCURACY) / SKETCH_ACCURACY
-        reach = 2.0 / SKETCH_ACCURACY
         return max(0.0, middle - reach), min(1.0, middle + reach)
 
 
@@ -155,25 +155,39 @@ def _aggregate(rows: DataFrame, wanted: dict[tuple, Column]) -> dict[tuple, obje
     return dict(zip(wanted, row))
 
 
+class _StaleSketch(Exception):
+    """A sketch that stands for another number of values than there are."""
+
+
 def _rank_values(
-    values: DataFrame, ranks: Sequence[int], total: int, task_rows: int
+    values: DataFrame,
+    ranks: Sequence[int],
+    total: int,
+    task_rows: int,
+    sketch: bytearray | None = None,
 ) -> dict[int, float]:
     """The values at 0-based ranks among ``total`` sorted values ``x``. A sketch
     brackets each rank; counting around the brackets tells exactly where the ranks
     lie, and only rows inside an open bracket are looked at again. The data is
-    scanned a few times but never sorted or shuffled as a whole."""
+    scanned a few times but never sorted or shuffled as a whole. A ``sketch`` kept from
+    before gives the first brackets without a scan."""
     x = F.col("x")
     found: dict[int, float] = {}
     spans = {rank: _Span(rank, total) for rank in ranks}
     while wide := {r: s for r, s in spans.items() if s.size > task_rows}:
-        sketches = {
-            (s.low, s.high, *s.edges()): F.percentile_approx(
-                F.when(s.rows(), x), list(s.edges()), SKETCH_ACCURACY
-            )
-            for s in wide.values()
-        }
-        brackets = _aggregate(values, sketches)
-        counts: dict[tuple, Column] = {}
+        counts: dict[tuple, Column] = {("rows",): F.count("*")}
+        if sketch is not None:
+            reach = {(s.low, s.high, *s.edges()): s.edges(2 * RANK_ERROR) for s in wide.values()}
+            asked = sorted({p for pair in reach.values() for p in pair})
+            given = dict(zip(asked, approximate_quantiles(values.sparkSession, sketch, asked)))
+            brackets = {key: [given[p] for p in pair] for key, pair in reach.items()}
+        else:
+            brackets = _aggregate(values, {
+                (s.low, s.high, *s.edges()): F.percentile_approx(
+                    F.when(s.rows(), x), list(s.edges()), SKETCH_ACCURACY
+                )
+                for s in wide.values()
+            })
         for s in wide.values():
             low, high = brackets[s.low, s.high, *s.edges()]
             where = (s.low, s.high, low, high)
@@ -182,6 +196,9 @@ def _rank_values(
             counts[*where, "between"] = F.count_if((x > low) & (x < high))
             counts[*where, "at high"] = F.count_if((x == high) & (x > low))
         counted = _aggregate(values, counts)
+        if sketch is not None and counted["rows",] != total:
+            raise _StaleSketch
+        sketch = None
         for rank, s in wide.items():
             low, high = brackets[s.low, s.high, *s.edges()]
             where = (s.low, s.high, low, high)
@@ -225,12 +242,20 @@ def _numbers(df: DataFrame, value: Column) -> DataFrame:
 
 
 def quantiles(
-    df: DataFrame, value: Column, probabilities: Sequence[float], task_rows: int = TASK_ROWS
+    df: DataFrame,
+    value: Column,
+    probabilities: Sequence[float],
+    task_rows: int = TASK_ROWS,
+    sketch: bytearray | None = None,
 ) -> list[float | None]:
     """Exact quantiles with linear interpolation, nulls and NaN left out. Up to
-    ``task_rows`` values one aggregate does; beyond, ranks are found by narrowing."""
+    ``task_rows`` values one aggregate does; beyond, ranks are found by narrowing. A
+    ``sketch`` of the values, see ``sketches``, spares two scans; one that stands for
+    another number of values is not used."""
     values = _numbers(df, value)
-    total = values.count()
+    total = sketch_count(df.sparkSession, sketch) if sketch is not None else 0
+    if total <= task_rows:
+        sketch, total = None, values.count()
     if not total:
         return [None] * len(probabilities)
     if total <= task_rows:
@@ -238,7 +263,11 @@ def quantiles(
 
     places = [(total - 1) * p for p in probabilities]
     pairs = [(int(place), min(int(place) + 1, total - 1)) for place in places]
-    found = _rank_values(values, sorted({r for pair in pairs for r in pair}), total, task_rows)
+    ranks = sorted({r for pair in pairs for r in pair})
+    try:
+        found = _rank_values(values, ranks, total, task_rows, sketch)
+    except _StaleSketch:
+        return quantiles(df, value, probabilities, task_rows)
     return [
         _between(found[lower], found[upper], lower + 1 - place, place - lower)
         for place, (lower, upper) in zip(places, pairs)
@@ -252,9 +281,11 @@ def _between(low: float, high: float, of_low: float, of_high: float) -> float:
     return of_low * low + of_high * high
 
 
-def describe(df: DataFrame, name: str, task_rows: int = TASK_ROWS) -> DataFrame:
+def describe(
+    df: DataFrame, name: str, task_rows: int = TASK_ROWS, sketch: bytearray | None = None
+) -> DataFrame:
     """Count, mean, standard deviation, minimum, quartiles and maximum."""
-    quarter, half, three = quantiles(df, column(name), [0.25, 0.5, 0.75], task_rows)
+    quarter, half, three = quantiles(df, column(name), [0.25, 0.5, 0.75], task_rows, sketch)
     x = F.when(~is_missing(df, name), column(name).cast("double"))
     return df.agg(
         F.count(x).alias("count"),
@@ -269,19 +300,34 @@ def describe(df: DataFrame, name: str, task_rows: int = TASK_ROWS) -> DataFrame:
 
 
 def iqr_bounds(
-    df: DataFrame, name: str, factor: float = 1.5, task_rows: int = TASK_ROWS
+    df: DataFrame,
+    name: str,
+    factor: float = 1.5,
+    task_rows: int = TASK_ROWS,
+    sketch: bytearray | None = None,
+    approximate: bool = False,
 ) -> tuple[float | None, float | None]:
-    low, high = quantiles(df, column(name), [0.25, 0.75], task_rows)
+    """The box-plot whiskers. ``approximate`` takes the quartiles from the sketch alone, off
+    by its rank error, without a scan."""
+    if approximate:
+        low, high = approximate_quantiles(df.sparkSession, sketch, [0.25, 0.75])
+    else:
+        low, high = quantiles(df, column(name), [0.25, 0.75], task_rows, sketch)
     if low is None:
         return None, None
     return low - factor * (high - low), high + factor * (high - low)
 
 
 def iqr_outliers(
-    df: DataFrame, name: str, factor: float = 1.5, task_rows: int = TASK_ROWS
+    df: DataFrame,
+    name: str,
+    factor: float = 1.5,
+    task_rows: int = TASK_ROWS,
+    sketch: bytearray | None = None,
+    approximate: bool = False,
 ) -> tuple[Column, float | None, float | None]:
     """A never-null filter for values beyond the box-plot whiskers, and the bounds."""
-    low, high = iqr_bounds(df, name, factor, task_rows)
+    low, high = iqr_bounds(df, name, factor, task_rows, sketch, approximate)
     if low is None:
         return F.lit(False), None, None
     value = column(name).cast("double")
