@@ -232,6 +232,13 @@ def _rank_values(
     return found
 
 
+def as_number(df: DataFrame, value: Column) -> Column:
+    """A value as a double; null if it is NaN or text that is no number."""
+    numeric = isinstance(df.select(value.alias("x")).schema["x"].dataType, T.NumericType)
+    number = value.cast("double") if numeric else parse_number(value)
+    return F.when(~F.isnan(number), number)
+
+
 def _numbers(df: DataFrame, value: Column) -> DataFrame:
     """A value's numbers as column ``x``; nulls, NaN and non-numeric text left out."""
     x = F.col("x")
@@ -335,6 +342,40 @@ def iqr_outliers(
     return F.coalesce(outside, F.lit(False)), low, high
 
 
+@dataclass(frozen=True)
+class Bins:
+    """Equal-width bins from ``low`` to ``high``, the last one closed."""
+
+    low: float
+    high: float
+    n: int
+
+    @classmethod
+    def over(cls, low: float | None, high: float | None, n: int) -> Bins:
+        """Bins for values of this range; none, or one value only, gets a range of 1."""
+        if low is None:
+            low, high = 0.0, 1.0
+        if low == high:
+            low, high = low - 0.5, high + 0.5
+        return cls(low, high, n)
+
+    def edge(self, i: Column) -> Column:
+        step = (self.high - self.low) / self.n
+        return F.when(i == self.n, F.lit(self.high)).otherwise(i * F.lit(step) + F.lit(self.low))
+
+    def of(self, x: Column) -> Column:
+        """The bin of a value within the range."""
+        last = F.lit(self.n - 1)
+        guess = F.least(F.floor((x - self.low) * F.lit(self.n / (self.high - self.low))).cast("int"), last)
+        # The division may land a value one bin off an edge; the edges decide.
+        placed = (
+            F.when(x < self.edge(guess), guess - 1)
+            .when((x >= self.edge(guess + 1)) & (guess != last), guess + 1)
+            .otherwise(guess)
+        )
+        return F.when(x.isNotNull(), placed)
+
+
 def histogram(
     df: DataFrame,
     value: Column,
@@ -351,31 +392,15 @@ def histogram(
         (limit,) = quantiles(data, x, [clip], task_rows)
         data = data.where(x <= F.lit(limit).cast("double"))
     low, high = data.agg(F.min("x"), F.max("x")).first()
-    if low is None:
-        low, high = 0.0, 1.0
-    if low == high:
-        low, high = low - 0.5, high + 0.5
-    step = (high - low) / bins
-
-    def edge(i: Column) -> Column:
-        return F.when(i == bins, F.lit(high)).otherwise(i * F.lit(step) + F.lit(low))
-
-    last = F.lit(bins - 1)
-    guess = F.least(F.floor((x - low) * F.lit(bins / (high - low))).cast("int"), last)
-    # The division may land a value one bin off an edge; the edges decide.
-    placed = (
-        F.when(x < edge(guess), guess - 1)
-        .when((x >= edge(guess + 1)) & (guess != last), guess + 1)
-        .otherwise(guess)
-    )
-    counts = data.groupBy(placed.alias("bin")).agg(F.count("*").alias("n"))
+    all_bins = Bins.over(low, high, bins)
+    counts = data.groupBy(all_bins.of(x).alias("bin")).agg(F.count("*").alias("n"))
     slots = spark.range(0, bins, 1, 1).select(F.col("id").cast("int").alias("bin"))
     return (
         slots.join(counts, "bin", "left")
         .select(
             "bin",
-            edge(F.col("bin")).alias("lower"),
-            edge(F.col("bin") + 1).alias("upper"),
+            all_bins.edge(F.col("bin")).alias("lower"),
+            all_bins.edge(F.col("bin") + 1).alias("upper"),
             F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
         )
         .orderBy("bin")

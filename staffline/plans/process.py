@@ -37,6 +37,7 @@ from staffline.operators.stats import (
     size_guess,
     table_shape,
 )
+from staffline.plans.charts import chart_rows
 from staffline.plans.profiles import stored_profiles
 from staffline.plans.sources import (
     FEATURES_OUTPUT,
@@ -89,21 +90,6 @@ def clean_source(
     return source.derive(df) if source.derive else df
 
 
-def chart_rows(cleaned: DataFrame, source: Source) -> DataFrame:
-    """The numbers behind all of a source's charts, one row per point: chart, key, n. A
-    histogram's key is the number of its bin. A column dropped as uninformative has no
-    chart."""
-    parts = []
-    for chart in source.charts:
-        if chart.value is None and chart.column not in cleaned.columns:
-            continue
-        data = chart.data(cleaned)
-        key = F.col("bin") if "bin" in data.columns else column(data.columns[0])
-        name = F.lit(f"{chart.kind}:{chart.column}").alias("chart")
-        parts.append(data.select(name, key.cast("string").alias("key"), "n"))
-    return union_all(parts)
-
-
 def summary_rows(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows, columns and duplicate rows of a table before and after cleaning."""
     return union_all([

@@ -167,3 +167,29 @@ def test_only_new_files_are_profiled(spark, tmp_path, monkeypatch):
     (folder / "2.csv").unlink()
     run()
     assert len(looked) == 3
+
+
+def test_charts_of_a_source_scan_it_once(spark, tmp_path):
+    """Beside the passes for clip limits and ranges; the numbers are those of each chart alone."""
+    from pyspark.sql import functions as F
+
+    from staffline.plans import charts
+    from staffline.plans.sources import Chart
+
+    rows = [(f"{2000 + i % 4}-05-0{i % 9 + 1}", f" n{i % 23} ", None if i % 7 == 0 else i % 5, float(i % 101) if i % 11 else float("nan"), i % 13) for i in range(3000)]
+    rows += [(None, "", None, None, None), ("x", " ", 1, -0.0, None)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "d string, w string, k int, v double, p int").write.parquet(path)
+    cleaned = spark.read.parquet(path)
+    shown = (
+        Chart("year", "d"), Chart("top", "w", top=7), Chart("counts", "k"), Chart("histogram", "v", bins=9), Chart("per_key", "p"),
+        Chart("histogram", "twice", bins=4, clip=None, value=lambda: F.col("v") * 2), Chart("top", "gone"), Chart("top", "d", top=3),
+    )
+    source = type("S", (), {"charts": shown})()
+    plain = [r for c in shown if c.value or c.column in cleaned.columns for r in charts._alone(c, cleaned).collect()]
+    for small in (0, 1 << 40):
+        df = charts.chart_rows(cleaned, source, small_bytes=small)
+        assert sorted(map(str, df.collect())) == sorted(map(str, plain))
+    few = type("S", (), {"charts": [c for c in shown if c.kind != "per_key"]})()
+    plan = charts.chart_rows(cleaned, few)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
