@@ -7,7 +7,6 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staffline.functions import column
 from staffline.operators.columns import (
     ColumnProfile,
     cast_flags,
