@@ -4,10 +4,12 @@ Most entities have few rows, so one hash exchange on the entity and plain window
 do. An entity with more than ``hot_rows`` rows would sit in one task; such hot
 entities are range-partitioned over their own order instead, so that one entity
 spreads over many chunks, and every running value is computed per chunk and
-completed with a carry from the chunks before it. A carry has one row per hot
-entity and chunk it touches, so at most (hot entities + chunks) rows, both bounded
-by total rows / hot_rows whatever the data. Carries are written out as they are
-made: the rows they complete would otherwise be planned twice for each of them.
+completed with a carry from the chunks before it. There are as many chunks as tasks
+are wanted, and more only where a chunk would exceed ``CHUNK_ROWS``: a chunk may hold
+many hot entities, so a low ``hot_rows`` makes no more of them. A carry has one row per
+hot entity and chunk it touches, so at most (hot entities + chunks) rows. Carries are
+written out as they are made: the rows they complete would otherwise be planned twice
+for each of them.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from staffline.session import staged
 
 HOT_ROWS = 1_000_000
 
+# Rows of a chunk at most, on average; fewer if that leaves tasks without work.
+CHUNK_ROWS = 1_000_000
+
 # A row's place in the file it was read from, when the source kept it.
 ORDINAL = "_ORDINAL"
 
@@ -99,6 +104,12 @@ class OrderedHistory:
         return self.rows.join(staged(carry.where("_carry IS NOT NULL")), self._group, "left")
 
 
+def chunk_count(hot_total: int, hot_rows: int, tasks: int) -> int:
+    """How many chunks the rows of hot entities make: one for every ``hot_rows`` rows, but
+    no more than there are tasks, unless chunks would then exceed ``CHUNK_ROWS``."""
+    return min(hot_total // hot_rows, max(tasks - 1, hot_total // CHUNK_ROWS)) + 1
+
+
 def ordered_histories(
     rows: DataFrame,
     key: str,
@@ -120,7 +131,8 @@ def ordered_histories(
         return [plain]
 
     keys = staged(counts.where(F.col("count") > hot_rows).select(key))
-    spread = int(hot_total // hot_rows) + 1
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = chunk_count(hot_total, hot_rows, tasks)
     chunked_order = (*order, _TIE)
     # Numbered from a written copy: a task run again must number its rows alike.
     chunks = staged(

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from staffline.operators.history import CHUNK_ROWS, chunk_count, ordered_histories
 from staffline.operators.periods import continuous_periods, contract_periods
 
 SCHEMA = (
@@ -190,3 +191,18 @@ def test_ordinary_histories_need_one_exchange(spark, sf_dir):
     plan = continuous_periods(df, "2013-01-01")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Python" not in plan
+
+
+@pytest.mark.parametrize("hot_total", [100, 900_000, 9_000_000, 54_000_000])
+def test_low_hot_rows_make_no_more_chunks_than_tasks_need(hot_total):
+    """Every person is hot here; the chunks still hold as many rows as a task can take."""
+    chunks = chunk_count(hot_total, hot_rows=8, tasks=48)
+    assert chunks <= max(48, hot_total // CHUNK_ROWS + 1)
+    assert chunks == 13 if hot_total == 100 else hot_total / chunks <= CHUNK_ROWS
+
+
+def test_hot_persons_share_chunks(spark, histories):
+    df, _ = histories
+    (hot,) = [p for p in ordered_histories(df, "IDPERSONA", ["FECHAINICIOCONTRATO", "IDCONTRATOLABORAL"], 1) if p.chunk]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 1 < hot.rows.select(hot.chunk).distinct().count() <= tasks
