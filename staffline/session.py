@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,12 +39,30 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or context.getCheckpointDir()
 
 
+# The JVM compiles no method of more bytes; it runs as bytecode, several times slower.
+COMPILED_BYTES = 8000
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """What runs inside falls back to smaller methods where Spark has fused the steps of
+    wide rows into one that the JVM would not compile. The session's own limit is put back."""
+    before = spark.conf.get(_METHOD_LIMIT)
+    spark.conf.set(_METHOD_LIMIT, str(min(int(before), COMPILED_BYTES)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_METHOD_LIMIT, before)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a table once to the shared folder and go on from there: later steps
     read only the columns they need instead of repeating the work behind it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with compiled_methods(spark):
+        df.write.parquet(path)
     out = spark.read.parquet(path)
     out.staged_at = path
     return out

@@ -5,7 +5,9 @@ import pytest
 from staffline.operators.history import ORDINAL
 from staffline.plans.process import clean_source, process_all, process_source
 from staffline.plans.sources import BY_OUTPUT, SOURCES
+from staffline.registry.queries import QUERIES
 from staffline.registry.standins import RAW, raw_extract, raw_history
+from staffline.session import COMPILED_BYTES, compiled_methods
 from staffline.sources.csv import read_csv
 
 
@@ -193,3 +195,22 @@ def test_charts_of_a_source_scan_it_once(spark, tmp_path):
     few = type("S", (), {"charts": [c for c in shown if c.kind != "per_key"]})()
     plan = charts.chart_rows(cleaned, few)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == 1
+
+
+@pytest.mark.parametrize("name", ["source_certificados_todos", "summary_certificados_todos", "charts_certificados_todos"])
+def test_queries_of_sources_go_on_from_written_tables(spark, sf_dir, name):
+    """The raw extract is made once; nothing after that runs it again."""
+    read = QUERIES[name](spark, sf_dir).inputFiles()
+    assert not [f for f in read if f.startswith("file:" + sf_dir) or sf_dir in f]
+
+
+def test_staging_keeps_the_limit_of_methods(spark):
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    for own in ("65535", "4000"):
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", own)
+        try:
+            with compiled_methods(spark):
+                assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == min(int(own), COMPILED_BYTES)
+            assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == own
+        finally:
+            spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
