@@ -27,15 +27,16 @@ def null_if_token(value: Column) -> Column:
     return F.when(~value.isin(*NULL_TOKENS), value)
 
 
-# Fixed pattern: a text that begins and ends in printable ASCII other than space.
-NOTHING_TO_TRIM = r"(?s)\A[!-~](.*[!-~])?\z"
+def nothing_to_trim(value: Column) -> Column:
+    """Whether a text begins and ends in printable ASCII other than space."""
+    last = F.substring(value, -1, 1)
+    return (value >= "!") & (value < "\x7f") & (last >= "!") & (last < "\x7f")
 
 
 def strip(value: Column) -> Column:
     """Trim all Unicode whitespace; Spark's plain trim only knows the space. Texts
     that plainly need no trimming, which is most of them, are told apart first."""
-    plain = value.rlike(NOTHING_TO_TRIM)
-    return F.when(plain, value).otherwise(F.trim(value, F.lit(WHITESPACE)))
+    return F.when(nothing_to_trim(value), value).otherwise(F.trim(value, F.lit(WHITESPACE)))
 
 
 def blank_to_null(trimmed: Column) -> Column:
@@ -43,7 +44,9 @@ def blank_to_null(trimmed: Column) -> Column:
 
 
 def clean_text(value: Column) -> Column:
-    return blank_to_null(strip(value))
+    """``strip``, then ``blank_to_null``, as one step: only what needs trimming is trimmed."""
+    trimmed = F.trim(value, F.lit(WHITESPACE))
+    return F.when(nothing_to_trim(value), blank_to_null(value)).otherwise(blank_to_null(trimmed))
 
 
 def repair_soft_hyphen(value: Column) -> Column:

@@ -9,11 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql import types as T
 
-from staffline.functions import column, strip
+from staffline.functions import clean_text, column, strip
 from staffline.functions.calendar import read_moment, within_range
 from staffline.functions.flags import NO, YES, flag_from, normalised
 from staffline.functions.numbers import integer_from, number_from
-from staffline.functions.text import blank_to_null
 from staffline.operators.history import ORDINAL
 from staffline.session import staged
 
@@ -54,7 +53,8 @@ def _strip(value: Column) -> Column:
 
 def clean_strings(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
     """Trim text columns (all by default) and null out blank cells."""
-    return apply_steps(df, text_columns(df) if names is None else names, _strip, blank_to_null)
+    names = text_columns(df) if names is None else names
+    return apply_steps(df, names, lambda c: clean_text(c.cast("string")))
 
 
 def fill_text(df: DataFrame, names: Iterable[str], value: str = UNKNOWN) -> DataFrame:
@@ -92,6 +92,30 @@ def cast_flags(
     return apply_steps(df, chosen, normalised, lambda c: flag_from(c, null_as_zero))
 
 
+def cast_trimmed(
+    df: DataFrame,
+    timestamps: Iterable[str] = (),
+    integers: Iterable[str] = (),
+    flags: Iterable[str] = (),
+    numbers: Iterable[str] = (),
+) -> DataFrame:
+    """``cast_timestamps``, ``cast_integers``, ``cast_flags`` and ``cast_numbers`` of text
+    that is trimmed already: all columns in one projection, not one for each step of each
+    kind, since a projection copies the whole row. Other columns go the common way."""
+    steps = {name: read_moment for name in timestamps}
+    steps |= {name: integer_from for name in integers}
+    steps |= {name: lambda c: flag_from(F.upper(c)) for name in flags}
+    steps |= {name: number_from for name in numbers}
+    asked = [*timestamps, *integers, *flags, *numbers]
+    own = {n for n in existing(df, asked) if n in text_columns(df) and asked.count(n) == 1}
+    df = replace_columns(df, {n: steps[n](column(n)) for n in df.columns if n in own})
+    df = apply_steps(df, [n for n in timestamps if n in own], within_range)
+    df = cast_timestamps(df, [n for n in timestamps if n not in own])
+    df = cast_integers(df, [n for n in integers if n not in own])
+    df = cast_flags(df, [n for n in flags if n not in own])
+    return cast_numbers(df, [n for n in numbers if n not in own])
+
+
 def drop_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*(column(n) for n in df.columns if n not in set(names)))
 
@@ -157,15 +181,38 @@ def profile(df: DataFrame, flags: bool = False) -> dict[str, ColumnProfile]:
     return _profiles(names, df.agg(*aggregates).first().asDict()) if names else {}
 
 
+def _way_aggregates(df: DataFrame) -> tuple[list[str], list[Column]]:
+    """States of ``staged_with_profile``: values present, and whether their hashes are one."""
+    names, texts = [n for n in df.columns if n != ORDINAL], set(text_columns(df))
+    aggregates = [F.count("*").alias("rows")]
+    for i, name in enumerate(names):
+        value = F.xxhash64(column(name)) if name in texts else column(name)
+        value = F.when(~is_missing(df, name), value)
+        aggregates += [F.count(value).alias(f"n_{i}"), (F.min(value) == F.max(value)).alias(f"alike_{i}")]
+    return names, aggregates
+
+
 def staged_with_profile(df: DataFrame) -> tuple[DataFrame, dict[str, ColumnProfile]]:
     """The table written once, see ``staged``, and its profile, taken while writing. What
-    is behind the table runs once; later steps read only the columns they keep."""
-    names, aggregates = _profile_aggregates(df, flags=False)
+    is behind the table runs once; later steps read only the columns they keep. Texts are
+    told apart by hashes, which are cheaper to compare and keep than texts; a column of one
+    hash only is read again."""
+    names, aggregates = _way_aggregates(df)
     if not names:
         return df, {}
-    seen = Observation()
+    seen, texts = Observation(), set(text_columns(df))
     out = staged(df.observe(seen, *aggregates))
-    return out, _profiles(names, seen.get)
+    found = seen.get
+    rows = found["rows"]
+    constant = {name: bool(found[f"alike_{i}"] or not found[f"n_{i}"]) for i, name in enumerate(names)}
+    # Texts of one hash are most likely one text; the texts themselves tell.
+    doubtful = [n for i, n in enumerate(names) if n in texts and constant[n] and found[f"n_{i}"]]
+    if doubtful:
+        constant |= {n: p.constant for n, p in profile(out.select(*map(column, doubtful))).items()}
+    return out, {
+        name: ColumnProfile((rows - found[f"n_{i}"]) / rows if rows else None, constant[name])
+        for i, name in enumerate(names)
+    }
 
 
 #: What ``profile_states`` returns; rows of several calls may be put together.

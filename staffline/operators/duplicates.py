@@ -54,8 +54,10 @@ def _with_like(df: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     if digest is None:
         return None
     repeated = staged(repeated_digests(df, digest))
-    total = df.agg(F.count("*")).first()[0]
-    if (repeated.agg(F.sum("n")).first()[0] or 0) > MOST_REPEATED * total:
+    doubtful = repeated.agg(F.sum("n")).first()[0] or 0
+    if not doubtful:
+        return df.limit(0), df
+    if doubtful > MOST_REPEATED * df.agg(F.count("*")).first()[0]:
         return None
     keyed, keys = df.withColumn(_DIGEST, digest), repeated.select(_DIGEST)
     return (

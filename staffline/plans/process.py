@@ -9,10 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from staffline.operators.columns import (
     ColumnProfile,
-    cast_flags,
-    cast_integers,
-    cast_numbers,
-    cast_timestamps,
+    cast_trimmed,
     clean_strings,
     collapse_repeated,
     drop_columns,
@@ -82,10 +79,7 @@ def clean_source(
     df = drop_columns(df, source.drop)
     if source.decode:
         df = source.decode(df)
-    df = cast_timestamps(df, source.timestamps)
-    df = cast_integers(df, source.integers)
-    df = cast_flags(df, source.flags)
-    df = cast_numbers(df, source.numbers)
+    df = cast_trimmed(df, source.timestamps, source.integers, source.flags, source.numbers)
     return source.derive(df) if source.derive else df
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from staffline.functions import null_if_token
 from staffline.operators.columns import apply_steps
 from staffline.plans.sources import BY_OUTPUT
+from staffline.session import spread
 
 AS_OF = "2002-01-01"
 
@@ -373,7 +374,7 @@ def raw_extract(spark: SparkSession, sf_dir: str, output: str) -> DataFrame:
     name = base.rsplit(" ", 1)[1]
     rows = spark.sql(base.replace(f"FROM {name}", "FROM {source}"), source=table(spark, sf_dir, name))
     return apply_steps(
-        rows.select(*(F.expr(c.sql).alias(c.name) for c in cells)),
+        spread(rows).select(*(F.expr(c.sql).alias(c.name) for c in cells)),
         [c.name for c in cells],
         null_if_token,
     )

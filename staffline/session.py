@@ -68,6 +68,17 @@ def staged(df: DataFrame) -> DataFrame:
     return out
 
 
+# Tasks per core that rows are dealt to, so that one slow task does not hold up the rest.
+_WAVES = 2
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that cost more to work on than to move, such as narrow rows that become wide, in
+    enough tasks for all cores. Spark deals files out by bytes, a few megabytes at least."""
+    tasks = _WAVES * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * tasks else df.repartition(tasks)
+
+
 def released(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in tables:

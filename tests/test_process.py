@@ -2,6 +2,7 @@ from datetime import datetime
 
 import pytest
 
+from staffline.operators import columns, duplicates
 from staffline.operators.history import ORDINAL
 from staffline.plans.process import clean_source, process_all, process_source
 from staffline.plans.sources import BY_OUTPUT, SOURCES
@@ -214,3 +215,46 @@ def test_staging_keeps_the_limit_of_methods(spark):
             assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == own
         finally:
             spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
+
+
+def test_raw_rows_are_dealt_to_all_cores(spark, sf_dir):
+    """A small file is one split, but its rows become wide: one task did all the work."""
+    raw = raw_extract(spark, sf_dir, "proyectos_investigacion_disponible")
+    assert raw.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_results_of_sources_are_read_not_worked_out_again(spark, sf_dir):
+    """Casting is done while writing, in methods that the JVM compiles, whatever the session's limit."""
+    plan = QUERIES["source_certificados_todos"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Relation") and "regexp" not in plan.lower()
+
+
+def test_trimmed_text_is_cast_in_two_projections(spark):
+    cells = [("2015-01-02-10.11.12.120456", "12", "si", "1.5"), ("9999-12-31", "7.0", "x", "n"), (None,) * 4,
+             ("2010-02-30", "+3", "NO", "1e3"), ("2015-01-02", "abc", "1", ".5")]
+    df = spark.createDataFrame(cells, "t string, i string, f string, n string").repartition(2)
+    cast = columns.cast_trimmed(df, ["t", "gone"], ["i"], ["f"], ["n"])
+    common = columns.cast_timestamps(df, ["t"])
+    common = columns.cast_numbers(columns.cast_flags(columns.cast_integers(common, ["i"]), ["f"]), ["n"])
+    assert cast.schema == common.schema
+    assert sorted(map(str, cast.collect())) == sorted(map(str, common.collect()))
+    assert cast._jdf.queryExecution().optimizedPlan().toString().count("Project") <= 2
+
+
+def test_profile_on_the_way_is_the_profile(spark):
+    """Hashes stand for texts in the aggregate; what they suggest is confirmed."""
+    rows = [("a", None, "x", 1, float("nan"), None), ("a", None, "y", 1, 2.0, "z"), ("a", None, None, 2, 2.0, None)]
+    df = spark.createDataFrame(rows, "same string, none string, two string, k int, d double, `one.1` string")
+    for table in (df, df.limit(0)):
+        staged, found = columns.staged_with_profile(table)
+        assert found == columns.profile(table) and staged.count() == table.count()
+    assert not any("max(same" in str(c) for c in columns._way_aggregates(df)[1])
+
+
+def test_rows_without_a_like_are_digested_once(spark):
+    """With no digest twice there is nothing to compare, and the rows are not read again."""
+    df = spark.range(200).selectExpr("id", "concat('v', id % 7) t")
+    doubtful, single = duplicates._with_like(df)
+    assert doubtful.count() == 0 and single is df
+    assert duplicates.without_duplicates(df).count() == 200
+    assert df.agg(duplicates.duplicate_count(df).alias("n")).first().n == 0
