@@ -119,7 +119,7 @@ def _look(spark: SparkSession, path: str | list[str], encoding: str | None) -> t
             F.bool_and(F.is_valid_utf8("value")).alias("valid"),
             F.bool_or(as_latin1.rlike(f"[{UNDEFINED_IN_CP1252}]")).alias("stray"),
             F.bool_or(quotes % 2 == 1).alias("odd"),
-            F.bool_or(as_latin1.rlike(r"(?s)\r.")).alias("lone_cr"),
+            F.bool_or(F.contains(value, F.lit("\r")) & as_latin1.rlike(r"(?s)\r.")).alias("lone_cr"),
             first(F.endswith(value, F.lit("\r")), F.lit(True)).alias("crlf"),
             # The reader skips lines of nothing but white space.
             first(value.cast("binary"), as_latin1.rlike(r"[^\x00-\x20]")).alias("head"),

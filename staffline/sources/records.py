@@ -80,7 +80,9 @@ def _with_both_states(lines: DataFrame) -> DataFrame:
     lines = lines.withColumns({"end0": from_outside, "end1": from_inside})
     # A line that follows no rule in a state is never to be met in it; any end will do.
     end0, end1 = F.coalesce("end0", F.lit(OUTSIDE)), F.coalesce("end1", F.lit(INSIDE))
-    split = Window.partitionBy("path", F.col("at.block")).orderBy("at.row")
+    # Columns of their own: windows over fields of a struct each move and sort all lines again.
+    lines = lines.withColumns({"block": F.col("at.block"), "row": F.col("at.row"), "blank": F.col("line") == ""})
+    split = Window.partitionBy("path", "block").orderBy("row")
     so_far = split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = split.rowsBetween(Window.unboundedPreceding, -1)
     turn = ((end0 == INSIDE) & (end1 == OUTSIDE)).cast("int")
@@ -94,7 +96,7 @@ def _with_both_states(lines: DataFrame) -> DataFrame:
     lines = lines.withColumns({f"state{s}": begins(s).cast("int") for s in (OUTSIDE, INSIDE)})
     count = lambda s: F.sum((F.col(f"state{s}") == OUTSIDE).cast("int")).over(so_far)
     lines = lines.withColumns({f"begun{s}": count(s).cast("bigint") for s in (OUTSIDE, INSIDE)})
-    return lines.drop("turns", "settled")
+    return lines.drop("turns", "settled", "block", "row")
 
 
 def _carries(lines: DataFrame) -> DataFrame:
@@ -134,7 +136,7 @@ def find_records(lines: DataFrame, files: Sequence[tuple[str, bool, bool]], reco
     known = known.withColumn("ends", F.when(F.col("begins") == OUTSIDE, F.col("end0")).otherwise(F.col("end1")))
     known = known.withColumn("several", (F.col("begins") == INSIDE) | (F.col("ends") == INSIDE))
     # The reader skips empty lines between records.
-    known = known.where("several or line != ''")
+    known = known.where("several or not blank")
 
     per_record = known.where("several").groupBy("path", "number").agg(F.count("*").alias("n"))
     longest = per_record.groupBy("path").agg(F.max("n").alias("n")).where(F.col("n") > record_lines).first()

@@ -9,6 +9,7 @@ from staffline.functions.text import NULL_TOKENS
 from staffline.operators.columns import collapse_repeated
 from staffline.sources import csv, records
 from staffline.sources.csv import inspect_csv, read_csv
+from staffline.sources.records import _with_both_states
 from staffline.sources.sinks import write_table
 
 
@@ -224,3 +225,11 @@ def test_jobs_do_not_grow_with_the_number_of_files(spark, tmp_path):
         assert found[0].columns == ["a\nb", "c", "c.1"] and found[0].count() == 2 * n
         assert found[0].where(F.col("c").startswith("x\ny")).count() == n
     assert seen[120] <= seen[12] + 2
+
+
+def test_lines_are_moved_and_sorted_once(spark):
+    """All running values of a split share one exchange and one sort of its lines."""
+    at = "named_struct('file', 'f', 'block', id % 3, 'row', id) at"
+    lines = spark.range(60).selectExpr("'f' path", at, "if(id % 4 = 1, 'a,\"b', if(id % 4 = 2, 'c\"', '')) line")
+    plan = _with_both_states(lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
