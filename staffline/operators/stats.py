@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from staffline.functions import column, round_half_even, strip
 from staffline.functions.numbers import parse_number
 from staffline.operators.columns import is_missing
-from staffline.operators.duplicates import duplicate_count
+from staffline.operators.duplicates import duplicate_count, without_digest
 from staffline.operators.sketches import RANK_ERROR, approximate_quantiles, sketch_count
 
 # A sorted column up to this many rows is small enough for one task.
@@ -37,12 +37,14 @@ def size_guess(df: DataFrame) -> int:
 def table_shape(df: DataFrame, duplicates: bool = True, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """Rows, columns and, unless switched off, duplicate rows. Copies of a row fold
     together before the shuffle, so a row repeated everywhere stays cheap. Of a table with
-    ``WIDE`` columns beyond ``small_bytes``, digests are shuffled instead of rows."""
+    ``WIDE`` columns beyond ``small_bytes``, digests are shuffled instead of rows; a table
+    that carries its digests, see ``with_digest``, is not read for them."""
+    keyed, df = df, without_digest(df)
     width = F.lit(len(df.columns)).alias("columns")
     if not duplicates:
         return df.agg(F.count("*").alias("rows"), width)
-    if len(df.columns) >= WIDE and size_guess(df) > small_bytes:
-        return df.agg(F.count("*").alias("rows"), width, duplicate_count(df).alias("duplicate_rows"))
+    if len(df.columns) >= WIDE and size_guess(keyed) > small_bytes:
+        return df.agg(F.count("*").alias("rows"), width, duplicate_count(keyed).alias("duplicate_rows"))
     copies = df.groupBy(*(column(n) for n in df.columns)).agg(F.count("*").alias("_copies"))
     total = F.coalesce(F.sum("_copies"), F.lit(0))
     return copies.agg(
