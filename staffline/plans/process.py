@@ -67,16 +67,19 @@ def clean_source(
     stage: bool = False,
 ) -> DataFrame:
     """Clean and type a raw table. Its profile decides which columns survive; later steps
-    read no others. ``stage`` is for input that is dear to read twice: the trimmed text is
+    read no others; columns that go whatever they hold are left out before it, unless repeated
+    rows are told by them. ``stage`` is for input that is dear to read twice: the trimmed text is
     then written once to the shared folder and profiled on the way. ``profiles``: what is
     known already, see ``stored_profiles``."""
     df = trimmed(raw, source)
+    if not source.dedupe:
+        df = drop_columns(df, source.drop)
     if profiles is None:
         df, profiles = staged_with_profile(df) if stage else (df, profile(df))
     df = without_uninformative(df, profiles, source.sparse_from, source.keep)
     if source.dedupe:
         df = without_duplicates(df) if size_guess(df) > SMALL_BYTES else drop_duplicate_rows(df)
-    df = drop_columns(df, source.drop)
+        df = drop_columns(df, source.drop)
     if source.decode:
         df = source.decode(df)
     df = cast_trimmed(df, source.timestamps, source.integers, source.flags, source.numbers)

@@ -1,7 +1,12 @@
 """Steps that keep large tables cheap: what they leave out or send must not change results."""
 
+import pytest
+
 from staffline.operators import duplicates
 from staffline.operators.stats import table_shape
+from staffline.plans import process
+from staffline.plans.process import clean_source
+from staffline.plans.sources import Source
 
 
 def test_rows_that_have_no_like_stay_where_they_are(spark, monkeypatch):
@@ -27,3 +32,16 @@ def test_rows_that_have_no_like_stay_where_they_are(spark, monkeypatch):
             expected = shown.count(), len(df.columns), shown.count() - shown.distinct().count()
             assert {tuple(table_shape(table, small_bytes=b).first()) for b in (0, 1 << 40)} == {expected}
             assert duplicates.without_duplicates(table).count() == shown.distinct().count()
+
+
+@pytest.mark.parametrize("dedupe", [False, True])
+def test_columns_that_go_anyway_are_not_staged(spark, monkeypatch, dedupe):
+    """Unless repeated rows are told by them: these differ in nothing else."""
+    seen = []
+    staged_as_before = process.staged_with_profile
+    monkeypatch.setattr(process, "staged_with_profile", lambda df: seen.append(df.columns) or staged_as_before(df))
+    raw = spark.createDataFrame([("1", " a", "x"), ("1", "a", "y"), ("1", "a ", "y"), ("2", "b", "x")], "ID string, T string, GONE string")
+    source = Source("f", "o", dedupe=dedupe, drop=("GONE", "MISSING"), integers=("ID",))
+    rows = [tuple(r) for r in clean_source(raw, source, stage=True).collect()]
+    assert sorted(rows) == [(1, "a")] * (2 if dedupe else 3) + [(2, "b")]
+    assert seen == [["ID", "T", "GONE"] if dedupe else ["ID", "T"]]
