@@ -366,10 +366,17 @@ class Bins:
         return F.when(i == self.n, F.lit(self.high)).otherwise(i * F.lit(step) + F.lit(self.low))
 
     def of(self, x: Column) -> Column:
-        """The bin of a value within the range."""
+        """The bin of a value within the range. Both steps refer to ``x`` often: where it is
+        dear, take them in projections of their own."""
+        return self.settled(x, self.guess(x))
+
+    def guess(self, x: Column) -> Column:
+        """The bin by division, which may land a value one bin off an edge."""
+        return F.least(F.floor((x - self.low) * F.lit(self.n / (self.high - self.low))).cast("int"), F.lit(self.n - 1))
+
+    def settled(self, x: Column, guess: Column) -> Column:
+        """The bin once the edges around a guess have decided."""
         last = F.lit(self.n - 1)
-        guess = F.least(F.floor((x - self.low) * F.lit(self.n / (self.high - self.low))).cast("int"), last)
-        # The division may land a value one bin off an edge; the edges decide.
         placed = (
             F.when(x < self.edge(guess), guess - 1)
             .when((x >= self.edge(guess + 1)) & (guess != last), guess + 1)

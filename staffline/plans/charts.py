@@ -31,21 +31,33 @@ def _value(chart: Chart) -> Column:
     return chart.value() if chart.value else column(chart.column)
 
 
-def _bins(charts: list[Chart], cleaned: DataFrame) -> list[Column]:
-    """The bin of each histogram that a row falls into, null if none."""
-    numbers, ranges = [], []
+def _numbers(charts: list[Chart], cleaned: DataFrame) -> list[Column]:
+    """The number of each histogram that a row gives, null if none or beyond the clip limit."""
+    numbers = []
     for chart in charts:
         number = stats.as_number(cleaned, _value(chart))
         if chart.clip is not None:
             (limit,) = stats.quantiles(cleaned, _value(chart), [chart.clip])
             number = F.when(number <= F.lit(limit).cast("double"), number)
         numbers.append(number)
-        ranges += [F.min(number), F.max(number)]
-    found = cleaned.agg(*[r.alias(str(i)) for i, r in enumerate(ranges)]).first()
-    return [
-        stats.Bins.over(found[2 * i], found[2 * i + 1], chart.bins).of(number)
-        for i, (chart, number) in enumerate(zip(charts, numbers))
-    ]
+    return numbers
+
+
+def _with_bins(charts: list[Chart], rows: DataFrame, first: int) -> DataFrame:
+    """The rows with the numbers in their columns from ``first`` on replaced by bins. A bin
+    refers to its number often, so numbers, guesses and bins are projections of their own:
+    in one, what gives the number would be worked out again at each reference."""
+    names = rows.columns
+    binned = names[first:]
+    found = rows.agg(*(f(n).alias(f"{f.__name__}_{n}") for n in binned for f in (F.min, F.max))).first()
+    bins = {
+        n: stats.Bins.over(found[2 * i], found[2 * i + 1], chart.bins)
+        for i, (chart, n) in enumerate(zip(charts, binned))
+    }
+    rows = rows.select(*names, *(b.guess(F.col(n)).alias(f"guess_{n}") for n, b in bins.items()))
+    return rows.select(
+        *names[:first], *(b.settled(F.col(n), F.col(f"guess_{n}")).alias(n) for n, b in bins.items())
+    )
 
 
 def chart_rows(cleaned: DataFrame, source: Source, small_bytes: int = stats.SMALL_BYTES) -> DataFrame:
@@ -64,15 +76,23 @@ def chart_rows(cleaned: DataFrame, source: Source, small_bytes: int = stats.SMAL
             key = F.year(column(chart.column).try_cast("timestamp_ntz"))
         elif chart.kind == "top":
             key = strip(column(chart.column).cast("string"))
-            key = F.when(key != "", key)
         else:
             key = column(chart.column)
         keys.append((chart, key))
+    first = len(keys)
     if histograms:
-        keys += zip(histograms, _bins(histograms, cleaned))
+        keys += zip(histograms, _numbers(histograms, cleaned))
     if keys:
-        pairs = F.array(*(F.struct(F.lit(_name(c)).alias("chart"), k.cast("string").alias("key")) for c, k in keys))
-        points = cleaned.select(F.inline(pairs)).where("key IS NOT NULL")
+        rows = cleaned.select(*(key.alias(f"k{i}") for i, (_, key) in enumerate(keys)))
+        if histograms:
+            rows = _with_bins(histograms, rows, first)
+        pairs = F.array(*(
+            F.struct(F.lit(_name(c)).alias("chart"), F.col(f"k{i}").cast("string").alias("key"))
+            for i, (c, _) in enumerate(keys)
+        ))
+        named = [_name(c) for c, _ in keys if c.kind == "top"]
+        wanted = F.col("key").isNotNull() & ~((F.col("key") == "") & F.col("chart").isin(named))
+        points = rows.select(F.inline(pairs)).where(wanted)
         counts = points.groupBy("chart", "key").agg(F.count("*").alias("n"))
         zeros = [(_name(c), str(i), 0) for c in histograms for i in range(c.bins)]
         if zeros:

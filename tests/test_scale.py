@@ -1,12 +1,14 @@
 """Steps that keep large tables cheap: what they leave out or send must not change results."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from staffline.operators import duplicates
+from staffline.functions import elapsed_years
+from staffline.operators import duplicates, stats
 from staffline.operators.stats import table_shape
-from staffline.plans import process
+from staffline.plans import charts, process
 from staffline.plans.process import clean_source
-from staffline.plans.sources import Source
+from staffline.plans.sources import Chart, Source
 
 
 def test_rows_that_have_no_like_stay_where_they_are(spark, monkeypatch):
@@ -45,3 +47,20 @@ def test_columns_that_go_anyway_are_not_staged(spark, monkeypatch, dedupe):
     rows = [tuple(r) for r in clean_source(raw, source, stage=True).collect()]
     assert sorted(rows) == [(1, "a")] * (2 if dedupe else 3) + [(2, "b")]
     assert seen == [["ID", "T", "GONE"] if dedupe else ["ID", "T"]]
+
+
+def test_a_histogram_works_its_numbers_out_once(spark):
+    """Its bins refer to a number often; what it is made of is only seen by the two checks, that it
+    is a number and within the clip limit."""
+    rows = spark.range(400).selectExpr(
+        "timestamp_ntz '2001-01-01' a", "timestamp_ntz '2001-01-01' + make_dt_interval(cast(id as int)) b",
+        "CASE id % 4 WHEN 0 THEN ' ' WHEN 1 THEN '' WHEN 2 THEN ' x ' END t",
+    )
+    value = lambda: elapsed_years(F.col("a"), F.col("b"))
+    source = Source("f", "o", charts=(Chart("histogram", "YEARS", bins=7, clip=0.9, value=value), Chart("top", "t")))
+    found = charts.chart_rows(rows, source)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.lower().count("datediff") + plan.lower().count("date_diff") <= 4
+    got = {(r.chart, r.key): r.n for r in found.collect()}
+    plain = {("histogram:YEARS", str(r.bin)): r.n for r in stats.histogram(rows, value(), 7, 0.9).collect()}
+    assert got == plain | {("top:t", "x"): 100}
